@@ -10,7 +10,8 @@ a digest collision can never merge two texts:
 3. globally: the at most SALTS winners of each text meet by (digest, text).
 
 The result for every row is then joined back by key (SHA-256, XXH64 and length of the text)
-alone, which moves ids and digests but no texts. That is safe because the last step has
+and salt, which moves ids and digests but no texts and spreads a large group as the second step
+does (each text's salts travel as a bit mask). That is safe because the last step has
 compared the whole texts behind each key; should two different texts ever share all three
 parts of a key, the query stops with an error instead of merging them.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from topoeval.llm.common import ascii_lower
 
-#: Tasks over which the copies of one text are spread before they meet.
+#: Tasks over which the copies of one text are spread before they meet; 63 at most.
 SALTS = 32
 
 
@@ -30,7 +31,6 @@ def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    salts: int = SALTS,
     digest: Column | None = None,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
@@ -51,16 +51,17 @@ def exact_dedup(
     rows = rows.withColumn("digest", F.col("sha") if digest is None else digest)
     key = ["digest", "xx", "len"]
 
-    salted = rows.groupBy(
-        *key, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "norm"
-    ).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    salted = rows.groupBy(*key, salt.alias("salt"), "norm").agg(
+        F.max("doc_id").alias("keep_id"), F.count("*").alias("n")
+    )
     winners = salted.groupBy(*key, "norm").agg(
-        F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")
+        F.max("keep_id").alias("keep_id"),
+        F.sum("n").alias("group_size"),
+        F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"),
     )
     by_key = winners.groupBy(*key).agg(
-        F.count("*").alias("n_texts"),
-        F.max("keep_id").alias("keep_id"),
-        F.max("group_size").alias("group_size"),
+        F.count("*").alias("n_texts"), *(F.max(c).alias(c) for c in ("keep_id", "group_size", "salts"))
     )
     sure = by_key.select(
         *key,
@@ -68,10 +69,11 @@ def exact_dedup(
         F.when(F.col("n_texts") == 1, F.col("group_size"))
         .otherwise(F.raise_error(F.lit("different texts share a key")).cast("long"))
         .alias("group_size"),
+        F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)")).alias("salt"),
     )
     return (
-        rows.select("doc_id", "sha", *key)
-        .join(sure, key)
+        rows.select("doc_id", "sha", *key, salt.alias("salt"))
+        .join(sure, [*key, "salt"])
         .select(
             "doc_id",
             "keep_id",

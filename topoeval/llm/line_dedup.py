@@ -49,38 +49,26 @@ def line_frequencies(pages: DataFrame, site: Column, text_col: str = "text") ->
     return counts.join(total, "site").withColumn("ratio", F.col("n_pages") / F.col("site_pages"))
 
 
-def line_dedup(
-    pages: DataFrame,
-    site: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    max_ratio: float = MAX_RATIO,
-    min_pages: int = MIN_PAGES,
-    salts: int = SALTS,
-) -> DataFrame:
-    """One row per input row: doc_id, text (without boilerplate), n_lines, n_dropped, both counting
-    lines that are not blank.
+def _boilerplate_of_rows(
+    pages: DataFrame, site: Column, text_col: str, max_ratio: float, min_pages: int, salts: int
+) -> tuple[DataFrame, Column]:
+    """The pages joined to the hashes of their boilerplate lines; the cleaned text.
 
-    A null site is a site of its own named ''; a null text has no lines and stays null. Rows that
-    repeat count as pages of their own; rows with equal ids are told apart. A page that
-    loses all its lines stays, with what blank lines it had.
+    The columns added are named __site, __row and __drop.
     """
-    rows = pages.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(site.cast("string"), F.lit("")).alias("site"),
-        F.col(text_col).alias("text"),
-        F.xxhash64(F.col(id_col), F.col(text_col), site.cast("string")).alias("row"),
+    rows = pages.withColumn("__site", F.coalesce(site.cast("string"), F.lit(""))).withColumn(
+        "__row", F.xxhash64(*[c for c in pages.columns if c != text_col], text_col)
     )
     lines = (
         rows.select(
-            "row",
-            "site",
-            F.explode(F.array_distinct(F.transform(_lines(F.col("text")), lambda x: F.trim(x)))).alias("line"),
+            F.col("__row").alias("row"),
+            F.col("__site").alias("site"),
+            F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), lambda x: F.trim(x)))).alias("line"),
         )
         .filter("line != ''")
         .select("row", "site", *_keys(F.col("site"), F.col("line")))
     )
-    total = rows.groupBy("site").agg(F.count("*").alias("site_pages"))
+    total = rows.groupBy(F.col("__site").alias("site")).agg(F.count("*").alias("site_pages"))
     counts = lines.groupBy("site", "k1", "k2").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     boilerplate = (
         counts.join(total, "site")
@@ -89,16 +77,49 @@ def line_dedup(
     )
     salted = lines.select("row", "k1", "k2", F.pmod(F.col("row"), F.lit(salts)).cast("int").alias("salt"))
     drops = (
-        salted.join(boilerplate, ["k1", "k2", "salt"]).groupBy("row").agg(F.collect_set("k1").alias("drop"))
+        salted.join(boilerplate, ["k1", "k2", "salt"])
+        .groupBy(F.col("row").alias("__row"))
+        .agg(F.collect_set("k1").alias("__drop"))
     )
     kept = F.filter(
-        _lines(F.col("text")),
-        lambda x: (F.trim(x) == "") | ~F.array_contains("drop", F.xxhash64(F.lit(1), F.col("site"), F.trim(x))),
+        _lines(F.col(text_col)),
+        lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", F.xxhash64(F.lit(1), F.col("__site"), F.trim(x))),
     )
-    full = lambda c: F.size(F.filter(c, lambda x: F.trim(x) != "")).cast("long")
-    out = rows.join(drops, "row", "left").select(
-        "doc_id",
-        F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        full(_lines(F.col("text"))).alias("n_lines"),
-    )
-    return out.select("doc_id", "text", "n_lines", (F.col("n_lines") - full(_lines(F.col("text")))).alias("n_dropped"))
+    cleaned = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return rows.join(drops, "__row", "left"), cleaned
+
+
+def line_dedup(
+    pages: DataFrame,
+    site: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    salts: int = SALTS,
+) -> DataFrame:
+    """One row per input row: doc_id, text (without boilerplate), n_lines, n_dropped, both counting
+    lines that are not blank.
+
+    A null site is a site of its own named ''; a null text has no lines and stays null. Rows that
+    repeat count as pages of their own; rows with equal ids are told apart by their content. A page that
+    loses all its lines stays, with what blank lines it had.
+    """
+    slim = pages.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), site.alias("site"))
+    joined, cleaned = _boilerplate_of_rows(slim, F.col("site"), "text", max_ratio, min_pages, salts)
+    full = lambda c: F.size(F.filter(_lines(c), lambda x: F.trim(x) != "")).cast("long")
+    out = joined.select("doc_id", cleaned.alias("text"), full(F.col("text")).alias("n_lines"))
+    return out.select("doc_id", "text", "n_lines", (F.col("n_lines") - full(F.col("text"))).alias("n_dropped"))
+
+
+def drop_boilerplate(
+    pages: DataFrame,
+    site: Column,
+    text_col: str = "text",
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    salts: int = SALTS,
+) -> DataFrame:
+    """All rows and columns of pages, with boilerplate lines gone from the text."""
+    joined, cleaned = _boilerplate_of_rows(pages, site, text_col, max_ratio, min_pages, salts)
+    return joined.withColumn(text_col, cleaned).select(pages.columns)

@@ -35,6 +35,7 @@ SHINGLE = 4
 TAU = 4
 SEED = 42
 BLOCK = 1024
+SALTS = 32
 
 #: Ring of nine segments: first bit and width of each, 64 bits in all.
 M = 9
@@ -284,13 +285,22 @@ def near_duplicates(
     no other.
     """
     docs = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = checkpointed(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # rows of one fingerprint, be they a third of all, are spread over salts; a class has those it needs
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    classes = docs.withColumn("salt", salt).groupBy("fp").agg(
+        F.min("doc_id").alias("least"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+    )
+    classes = checkpointed(classes)
     root = components(links(classes.select("fp"), tau, block)).withColumnRenamed("node", "fp")
     joined = root.join(classes, "fp")
     by_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(by_root, "root").select("fp", "component_id")
-    known = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(known, "fp").select(
+    known = classes.join(named, "fp", "left").select(
+        "fp",
+        F.coalesce("component_id", "least").alias("component_id"),
+        F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)")).alias("salt"),
+    )
+    return docs.withColumn("salt", salt).join(known, ["fp", "salt"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

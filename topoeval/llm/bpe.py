@@ -32,7 +32,7 @@ from topoeval.llm.common import slices, texts
 
 #: Characters of text that are encoded at a time, entries of a word cache, longest word in it.
 SLICE_CHARS = 1 << 18
-CACHE = 200_000
+CACHE = 400_000
 CACHED_CHARS = 64
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -169,20 +169,29 @@ def cut_at_space(text: str, chars: int = SLICE_CHARS) -> Iterator[str]:
 
 
 class Cache(dict):
-    """word -> make(word), bounded: emptied when full; long words are not kept."""
+    """word -> make(word), bounded: when full, what was not asked for since it was last full goes; long
+    words are not kept.
+    """
 
     def __init__(self, make: Callable, entries: int = CACHE):
         super().__init__()
-        self.make, self.entries = make, entries
+        self.make, self.entries, self.old = make, entries // 2, {}
 
     def __missing__(self, word):
-        out = self.make(word)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= self.entries:
-                self.clear()
-            self[word] = out
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+            if len(word) > CACHED_CHARS:
+                return out
+        self.put(word, out)
         return out
 
+    def put(self, word, out) -> None:
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
+
 
 class Tokenization:
     """What both kinds of tokenizer files share: the file, special strings, words to ids."""
@@ -231,7 +240,7 @@ class WordTokenization(Tokenization):
     """Tokenizer files that lower-case, drop white space and mark the ends of words."""
 
     CHUNK = re.compile(f"[^{_SPACE}]+")
-    ASCII = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^{_SPACE}a-z0-9]+")
+    ASCII = re.compile(rf"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}a-z0-9]+")
 
     def __init__(self, text: str):
         super().__init__(text)

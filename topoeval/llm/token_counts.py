@@ -32,25 +32,41 @@ ODD_POINTS = [
 class ByteTokenization(Tokenization):
     """Byte-level tokenizer files whose words keep one leading space (no normaliser)."""
 
-    #: Words cut here never share a token; a unit is a stretch without white space and one leading
-    #: space, or white space.
+    #: No token goes over the ends of a unit: a stretch without white space and one leading space, or
+    #: white space.
     UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-    ASCII = re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^{_SPACE}A-Za-z0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    #: Words of texts in Latin-1, whose letters and numbers are the same in all versions of Unicode.
+    LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+    WORD = re.compile(
+        f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:[stmd]|re|ve|ll)| ?[^{_SPACE}{LETTER}{NUMBER}]+"
+        f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
     )
-    #: White space beyond the plain kind, and controls: texts with these are cut by the library.
+    #: Texts with these are cut by the library.
     ODD = re.compile(f"[{re.escape(''.join(map(chr, ODD_POINTS)))}]")
-
-    def units(self, part: str) -> Iterator[list[str]]:
-        """An ordinary stretch of text in units, in lists of bounded size."""
-        if self.ODD.search(part):
-            yield [part]
+    ODD_LATIN = bytes(c for c in ODD_POINTS if c < 256)
+
+    def latin(self, text: str) -> bool:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return len(raw.translate(None, self.ODD_LATIN)) == len(raw)
+
+    def units(self, part: str) -> Iterator[tuple[list[str], bool]]:
+        """An ordinary stretch of text in units, in lists of bounded size; True if each is one word."""
+        if self.latin(part):
+            for piece in cut_at_space(part):
+                yield self.WORD.findall(piece), True
+        elif self.ODD.search(part):
+            yield [part], False
         else:
-            yield from map(self.UNIT.findall, cut_at_space(part))
+            for piece in cut_at_space(part):
+                yield self.UNIT.findall(piece), False
 
     def words(self, unit: str) -> list[bytes]:
-        if unit.isascii() and not self.ODD.search(unit):
-            return [w.encode() for w in self.ASCII.findall(unit)]
+        if self.latin(unit):
+            return [w.encode() for w in self.WORD.findall(unit)]
         byte_of = self.merges.byte_of
         return [bytes(byte_of[c] for c in w) for w in self.library_words(unit)]
 
@@ -73,6 +89,7 @@ class PrefixCounter(ByteTokenization):
         self.compatible = functools.lru_cache(maxsize=CACHE_PAIRS)(self._compatible)
         self.edge = functools.cache(self._edge)
         self.unit_count = Cache(self._unit_count)
+        self.single_count = Cache(lambda w: self.word_count(w.encode()))
         #: prefix -> (its last token, its count); holds all prefixes of what it holds
         self.known: dict[bytes, tuple[int, int]] = {b"": (-1, 0)}
 
@@ -145,8 +162,9 @@ class PrefixCounter(ByteTokenization):
             if special is not None:
                 yield part, [part], [1]
             else:
-                for units in self.units(part):
-                    yield None, units, list(map(self.unit_count.__getitem__, units))
+                for units, single in self.units(part):
+                    counts = self.single_count if single else self.unit_count
+                    yield None, units, list(map(counts.__getitem__, units))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token counts of text[:p] for p = 0 ... len(text): what the tokenizer gives for each prefix."""
@@ -170,7 +188,7 @@ class PrefixCounter(ByteTokenization):
         return [done + self._plain(tail + special[:k]) for k in range(1, len(special))]
 
     def _plain(self, part: str) -> int:
-        return sum(self.unit_count[u] for units in self.units(part) for u in units) if part else 0
+        return sum(self.unit_count[u] for units, _ in self.units(part) for u in units) if part else 0
 
     def _part_counts(self, part: str) -> list[int]:
         """Counts of part[:p] for p = 1 ... len(part), for text without special strings."""
@@ -178,7 +196,7 @@ class PrefixCounter(ByteTokenization):
         before, space, space_before = 0, b"", 0  # tokens before this word; the white space just before it
         if self.ODD.search(part):  # rare: words may change with what follows, so each prefix is cut anew
             return [self._plain(part[:p]) for p in range(1, len(part) + 1)]
-        for units in self.units(part):
+        for units, _ in self.units(part):
             for unit in units:
                 for word in self.words(unit):
                     counts = self.prefix_tokens(word)

@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topoeval.llm.bpe import Cache, tokenizer_file
+from topoeval.llm.bpe import CACHED_CHARS, Cache, tokenizer_file
 from topoeval.llm.common import checkpointed, shared_dir, slices, texts
 from topoeval.llm.token_counts import ByteTokenization
 
@@ -157,23 +159,44 @@ def crc32_join(one: int, two: int, two_bytes: int) -> int:
 
 
 class _Encoder(ByteTokenization):
-    """Ids by the tokenizers library, one unit of text at a time."""
+    """Ids by the tokenizers library, as bytes (two for each id if all ids fit, else four).
+
+    The distinct units of a slice of texts that are not in the cache go to the library as one batch.
+    """
 
     def __init__(self, text: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         super().__init__(text)
-        self.unit_ids = Cache(lambda u: self.library.encode(u, add_special_tokens=False).ids)
-
-    def encode(self, text: str, end_id: int) -> np.ndarray:
-        out: list[int] = []
-        for part, special in self.segments(text):
-            if special is not None:
-                out.append(special)
-                continue
-            for units in self.units(part):
-                for ids in map(self.unit_ids.__getitem__, units):
-                    out += ids
-        out.append(end_id)
-        return np.array(out, dtype="<u4")
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.unit_ids = Cache(lambda u: self.as_bytes(self.library.encode(u, add_special_tokens=False).ids))
+
+    def as_bytes(self, ids: list[int]) -> bytes:
+        if sys.byteorder == "little":
+            return array(self.code, ids).tobytes()
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def encode(self, texts_: list[str], end_id: int) -> list[bytes]:
+        plans: list[list[bytes | list[str]]] = []
+        for text in texts_:
+            plan: list[bytes | list[str]] = []
+            for part, special in self.segments(text):
+                if special is not None:
+                    plan.append(self.as_bytes([special]))
+                else:
+                    plan += [units for units, _ in self.units(part)]
+            plans.append(plan)
+        cache = self.unit_ids
+        new = set().union(*[x for plan in plans for x in plan if isinstance(x, list)])
+        new = [u for u in new - cache.keys() if u not in cache.old]
+        known = dict(zip(new, [self.as_bytes(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        for u, ids in known.items():
+            if len(u) <= CACHED_CHARS:
+                cache.put(u, ids)
+        long_ = {u: ids for u, ids in known.items() if len(u) > CACHED_CHARS}
+        find = (lambda u: long_.get(u) or cache[u]) if long_ else cache.__getitem__
+        end = self.as_bytes([end_id])
+        return [b"".join([*(x if isinstance(x, bytes) else b"".join(map(find, x)) for x in plan), end]) for plan in plans]
 
 
 @functools.lru_cache(maxsize=2)
@@ -190,15 +213,15 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
         import zstandard
 
         encoder, zip_ = _encoder(file.value), zstandard.ZstdCompressor(level=1)
+        mark, width = (b"2", 2) if encoder.code == "H" else (b"", 4)
         shard, at = TaskContext.get().partitionId(), 0
         for b in slices(batches):
             ns, ats, ids = [], [], []
-            for text in texts(b):
-                x = encoder.encode(text, end_id)
-                ns.append(len(x))
+            for x in encoder.encode(texts(b), end_id):
+                ns.append(len(x) // width)
                 ats.append(at)
-                ids.append(zip_.compress(x.tobytes() if x.max() > 0xFFFF else b"2" + x.astype("<u2").tobytes()))
-                at += len(x)
+                ids.append(zip_.compress(mark + x))
+                at += ns[-1]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([shard] * len(ns), pa.int32()), pa.array(ats), pa.array(ns), pa.array(ids, pa.binary())],
                 ["doc_id", "shard", "at", "n", "ids"],
@@ -210,6 +233,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
 
 
 def _plain(ids: bytes) -> np.ndarray:
+    """Ids of a row: two bytes each behind a mark, or four bytes each."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(ids)

@@ -43,6 +43,8 @@ END_ID = 2
 LONGEST = 20
 BLOCK = 1 << 16
 STEP = 64
+#: Units whose ids a worker remembers (some 200 bytes each).
+UNITS = 1_000_000
 
 
 # --- code ---------------------------------------------------------------------------------
@@ -169,7 +171,7 @@ class _Encoder(ByteTokenization):
         super().__init__(text)
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.unit_ids = Cache(lambda u: self.as_bytes(self.library.encode(u, add_special_tokens=False).ids))
+        self.unit_ids = Cache(lambda u: self.as_bytes(self.library.encode(u, add_special_tokens=False).ids), UNITS)
 
     def as_bytes(self, ids: list[int]) -> bytes:
         if sys.byteorder == "little":

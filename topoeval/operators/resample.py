@@ -53,10 +53,10 @@ def hierarchical_bootstrap(df: DataFrame, outer: str, order: str, value: str, re
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = 200, seed: int = 0) -> DataFrame:
     """Clusters are drawn; a replicate is the mean over all rows of the drawn clusters. Only cluster sums move."""
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    sums = df.groupBy(cluster).agg(F.sum(value).alias("__s"), F.count(value).alias("__k"))
     rows = _numbered(sums, [], [cluster])
-    drawn = _draws(rows.agg(F.max("__n").alias("__n")), replicates, seed).join(F.broadcast(rows.select("__i", "s", "c")), "__i")
-    return drawn.groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m")).agg(*_interval("m"))
+    drawn = _draws(rows.agg(F.max("__n").alias("__n")), replicates, seed).join(F.broadcast(rows.select("__i", "__s", "__k")), "__i")
+    return drawn.groupBy("rep").agg((F.sum("__s") / F.sum("__k")).alias("m")).agg(*_interval("m"))
 
 
 def direction_stability(df: DataFrame, cluster: str, metrics: Sequence[str], target: str, replicates: int = 50, seed: int = 0) -> DataFrame:

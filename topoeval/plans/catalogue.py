@@ -526,21 +526,22 @@ def _(s, d):
     return checks.expect_table(o, "orders", 100, {"o_orderstatus": 3}).union(checks.expect_unique(o, ["o_orderkey"])).union(checks.expect_not_null(o, ["o_custkey"]))
 
 
-@query("remaining_work", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("remaining_work", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _(s, d):
-    done = V.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = V.read(s, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return S.remaining_work(V.read(s, d, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
 # --- statistics ---------------------------------------------------------------------------
 
 
-@query("paired_tests", f"""WITH {SQL_SEL} SELECT dataset, backbone, count(*) AS n, round(avg(baseline), 6) AS mean_a, round(avg(test), 6) AS mean_b, round(avg(test - baseline), 6) AS mean_diff, round(stddev_samp(test - baseline), 6) AS std_diff,
-round(avg(test - baseline) - 1.96 * stddev_samp(test - baseline) / sqrt(count(*)), 6) AS ci_low, round(avg(test - baseline) + 1.96 * stddev_samp(test - baseline) / sqrt(count(*)), 6) AS ci_high,
-round(avg(test - baseline) / (stddev_samp(test - baseline) / sqrt(count(*))), 5) AS t, round(avg(test - baseline) / stddev_samp(test - baseline), 6) AS dz FROM sel GROUP BY 1, 2""")
+@query("paired_tests", f"""WITH {SQL_SEL} SELECT dataset, backbone, count(*) AS n, round(avg(baseline), 9) AS mean_a, round(avg(test), 9) AS mean_b, round(avg(test - baseline), 9) AS mean_diff, round(stddev_samp(test - baseline), 9) AS std_diff,
+round(avg(test - baseline) - 1.96 * stddev_samp(test - baseline) / sqrt(count(*)), 9) AS ci_low, round(avg(test - baseline) + 1.96 * stddev_samp(test - baseline) / sqrt(count(*)), 9) AS ci_high,
+round(avg(test - baseline) / (stddev_samp(test - baseline) / sqrt(count(*))), 7) AS t, round(avg(test - baseline) / stddev_samp(test - baseline), 9) AS dz FROM sel GROUP BY 1, 2""")
 def _(s, d):
     m = stats.paired_moments(_selected(s, d), ["dataset", "backbone"], "baseline", "test")
-    return r6(m, "mean_a", "mean_b", "mean_diff", "std_diff", "ci_low", "ci_high", "dz").withColumn("t", F.round("t", 5))
+    digits = dict.fromkeys(("mean_a", "mean_b", "mean_diff", "std_diff", "ci_low", "ci_high", "dz"), 9) | {"t": 7}
+    return m.withColumns({c: F.round(c, k) for c, k in digits.items()})
 
 
 @query("paired_tests_p")

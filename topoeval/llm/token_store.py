@@ -107,10 +107,10 @@ def decode_table(lengths: bytes) -> tuple[np.ndarray, np.ndarray, int]:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
     """Code words of some ids as bytes; bits of each run of STEP ids."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    left = np.repeat(ends, size) - np.arange(1, ends[-1] + 1)  # bits of the word after this one
-    bits = (np.repeat(words[ids], size) >> left.astype(np.uint32)) & 1
+    size = lengths[ids].astype(np.int32)
+    ends = np.cumsum(size, dtype=np.int32)
+    left = (np.repeat(ends, size) - np.arange(1, ends[-1] + 1, dtype=np.int32)).astype(np.uint8)  # bits behind this one
+    bits = (np.repeat(words[ids], size) >> left) & 1
     steps = np.add.reduceat(size, np.arange(0, len(ids), STEP)).astype("<u2")
     return np.packbits(bits.astype(np.uint8)).tobytes(), steps.tobytes()
 
@@ -118,18 +118,18 @@ def pack(ids: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[bytes
 def unpack(bits: bytes, steps: bytes, n: int, lengths: bytes) -> np.ndarray:
     """The n ids of a block."""
     ids, size, wide = decode_table(lengths)
-    data = np.frombuffer(bits + bytes(8), dtype=np.uint8).astype(np.uint64)
-    # the four bytes from each byte on, as a big-endian integer
-    window = (data[:-3] << np.uint64(24)) | (data[1:-2] << np.uint64(16)) | (data[2:-1] << np.uint64(8)) | data[3:]
-    run = np.frombuffer(steps, dtype="<u2").astype(np.int64)
-    at = np.cumsum(run) - run
-    out = np.zeros((len(run), STEP), dtype=np.int32)
-    last = len(window) - 1
+    data = np.frombuffer(bits + bytes(8), dtype=np.uint8).astype(np.uint32)
+    # the four bytes from each byte on, as a big-endian integer: LONGEST bits from any bit of the first one
+    window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
+    run = np.frombuffer(steps, dtype="<u2").astype(np.int32)
+    at = np.cumsum(run, dtype=np.int32) - run
+    out = np.zeros((STEP, len(run)), dtype=np.int32)
+    last, mask = len(window) - 1, np.uint32((1 << wide) - 1)
     for k in range(STEP):
-        look = window[np.minimum(at >> 3, last)] >> (32 - wide - (at & 7)).astype(np.uint64)
-        look = (look & np.uint64((1 << wide) - 1)).astype(np.int64)
-        out[:, k] = ids[look]
+        look = (window[np.minimum(at >> 3, last)] >> (32 - wide - (at & 7)).astype(np.uint32)) & mask
+        out[k] = ids[look]
         at += size[look]
+    out = out.T
     return out.reshape(-1)[:n]
 
 
@@ -190,7 +190,7 @@ class _Encoder(ByteTokenization):
             plans.append(plan)
         cache = self.unit_ids
         new = set().union(*[x for plan in plans for x in plan if isinstance(x, list)])
-        new = [u for u in new - cache.keys() if u not in cache.old]
+        new = [u for u in new if u not in cache and u not in cache.old]
         known = dict(zip(new, [self.as_bytes(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)], strict=True))
         for u, ids in known.items():
             if len(u) <= CACHED_CHARS:

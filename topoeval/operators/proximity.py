@@ -117,30 +117,32 @@ def delaunay_edges(points: DataFrame, max_radius: float | None = None) -> DataFr
 
 
 def minimum_spanning_forest(weighted: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Boruvka rounds over edges (graph_id, src, dst, weight): each component takes its least edge by (weight, src, dst);
-    the components so joined merge. The order is total, so the forest is unique.
+    """Boruvka rounds over edges (graph_id, src, dst, weight): each component takes its least edge by (weight, src, dst) and
+    points to the component at its other end; of two that point to each other the lesser is the root, and pointers jump to
+    roots. The order of edges is total, so there are no other cycles and the forest is unique.
     """
-    from topoeval.operators.components import connected_components
-
-    edges = cut(weighted.select("graph_id", "src", "dst", "weight"))
-    labels = cut(nodes.select("graph_id", "id", F.col("id").alias("component")).distinct())
-    taken = edges.limit(0)
-    open_ = edges
-    while True:
-        names = labels.select("graph_id", "id", "component")
-        open_ = cut(
-            open_.select("graph_id", "src", "dst", "weight")
-            .join(names.toDF("graph_id", "src", "cs"), ["graph_id", "src"])
-            .join(names.toDF("graph_id", "dst", "cd"), ["graph_id", "dst"])
-            .filter("cs != cd")
-        )
-        if open_.isEmpty():
-            return taken
-        ends = open_.select("graph_id", F.col("cs").alias("c"), "weight", "src", "dst").union(open_.select("graph_id", "cd", "weight", "src", "dst"))
-        best = ends.groupBy("graph_id", "c").agg(F.min(F.struct("weight", "src", "dst")).alias("e"))
+    open_ = cut(weighted.select("graph_id", "src", "dst", "weight", F.col("src").alias("cs"), F.col("dst").alias("cd")).filter("src != dst"))
+    taken = None
+    key = ["graph_id", "c"]
+    while not open_.isEmpty():
+        e = F.struct("weight", "src", "dst")
+        ends = open_.select("graph_id", F.col("cs").alias("c"), F.col("cd").alias("up"), e.alias("e"))
+        ends = ends.union(open_.select("graph_id", "cd", "cs", e))
+        best = cut(ends.groupBy(key).agg(F.min(F.struct("e", "up")).alias("m")).select(*key, F.col("m.up").alias("up"), "m.e"))
         won = best.select("graph_id", "e.src", "e.dst", "e.weight").distinct()
-        taken = cut(taken.union(won.select("graph_id", "src", "dst", "weight")))
-        labels = connected_components(taken.select("graph_id", "src", "dst"), nodes)
+        taken = won if taken is None else taken.union(won)
+        back = best.select("graph_id", F.col("c").alias("up"), F.col("up").alias("over"))
+        pair = (F.col("over") == F.col("c")) & (F.col("c") < F.col("up"))
+        up = cut(best.join(back, ["graph_id", "up"]).select(*key, F.when(pair, F.col("c")).otherwise(F.col("up")).alias("up")))
+        while True:
+            far = up.select("graph_id", F.col("c").alias("up"), F.col("up").alias("far"))
+            new = cut(up.join(far, ["graph_id", "up"]).select(*key, F.col("up").alias("old"), F.col("far").alias("up")))
+            up, moved = new.select(*key, "up"), not new.filter("old != up").isEmpty()
+            if not moved:
+                break
+        named = open_.join(up.toDF("graph_id", "cs", "rs"), ["graph_id", "cs"]).join(up.toDF("graph_id", "cd", "rd"), ["graph_id", "cd"])
+        open_ = cut(named.filter("rs != rd").select("graph_id", "src", "dst", "weight", F.col("rs").alias("cs"), F.col("rd").alias("cd")))
+    return weighted.select("graph_id", "src", "dst", "weight").limit(0) if taken is None else taken
 
 
 def euclidean_mst(points: DataFrame, max_radius: float | None = None) -> DataFrame:

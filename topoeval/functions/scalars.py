@@ -67,6 +67,14 @@ def safe_ratio(x: Name, d: Name) -> Column:
     return _col(x) / F.greatest(_col(d), F.lit(1))
 
 
+def safe_corr(x: Name, y: Name) -> Column:
+    """Pearson correlation as an aggregate over pairs without NULL; NULL where a side does not vary."""
+    x, y = _col(x).cast("double"), _col(y).cast("double")
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    s = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(s > 1e-150, F.covar_pop(x, y) / s)
+
+
 def clip(x: Name, low: float, high: float) -> Column:
     return F.least(F.greatest(_col(x), F.lit(low)), F.lit(high))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoeval.functions.scalars import safe_corr
 from topoeval.operators.summaries import avg_rank
 
 
@@ -105,10 +106,10 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", keys: Se
     """MAE, RMSE, R2 and Spearman."""
     e = F.col(y) - F.col(pred)
     base = df.groupBy(*keys).agg(
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), F.count("*").alias("n")
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"), F.count("*").alias("n")
     )
     ranked = avg_rank(avg_rank(df, y, keys, "__ry"), pred, keys, "__rp")
-    rho = ranked.groupBy(*keys).agg(F.corr("__ry", "__rp").alias("spearman"))
+    rho = ranked.groupBy(*keys).agg(safe_corr("__ry", "__rp").alias("spearman"))
     return base.join(rho, list(keys)) if keys else base.crossJoin(rho)
 
 

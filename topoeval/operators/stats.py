@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topoeval.functions.scalars import safe_corr
 from topoeval.functions.tails import norm_sf, t_sf, wilcoxon_exact_p
 from topoeval.operators.summaries import avg_rank, holm_adjust
 
@@ -76,7 +77,7 @@ def safe_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
     rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
     ranked = avg_rank(avg_rank(rows, "x", keys, "rx"), "y", keys, "ry")
     r = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_distinct("x").alias("dx"), F.count_distinct("y").alias("dy"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")
+        F.count("*").alias("n"), F.count_distinct("x").alias("dx"), F.count_distinct("y").alias("dy"), safe_corr("x", "y").alias("pearson"), safe_corr("rx", "ry").alias("spearman")
     )
     ok = (F.col("n") >= 3) & (F.col("dx") > 1) & (F.col("dy") > 1)
     for c in ("pearson", "spearman"):

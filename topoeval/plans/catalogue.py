@@ -585,11 +585,11 @@ def _(s, d):
     return r6(stats.leave_one_out_means(_selected(s, d), "dataset", "gain"), "mean", "median", "positive")
 
 
-@query("holm", f"""WITH {SQL_SEL}, t AS (SELECT dataset, backbone, round(abs(avg(gain)), 6) AS p FROM sel GROUP BY 1, 2), q AS (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p, dataset, backbone) + 1) AS st FROM t)
-SELECT dataset, backbone, p, round(least(max(st) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 1.0), 6) AS p_holm FROM q""")
+@query("holm", f"""WITH {SQL_SEL}, t AS (SELECT dataset, backbone, round(abs(avg(gain)), 9) AS p FROM sel GROUP BY 1, 2), q AS (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p, dataset, backbone) + 1) AS st FROM t)
+SELECT dataset, backbone, p, round(least(max(st) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING), 1.0), 9) AS p_holm FROM q""")
 def _(s, d):
-    t = _selected(s, d).groupBy("dataset", "backbone").agg(F.round(F.abs(F.avg("gain")), 6).alias("p"))
-    return r6(S.holm_adjust(t), "p_holm")
+    t = _selected(s, d).groupBy("dataset", "backbone").agg(F.round(F.abs(F.avg("gain")), 9).alias("p"))
+    return S.holm_adjust(t).withColumn("p_holm", F.round("p_holm", 9))
 
 
 @query("metric_suitability")

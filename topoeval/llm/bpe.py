@@ -60,6 +60,8 @@ class Merges:
         ids = self.vocab
         #: (left, right) -> (rank, merged)
         self.rank = {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in reversed([*enumerate(pairs)])}
+        self.order = {p: r for p, (r, _) in self.rank.items()}
+        self.made = {r: merged for r, merged in self.rank.values()}
         chars = byte_chars()
         self.first = [ids[c] for c in chars]
         self.last = [ids[c + self.suffix] for c in chars]
@@ -80,21 +82,21 @@ class Merges:
         """Tokens of a sequence of symbols: least rank first, leftmost of equal ones."""
         if len(symbols) > 64:
             return self._merge_long(symbols)
-        rank, s = self.rank, list(symbols)
-        found = [rank.get(p) for p in zip(s, s[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for k, r in enumerate(found):
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, at = r, k
-            if best is None:
-                return s
-            s[at : at + 2] = [best[1]]
-            del found[at]
+        get, made, never = self.order.get, self.made, 1 << 30
+        s = list(symbols)
+        ranks = [get(p, never) for p in zip(s, s[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == never:
+                break
+            at = ranks.index(best)
+            s[at : at + 2] = [made[best]]
+            del ranks[at]
             if at:
-                found[at - 1] = rank.get((s[at - 1], s[at]))
-            if at < len(found):
-                found[at] = rank.get((s[at], s[at + 1]))
+                ranks[at - 1] = get((s[at - 1], s[at]), never)
+            if at < len(ranks):
+                ranks[at] = get((s[at], s[at + 1]), never)
+        return s
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         rank, s, n = self.rank, list(symbols), len(symbols)
@@ -225,6 +227,9 @@ class Tokenization:
         """Ids of one word, given in byte-level characters."""
         symbols = [self.char_first[c] for c in word]
         symbols[-1] = self.char_last[word[-1]]
+        return self._symbols(symbols)
+
+    def _symbols(self, symbols: list[int]) -> tuple[int, ...]:
         if len(symbols) <= CACHED_CHARS:
             return tuple(self.merges.merge(symbols))
         t = Transducer(self.merges)
@@ -240,21 +245,27 @@ class WordTokenization(Tokenization):
     """Tokenizer files that lower-case, drop white space and mark the ends of words."""
 
     CHUNK = re.compile(f"[^{_SPACE}]+")
-    ASCII = re.compile(rf"[a-z]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}a-z0-9]+")
+    #: Words of lower-case Latin-1, whose letters and numbers are the same in all versions of Unicode, which is in
+    #: normal form C, and whose capitals each have one small letter.
+    LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+    NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+    WORD = re.compile(rf"[{LETTER}]+|[{NUMBER}]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{LETTER}{NUMBER}]+")
+    #: Controls, and what else may be white space, are left to the library; so is all beyond Latin-1.
+    ODD = re.compile(r"[\x00-\x1f\x7f-\xa0]|[^\x00-\xff]")
 
     def __init__(self, text: str):
         super().__init__(text)
-        self.chunk_ids = Cache(self._chunk)
-        self.control = re.compile(r"[\x00-\x1f\x7f]")
+        self.chunk_ids = Cache(self._chunk, 2 * CACHE)
+        self.plain_ids = Cache(lambda w: self._symbols(self.merges.symbols(w.encode())))
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        if chunk.isascii() and not self.control.search(chunk):
-            words = self.ASCII.findall(chunk.lower())
+        if self.ODD.search(chunk):
+            words, ids = self.library_words(chunk), self.word_ids
         else:
-            words = self.library_words(chunk)
+            words, ids = self.WORD.findall(chunk.lower()), self.plain_ids
         if len(words) == 1:
-            return self.word_ids[words[0]]
-        return tuple(i for w in words for i in self.word_ids[w])
+            return ids[words[0]]
+        return tuple(i for w in words for i in ids[w])
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, in lists of bounded size for ordinary texts."""

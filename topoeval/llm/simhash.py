@@ -291,26 +291,42 @@ def near_duplicates(
         F.min("doc_id").alias("least"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
     )
     classes = checkpointed(classes)
-    root = components(links(classes.select("fp"), tau, block)).withColumnRenamed("node", "fp")
-    joined = root.join(classes, "fp")
+    roots = components(links(classes.select("fp"), tau, block))
+    return labelled(docs, classes, roots, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def labelled(docs: DataFrame, classes: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """docs (doc_id, by) with component_id, from classes (by, least, salts) and roots (node, root)."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    root = roots.withColumnRenamed("node", by)
+    joined = root.join(classes, by)
     by_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(by_root, "root").select("fp", "component_id")
-    known = classes.join(named, "fp", "left").select(
-        "fp",
+    named = root.join(by_root, "root").select(by, "component_id")
+    known = classes.join(named, by, "left").select(
+        by,
         F.coalesce("component_id", "least").alias("component_id"),
         F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> getbit(salts, s) = 1)")).alias("salt"),
     )
-    return docs.withColumn("salt", salt).join(known, ["fp", "salt"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return docs.withColumn("salt", salt).join(known, [by, "salt"])
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the least of its component, all columns. Ids must be distinct;
-    a row with a null id stays only if it is alone in its component.
+def keep_least(docs: DataFrame, id_col: str, text_col: str, operator, **options) -> DataFrame:
+    """One row of docs for each component that operator(docs, id, text) finds, all columns: that with
+    the least id, null last, then least hash of its text. Rows that share both are one.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
+    found = operator(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", **options)
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg((F.count("*") > 1).alias("__many"))
+    kept = checkpointed(kept.select("__many", *(F.col(f"__kept.{c}").alias(f"__{c}") for c in ("id", "hash"))))
+    rows = docs.withColumn("__row", key.getField("hash")).join(
+        kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
     )
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    one = rows.filter("not __many").select(*docs.columns)
+    return one.unionByName(rows.filter("__many").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs for each component, all columns: that with the least id, null last."""
+    return keep_least(docs, id_col, text_col, near_duplicates, **options)

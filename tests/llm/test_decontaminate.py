@@ -82,3 +82,12 @@ def test_drop_and_strip(spark, docs):
     hits = {i: (n, h) for i, n, h, _ in by_hand(rows, items)}
     for i, t in rows:
         assert cut[i] == t if i not in bad else len(words(cut[i])) == hits[i][0] - hits[i][1]
+
+
+def test_null_and_repeated_ids(spark, docs):
+    bench = spark.createDataFrame([(None, "one two three four"), (1, "five six seven")], "item_id long, text string")
+    rows = [(None, "a one two three four b"), (None, "fine"), (2, "five six seven"), (2, "fine too"), (3, None)]
+    assert [r[1:] for r in found(D.contamination(docs(rows), bench)) if r[2]] == [(3, 3, ("1",)), (6, 4, ())]
+    kept = D.drop_contaminated(docs(rows), bench).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(2, "fine too"), (3, None)]
+    assert [r.text for r in kept if r.doc_id is None] == ["fine"]

@@ -33,11 +33,11 @@ def benchmark_windows(
 ) -> DataFrame:
     """Distinct windows: len, hash, gram (array of words), items (sorted item ids as strings).
 
-    Items without words give none; an item id that is null is dropped (it can't be reported).
+    Items without words give none; an item whose id is null counts for hits and is not listed.
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")
-    ).filter("size(w) > 0 and item is not null")
+    ).filter("size(w) > 0")
     length = F.least(F.size("w"), F.lit(window))
     grams = (
         items.withColumn("len", length)
@@ -140,11 +140,16 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without any hit word, all columns. Rows that share an id go together;
-    rows with a null id stay.
+    """The rows of docs without any hit word, all columns. Each row goes by its own id and text, also
+    where ids repeat or are null.
     """
-    bad = contamination(docs, benchmark, id_col=id_col, **options).filter("n_hit > 0").select("doc_id")
-    return docs.join(bad.distinct().withColumnRenamed("doc_id", "__bad"), F.col(id_col) == F.col("__bad"), "left_anti")
+    text_col = options.pop("text_col", "text")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    keyed = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    bad = contamination(keyed, benchmark, id_col="__key", text_col="__text", **options).filter("n_hit > 0")
+    bad = bad.select(F.col("doc_id.id").alias("__bad"), F.col("doc_id.hash").alias("__hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__bad")) & (F.xxhash64(text_col) == F.col("__hash"))
+    return docs.join(bad, same, "left_anti")
 
 
 def strip_spans(

@@ -79,3 +79,15 @@ def test_odd(spark, odd, none):
     one_label = spark.createDataFrame([(k, 1, 0) for k in range(20)], schema)
     assert X.train(odd, one_label).weights == {}
     assert X.drop_toxic(odd, X.Model({}, -1.0)).columns == odd.columns
+
+
+def test_long_words_are_scored_whole():
+    model = X.Model({"venm": 4.0}, 0.0)
+    for n in (10, 36, 37, 38, 39, 40, 60, 500, 5000):
+        word = "a" * n + "venm" + "b" * 30
+        assert model.score(word) > 0.9 and model.score(f"x {word} y") > 0.9
+    r = random.Random(1)
+    for n in (40, 41, 75, 76, 80, 333):
+        word = "".join(r.choice("abcdefgh") for _ in range(n))
+        grams = {word[k : k + 4] for k in range(1, n - 4)}
+        assert grams <= X.text_features(X.word_counts(word)).keys()

@@ -57,6 +57,8 @@ SWAP = {a: b for kind in IDENTITY_TERMS for a, b in zip(kind, kind[1:] + kind[:1
 
 WORD = re.compile(r"[^\W_]+")
 PIECE_CHARS = 1 << 20
+#: A longer word is cut into pieces of so many characters; neighbours overlap so that no inner 4-gram is lost.
+WORD_CHARS, OVERLAP = 40, 5
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,16 +74,21 @@ def word_features(word: str) -> list[str]:
 
 
 def word_counts(text: str) -> Counter:
-    """Lower-case words of the whole text with their counts."""
+    """Lower-case words of the whole text, long ones in pieces, with their counts."""
     low = text.lower()
-    return Counter(WORD.findall(low) if len(low) <= PIECE_CHARS else (m[0] for m in WORD.finditer(low)))
+    found = Counter(WORD.findall(low) if len(low) <= PIECE_CHARS else (m[0] for m in WORD.finditer(low)))
+    for w in [w for w in found if len(w) > WORD_CHARS]:
+        n = found.pop(w)
+        for at in range(0, len(w) - OVERLAP, WORD_CHARS - OVERLAP):
+            found[w[at : at + WORD_CHARS]] += n
+    return found
 
 
 def text_features(words: Counter) -> dict[str, int]:
     """Counts of all features of a text's words."""
     out: dict[str, int] = {}
     for w, n in words.items():
-        for f in word_features(w[:40]):
+        for f in word_features(w):
             out[f] = out.get(f, 0) + n
     return out
 
@@ -104,7 +111,7 @@ class Model:
     bias: float
 
     def word_indices(self, word: str) -> tuple[tuple[str, float], ...]:
-        return tuple((f, self.weights[f]) for f in word_features(word[:40]) if f in self.weights)
+        return tuple((f, self.weights[f]) for f in word_features(word) if f in self.weights)
 
     @functools.cached_property
     def _words(self) -> Cache:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from test_dedup import near_texts
 
@@ -67,3 +68,12 @@ def test_rows_not_ids(docs, drop):
     rows = [(1, a), (1, a), (1, a + " "), (None, a), (None, b), (2, b), (None, "lone words that nobody else says here"), (None, "lone words that nobody else says here")]
     got = sorted(((r.doc_id, (r.text or "").strip()) for r in drop(docs(rows)).collect()), key=str)
     assert got == sorted([(1, a.strip()), (2, b), (None, "lone words that nobody else says here")], key=str)
+
+
+def test_sketches_lose_no_pair():
+    r = np.random.default_rng(1)
+    for n in (1, 5, 300, 5000, 60_000):
+        one = r.integers(0, 1 << 63, n).astype(np.uint64)
+        two = np.concatenate((one[: n - n // 10], r.integers(0, 1 << 63, n // 10).astype(np.uint64)))
+        a, b, c = (np.frombuffer(N.sketch(x), np.uint8)[None] for x in (one, two, r.integers(0, 1 << 63, n).astype(np.uint64)))
+        assert N.possible(a, b)[0] and (n != 300 or not N.possible(a, c)[0])

@@ -57,9 +57,44 @@ def test_transducer_equals_whole_merge(word_tokens):
     assert 1 < m.lookahead < 1000
     for k in range(12):
         word = "".join(r.choice(["the", "ing", "and", "tion", "er", "on", "a", "in", "z"]) for _ in range(r.choice([5, 300, 2000]))).encode()
-        t = bpe.Transducer(m)
-        assert [*t.feed(m.symbols(word)), *t.flush()] == m.merge(m.symbols(word)), k
-        assert len(t.window) == 0 and t.full < 4 * m.lookahead + 1000
+        symbols, t, out = m.symbols(word), bpe.Transducer(m), []
+        for at in range(0, len(symbols), 97):  # an unfinished word, until the flush
+            ids, counts = t.feed(np.array(symbols[at : at + 97], np.int32), np.empty(0, np.int64))
+            assert len(counts) == 0 and len(t.held) < m.window + 97
+            out += ids.tolist()
+        assert len(symbols) < m.window or out  # long words are emitted before they end
+        assert [*out, *t.flush().tolist()] == m.merge(symbols), k
+        assert len(t.held) == 0
+
+
+def test_transducer_emits_at_word_ends(word_tokens):
+    m, r = word_tokens.merges, random.Random(3)
+    words = ["".join(r.choice("abcdeinrst") for _ in range(r.choice([1, 2, 3, 7, 20, 64, 65, 200]))).encode() for _ in range(300)]
+    symbols = [s for w in words for s in m.symbols(w)]
+    ends = np.cumsum([len(w) for w in words])
+    t, got, counts = bpe.Transducer(m), [], []
+    cuts = sorted(r.sample(range(1, len(symbols)), 20))
+    for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True):
+        inside = ends[(ends > a) & (ends <= b)] - a
+        ids, n = t.feed(np.array(symbols[a:b], np.int32), inside)
+        got += ids.tolist()
+        counts += n.tolist()
+    assert got == [i for w in words for i in m.merge(m.symbols(w))]
+    assert len(counts) == len(words) and len(t.held) == 0
+
+
+def test_all_words_go_through_the_transducer(word_tokens, monkeypatch):
+    fed = []
+    feed = bpe.Transducer.feed
+
+    def watched(self, symbols, ends):
+        fed.append(len(ends))
+        return feed(self, symbols, ends)
+
+    monkeypatch.setattr(bpe.Transducer, "feed", watched)
+    monkeypatch.setattr(word_tokens, "known", {})
+    ((n, _, _),) = word_tokens.digests(["some words, SOME more"])
+    assert n == 5 and fed == [4]  # some , words more
 
 
 def test_byte_state_machine(word_tokens):

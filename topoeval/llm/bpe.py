@@ -2,17 +2,21 @@
 
 Encoder. A merge can only wait for symbols to its right through a chain of merges of ever
 smaller rank, so the merge list itself gives the number of symbols after which nothing to the
-right can change a token any more (Merges.lookahead). The transducer reads symbols, merges its
-window, emits the tokens that end that far from the window's end and keeps the rest: tokens
-come out once they are stable, and memory is the window, whatever the length of the word. Texts are
-read in slices of bounded size as well; a word never crosses a slice. Words seen before are
-taken from a bounded cache.
-
-Decoder. A state machine turns ids into the bytes that their token strings stand for and
-decodes UTF-8 incrementally, so that a character may be spread over tokens and calls.
-
-Normalisation and the cutting of text into words are those of the tokenizer file, by the tokenizers
-library except for plain ASCII, where both are a regular expression.
+right can change a token any more (Merges.lookahead). The transducer reads symbols and emits a token once
+it is stable: once its word has ended, or that many symbols of the word stand behind it. What is
+not stable yet is its memory: less than a window of a few lookaheads, whatever the length of the word. Every
+word goes through it, the words of a slice of texts in one stream; all words that have ended
+inside the stream are merged side by side, a round of merges for all of them at a time.
+
+Decoder. A state machine turns ids into the bytes that their token strings stand for, and bytes
+into text: UTF-8, decoded incrementally, so that a character may be spread over tokens and calls; or
+the byte alphabet of the file, as the tokenizers library writes ids for a file without a decoder.
+
+Texts are read in slices of bounded size, cut at white space. The distinct chunks (stretches
+without white space) of a slice are encoded and decoded once, and those of late slices are remembered
+in a bounded table; a text's digests follow from the joined forms of its chunks. Normalisation and
+the cutting of chunks into words are those of the tokenizer file, by the tokenizers library except for
+Latin-1, where both are a regular expression.
 """
 
 from __future__ import annotations
@@ -23,17 +27,22 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from topoeval.llm.common import slices, texts
 
-#: Characters of text that are encoded at a time, entries of a word cache, longest word in it.
+#: Characters of text that are encoded at a time, entries of a cache, longest word in it.
 SLICE_CHARS = 1 << 18
 CACHE = 400_000
 CACHED_CHARS = 64
+#: Longest word that is merged side by side with others.
+SHORT = 64
+NEVER = np.int32(1 << 30)
 
 _SPACE = " \t\n\r\x0b\x0c"
 
@@ -71,6 +80,13 @@ class Merges:
             i: len(t) - len(self.suffix) * (bool(self.suffix) and t.endswith(self.suffix) and len(t) > len(self.suffix))
             for t, i in ids.items()
         }
+        self.first_of, self.last_of = np.array(self.first, np.int32), np.array(self.last, np.int32)
+        keys = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        by_key = np.argsort(keys)
+        self._keys = keys[by_key]
+        self._ranks = np.array([r for r, _ in self.rank.values()], np.int32)[by_key]
+        self._made = np.zeros(len(pairs), np.int32)
+        self._made[list(self.made)] = list(self.made.values())
 
     def symbols(self, word: bytes) -> list[int]:
         out = [self.first[b] for b in word]
@@ -116,6 +132,100 @@ class Merges:
                     heapq.heappush(heap, (r[0], x, s[x], s[y], r[1]))
         return [x for x in s if x >= 0]
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of symbols; NEVER if there is none."""
+        keys = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._ranks[at], NEVER)
+
+    def merge_equal(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words of one size (a row of symbols each): the rows, filled with -1, and their sizes."""
+        n, width = words.shape
+        out, sizes = np.full((n, width), -1, np.int32), np.full(n, width, np.int64)
+        rank = np.full((n, width), NEVER, np.int32)
+        rank[:, : width - 1] = self.ranks(words[:, :-1], words[:, 1:])
+        tokens, row, last = words.copy(), np.arange(n), width
+        while len(row):
+            at = rank.argmin(axis=1)
+            every = np.arange(len(row))
+            best = rank[every, at]
+            live = best < NEVER
+            if not live.all():
+                out[row[~live], :last] = tokens[~live, :last]
+                sizes[row[~live]] = last
+                row, at, best, every = row[live], at[live], best[live], every[: int(live.sum())]
+                tokens, rank = tokens[live], rank[live]
+            if not len(row):
+                break
+            tokens[every, at] = self._made[best]
+            last -= 1  # every live word loses one symbol in every round
+            cols = np.arange(last)[None, :]
+            tokens = np.take_along_axis(tokens, cols + (cols > at[:, None]), axis=1)
+            rank = np.take_along_axis(rank, cols + (cols >= at[:, None]), axis=1)
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self.ranks(tokens[left, at[left] - 1], tokens[left, at[left]])
+            right = np.flatnonzero(at < last - 1)
+            rank[right, at[right]] = self.ranks(tokens[right, at[right]], tokens[right, at[right] + 1])
+        return out, sizes
+
+    def merge_words(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of many words that end (behind a symbol) at ``ends``, and how many each word has."""
+        begins = np.concatenate(([0], ends[:-1]))
+        size = ends - begins
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.diff(size[order], prepend=-1))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        counts = np.zeros(len(ends), np.int64)
+        for of in np.split(order, cuts[1:]):
+            width = int(size[of[0]]) if len(of) else 0
+            if width == 0:
+                continue
+            if width == 1:
+                rows, n = symbols[begins[of]][:, None], np.ones(len(of), np.int64)
+            elif width <= SHORT:
+                rows, n = self.merge_equal(symbols[begins[of][:, None] + np.arange(width)])
+            else:
+                for w in of.tolist():
+                    tokens = np.array([*self.windowed(symbols[begins[w] : ends[w]].tolist())], np.int32)
+                    counts[w] = len(tokens)
+                    found.append((np.array([w]), tokens[None, :], counts[w : w + 1]))
+                continue
+            counts[of] = n
+            found.append((of, rows, n))
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        for of, rows, n in found:
+            inside = np.arange(rows.shape[1])[None, :] < n[:, None]
+            out[(starts[of][:, None] + np.arange(rows.shape[1]))[inside]] = rows[inside]
+        return out, counts
+
+    def stable(self, window: list[int]) -> tuple[list[int], int]:
+        """Tokens of the window that no symbol behind it can change, and how many symbols they take."""
+        bound, end, out = len(window) - self.lookahead, 0, []
+        for t in self.merge(window):
+            if end + self.width[t] > bound:
+                break
+            end += self.width[t]
+            out.append(t)
+        return out, end
+
+    @functools.cached_property
+    def window(self) -> int:
+        return 4 * self.lookahead + 256
+
+    def windowed(self, symbols: list[int]) -> Iterator[int]:
+        """Tokens of a long word, each emitted once it is stable."""
+        held: list[int] = []
+        full = self.window
+        for at in range(0, len(symbols), 256):
+            held += symbols[at : at + 256]
+            if len(held) >= full:
+                out, end = self.stable(held)
+                yield from out
+                held = held[end:]
+                full = max(self.window, len(held) + self.lookahead + 256)
+        yield from self.merge(held)
+
     @functools.cached_property
     def lookahead(self) -> int:
         """Symbols beyond a token's end that can decide whether it comes to be and stays.
@@ -133,28 +243,36 @@ class Merges:
 
 
 class Transducer:
-    """Symbols in, stable tokens out, with memory for a window of a few lookaheads."""
+    """Symbols in, stable tokens out. Between calls it holds the symbols of an unfinished word that
+    are not stable yet: fewer than a window.
+    """
 
     def __init__(self, merges: Merges):
-        self.merges, self.keep = merges, merges.lookahead
-        self.full = 4 * self.keep + 256
-        self.window: list[int] = []
-
-    def feed(self, symbols: Iterable[int]) -> Iterator[int]:
-        for s in symbols:
-            self.window.append(s)
-            if len(self.window) >= self.full:
-                stable, end = len(self.window) - self.keep, 0
-                for t in self.merges.merge(self.window):
-                    if (to := end + self.merges.width[t]) > stable:
-                        break
-                    end = to
-                    yield t
-                self.window = self.window[end:]
-                self.full = max(self.full, len(self.window) + self.keep + 256)
-
-    def flush(self) -> list[int]:
-        out, self.window = self.merges.merge(self.window), []
+        self.merges = merges
+        self.held = np.empty(0, np.int32)
+
+    def feed(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next symbols; words end behind a symbol at ``ends``. Tokens that are stable now, and
+        how many of them belong to each word that ended; tokens beyond those are of an unfinished word.
+        """
+        held = len(self.held)
+        symbols = np.concatenate((self.held, symbols)).astype(np.int32, copy=False)
+        ends = np.asarray(ends, np.int64) + held
+        done = int(ends[-1]) if len(ends) else 0
+        tokens, counts = self.merges.merge_words(symbols[:done], ends) if len(ends) else (np.empty(0, np.int32), np.empty(0, np.int64))
+        rest, early = symbols[done:], []
+        while len(rest) >= self.merges.window:
+            out, end = self.merges.stable(rest[: self.merges.window].tolist())
+            if not end:
+                break
+            early += out
+            rest = rest[end:]
+        self.held = rest
+        return np.concatenate((tokens, np.array(early, np.int32))), counts
+
+    def flush(self) -> np.ndarray:
+        """The end of an unfinished word."""
+        out, self.held = np.array([*self.merges.windowed(self.held.tolist())], np.int32), np.empty(0, np.int32)
         return out
 
 
@@ -195,6 +313,13 @@ class Cache(dict):
         self[word] = out
 
 
+def lists(values, sizes: np.ndarray) -> pa.ListArray:
+    """An Arrow array of lists of these sizes."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
 class Tokenization:
     """What both kinds of tokenizer files share: the file, special strings, words to ids."""
 
@@ -208,9 +333,6 @@ class Tokenization:
         self.merges = Merges(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        self.char_first = {c: self.merges.first[b] for c, b in self.merges.byte_of.items()}
-        self.char_last = {c: self.merges.last[b] for c, b in self.merges.byte_of.items()}
-        self.word_ids = Cache(self._word)
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Ordinary stretches of a text, and the special strings in it with their ids."""
@@ -223,89 +345,185 @@ class Tokenization:
         if at < len(text):
             yield text[at:] if at else text, None
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word, given in byte-level characters."""
-        symbols = [self.char_first[c] for c in word]
-        symbols[-1] = self.char_last[word[-1]]
-        return self._symbols(symbols)
-
-    def _symbols(self, symbols: list[int]) -> tuple[int, ...]:
-        if len(symbols) <= CACHED_CHARS:
-            return tuple(self.merges.merge(symbols))
-        t = Transducer(self.merges)
-        return (*t.feed(symbols), *t.flush())
-
     def library_words(self, text: str) -> list[str]:
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def transduced(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of groups of so many words each, in order, and how many each group has. The distinct words go
+        through the transducer as one stream of symbols.
+        """
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary
+        ends = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1)[1:] if len(distinct) else np.empty(0, np.int64)
+        raw = np.frombuffer(distinct.buffers()[2], np.uint8, int(ends[-1])) if len(ends) and ends[-1] else np.empty(0, np.uint8)
+        symbols = self.merges.first_of[raw]
+        symbols[ends - 1] = self.merges.last_of[raw[ends - 1]]
+        ids, counts = Transducer(self.merges).feed(symbols, ends)
+        each = lists(pa.array(ids), counts).take(coded.indices)
+        n = np.concatenate(([0], np.cumsum(pc.list_value_length(each).to_numpy())))
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        return each.flatten().to_numpy(), np.diff(n[at])
+
 
 class WordTokenization(Tokenization):
     """Tokenizer files that lower-case, drop white space and mark the ends of words."""
 
     CHUNK = re.compile(f"[^{_SPACE}]+")
     #: Words of lower-case Latin-1, whose letters and numbers are the same in all versions of Unicode, which is in
-    #: normal form C, and whose capitals each have one small letter.
+    #: normal form C, and whose capitals each have one small letter. A line end stands between chunks.
     LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
     NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-    WORD = re.compile(rf"[{LETTER}]+|[{NUMBER}]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{LETTER}{NUMBER}]+")
+    WORD = re.compile(rf"[{LETTER}]+|\n|[{NUMBER}]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{LETTER}{NUMBER}]+")
     #: Controls, and what else may be white space, are left to the library; so is all beyond Latin-1.
     ODD = re.compile(r"[\x00-\x1f\x7f-\xa0]|[^\x00-\xff]")
 
     def __init__(self, text: str):
         super().__init__(text)
-        self.chunk_ids = Cache(self._chunk, 2 * CACHE)
-        self.plain_ids = Cache(lambda w: self._symbols(self.merges.symbols(w.encode())))
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        if self.ODD.search(chunk):
-            words, ids = self.library_words(chunk), self.word_ids
-        else:
-            words, ids = self.WORD.findall(chunk.lower()), self.plain_ids
-        if len(words) == 1:
-            return ids[words[0]]
-        return tuple(i for w in words for i in ids[w])
+        machine = Decoder(self)
+        strings = self.merges.strings | {i: t for t, i in self.special.items()}
+        ids = range(max(strings) + 1)
+        #: for each id: a space and the id; a space and the text that the decoder gives for it
+        self.decimal = pa.array([f" {i}" for i in ids], pa.string())
+        self.written = pa.array([" " + machine.written(i) if i in strings else None for i in ids], pa.string())
+        #: chunk -> (number of ids, decimal form, decoded form)
+        self.known: dict[str, tuple[int, str, str]] = {}
+
+    def chunk_ids(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The chunks in some order, their ids and how many each has."""
+        odd = [c for c in chunks if self.ODD.search(c)]
+        if odd:
+            leave = set(odd)
+            chunks = [c for c in chunks if c not in leave]
+        words = self.WORD.findall("\n".join(chunks).lower())
+        coded = np.frombuffer(b"".join([b"\1" if w == "\n" else b"\0" for w in words]), np.uint8)
+        breaks = np.flatnonzero(coded)
+        sizes = np.diff(np.concatenate(([-1], breaks, [len(words)]))) - 1 if chunks else np.empty(0, np.int64)
+        if len(breaks):
+            words = [w for w in words if w != "\n"]
+        byte_of, more = self.merges.byte_of, []
+        for c in odd:
+            found = [bytes(map(byte_of.__getitem__, w)).decode() for w in self.library_words(c)]
+            words += found
+            more.append(len(found))
+        ids, counts = self.transduced(words, np.concatenate((sizes, np.array(more, np.int64))).astype(np.int64))
+        return [*chunks, *odd], ids, counts
+
+    def forms(self, chunks: list[str]) -> list[tuple[int, str, str]]:
+        """Of each chunk: number of ids, its ids in decimal form, and what they decode to; a space before each."""
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        if new:
+            if len(known) + len(new) > 2 * CACHE:
+                known.clear()
+                new = chunks
+            new, ids, counts = self.chunk_ids(new)
+            found = (pc.binary_join(lists(of.take(pa.array(ids)), counts), "").to_pylist() for of in (self.decimal, self.written))
+            known.update(zip(new, zip(counts.tolist(), *found, strict=True), strict=True))
+        out = list(map(known.__getitem__, chunks))
+        for c in [c for c in new if len(c) > CACHED_CHARS]:
+            known.pop(c, None)
+        return out
+
+    def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """Slices of a text, and special strings with their ids."""
+        for part, special in self.segments(text):
+            if special is not None:
+                yield part, special
+            else:
+                for piece in cut_at_space(part):
+                    yield piece, None
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, in lists of bounded size for ordinary texts."""
-        for part, special in self.segments(text):
+        for piece, special in self.pieces(text):
             if special is not None:
                 yield [special]
-                continue
-            for piece in cut_at_space(part):
-                out: list[int] = []
-                for ids in map(self.chunk_ids.__getitem__, self.CHUNK.findall(piece)):
-                    out += ids
-                if out:
-                    yield out
+            elif chunks := self.CHUNK.findall(piece):
+                names, ids, counts = self.chunk_ids([*dict.fromkeys(chunks)])
+                ends = np.cumsum(counts)
+                at = {c: (int(e - n), int(e)) for c, n, e in zip(names, counts, ends, strict=True)}
+                yield [i for c in chunks for i in ids[slice(*at[c])].tolist()]
+
+    def joined(self, plain: pa.StringArray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """Of each piece of text: number of ids, the ids in decimal form and the decoded text (a space before each)."""
+        split = pc.ascii_split_whitespace(plain)
+        coded = split.flatten().dictionary_encode()
+        forms = self.forms([c for c in coded.dictionary.to_pylist() if c])
+        if (blank := pc.index(coded.dictionary, "").as_py()) >= 0:
+            forms.insert(blank, (0, "", ""))  # before the first and behind the last white space
+        n = np.array([f[0] for f in forms], np.int64)
+        sizes = pc.list_value_length(split).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        total = np.concatenate(([0], np.cumsum(n[coded.indices.to_numpy()])))
+        out = []
+        for k in (1, 2):
+            strings = pa.array([f[k] for f in forms], pa.binary()).take(coded.indices)
+            out.append(pc.binary_join(lists(strings, sizes), b"").to_pylist())
+        return np.diff(total[ends]), *out
+
+    def digests(self, batch_texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the ids (decimal, a space between) and of the decoded text."""
+        plans = [None if len(x) <= SLICE_CHARS and not self._special.search(x) else [*self.pieces(x)] for x in batch_texts]
+        plain = [x for x, p in zip(batch_texts, plans, strict=True) if p is None]
+        found = zip(*self.joined(pa.array(plain, pa.string())), strict=True) if plain else iter(())
+        for plan in plans:
+            n, a, d = 0, hashlib.sha256(), hashlib.sha256()
+            for piece, special in plan or [(None, None)]:
+                if plan is None:
+                    count, ids, text = next(found)
+                elif special is not None:
+                    count, ids, text = 1, f" {special}".encode(), f" {piece}".encode()
+                else:
+                    ((count, ids, text),) = zip(*self.joined(pa.array([piece], pa.string())), strict=True)
+                a.update(memoryview(ids)[0 if n else 1 :])
+                d.update(memoryview(text)[0 if n else 1 :])
+                n += int(count)
+            yield n, a.hexdigest(), d.hexdigest()
 
 
 class Decoder:
-    """Ids to text. ``library``: as the tokenizers library decodes with a file without a
-    decoder, that is token strings joined by a space. Otherwise the bytes of the tokens, a space for
-    each end of a word but the last, as UTF-8 with U+FFFD for what is none.
+    """Ids to text by a state machine over bytes. ``library``: as the tokenizers library decodes with a
+    file without a decoder, that is every byte as its letter of the byte alphabet, the mark of a word's
+    end, and a space between tokens. Otherwise the bytes as UTF-8 with U+FFFD for what is none, and a space
+    for each end of a word but the last.
     """
 
     def __init__(self, tokens: Tokenization, library: bool = True):
-        self.library, self.suffix = library, tokens.merges.suffix
-        self.strings = tokens.merges.strings | {i: t for t, i in tokens.special.items()}
-        self.special, self.byte_of = set(tokens.special.values()), tokens.merges.byte_of
+        m = tokens.merges
+        self.library, self.suffix, self.letters = library, m.suffix, byte_chars()
+        self.special = {i: t for t, i in tokens.special.items()}
+        self.strings, self.byte_of = m.strings, m.byte_of
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
         self.begun = self.gap = False
 
+    def token(self, i: int) -> tuple[bytes, bool]:
+        """The bytes that an ordinary token stands for, and whether it ends a word."""
+        s = self.strings[i]
+        ends = bool(self.suffix) and s.endswith(self.suffix) and len(s) > len(self.suffix)
+        return bytes(self.byte_of[c] for c in (s[: -len(self.suffix)] if ends else s)), ends
+
+    def written(self, i: int) -> str:
+        """What the library writes for a token."""
+        if i in self.special:
+            return self.special[i]
+        raw, ends = self.token(i)
+        return "".join(map(self.letters.__getitem__, raw)) + (self.suffix if ends else "")
+
     def _bytes(self, i: int) -> bytes:
-        s, out = self.strings[i], b" " * self.gap
+        """What the token adds to the stream of bytes; whether a space is due is the machine's state."""
+        out = b" " * self.gap
         if i in self.special:
             self.gap = bool(self.suffix)
-            return out + s.encode()
-        self.gap = bool(self.suffix) and s.endswith(self.suffix) and len(s) > len(self.suffix)
-        return out + bytes(self.byte_of[c] for c in (s[: -len(self.suffix)] if self.gap else s))
+            return out + self.special[i].encode()
+        raw, self.gap = self.token(i)
+        return out + raw
 
     def feed(self, ids: list[int]) -> str:
         if self.library:
-            out = " ".join(map(self.strings.__getitem__, ids))
-            out, self.begun = " " * (self.begun and bool(ids)) + out, self.begun or bool(ids)
+            out = "".join([" " * (self.begun or k > 0) + self.written(i) for k, i in enumerate(ids)])
+            self.begun = self.begun or bool(ids)
             return out
         return "".join([self.utf8.decode(self._bytes(i)) for i in ids])
 
@@ -339,23 +557,12 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokenization(file.value)
-        decimal = {i: str(i) for i in Decoder(tokens).strings}
         for b in slices(batches):
-            counts, ids_sha, text_sha = [], [], []
-            for text in texts(b):
-                n, a, d, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tokens)
-                for ids in tokens.encode(text):
-                    a.update(((" " if n else "") + " ".join(map(decimal.__getitem__, ids))).encode())
-                    d.update(decoder.feed(ids).encode())
-                    n += len(ids)
-                d.update(decoder.flush().encode())
-                counts.append(n)
-                ids_sha.append(a.hexdigest())
-                text_sha.append(d.hexdigest())
+            counts, ids, decoded = zip(*tokens.digests(texts(b)), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                [b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            )
 
     return docs.select(id_col, text_col).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -197,6 +197,22 @@ def test_store(spark, docs, tmp_path, byte_library, block):
     assert whole == {i: [*byte_library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
 
 
-def test_store_odd(odd, none):
-    assert token_store.round_trip(odd, BYTES).count() == odd.count()
+def test_store_odd(odd, none, byte_library):
+    got = sorted((r.start, str(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_store.round_trip(odd, BYTES).collect())
+    rows, want = odd.collect(), []
+    for r in rows:
+        ids = [*byte_library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((str(r.doc_id), len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+    assert sorted(x[1:] for x in got) == sorted(want)
+    assert got[0][1] == "None" and [int(x[1]) for x in got[1:]] == sorted(r.doc_id for r in rows if r.doc_id is not None)
+    assert [x[0] for x in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
     assert token_store.round_trip(none, BYTES).count() == 0
+
+
+def test_encoder_as_library(byte_library):
+    r = random.Random(8)
+    plain = ["a", "th", "ing", " b", " The", "\n", "\n\n", "'s", "'ll", "!", "é", " É", "1", " 2", "\t", " 中", ","]
+    some = some_texts(1500, 9) + ["".join(r.choice(plain) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+    encoder = token_store._encoder(open(BYTES, encoding="utf-8").read())
+    for text, ids in zip(some, encoder.encode(some, 2), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*byte_library.encode(text, add_special_tokens=False).ids, 2], repr(text)

@@ -413,17 +413,17 @@ class WordTokenization(Tokenization):
     def forms(self, chunks: list[str]) -> list[tuple[int, str, str]]:
         """Of each chunk: number of ids, its ids in decimal form, and what they decode to; a space before each."""
         known = self.known
-        new = [c for c in chunks if c not in known]
-        if new:
+        out = list(map(known.get, chunks))
+        missing = [k for k, form in enumerate(out) if form is None]
+        if missing:
+            new, ids, counts = self.chunk_ids([chunks[k] for k in missing])
+            found = (pc.binary_join(lists(of.take(pa.array(ids)), counts), "").to_pylist() for of in (self.decimal, self.written))
+            fresh = dict(zip(new, zip(counts.tolist(), *found, strict=True), strict=True))
+            for k in missing:
+                out[k] = fresh[chunks[k]]
             if len(known) + len(new) > 2 * CACHE:
                 known.clear()
-                new = chunks
-            new, ids, counts = self.chunk_ids(new)
-            found = (pc.binary_join(lists(of.take(pa.array(ids)), counts), "").to_pylist() for of in (self.decimal, self.written))
-            known.update(zip(new, zip(counts.tolist(), *found, strict=True), strict=True))
-        out = list(map(known.__getitem__, chunks))
-        for c in [c for c in new if len(c) > CACHED_CHARS]:
-            known.pop(c, None)
+            known.update((c, f) for c, f in fresh.items() if len(c) <= CACHED_CHARS)
         return out
 
     def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:

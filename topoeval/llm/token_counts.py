@@ -42,6 +42,8 @@ class ByteTokenization(Tokenization):
         f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:[stmd]|re|ve|ll)| ?[^{_SPACE}{LETTER}{NUMBER}]+"
         f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
     )
+    #: The same for texts joined by a NUL, which stays by itself.
+    WORD_OR_NUL = re.compile("\0|" + WORD.pattern.replace(f"[^{_SPACE}", f"[^\0{_SPACE}"))
     #: Texts with these are cut by the library.
     ODD = re.compile(f"[{re.escape(''.join(map(chr, ODD_POINTS)))}]")
     ODD_LATIN = bytes(c for c in ODD_POINTS if c < 256)

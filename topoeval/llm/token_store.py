@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import sys
 import uuid
 import zlib
@@ -30,21 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topoeval.llm.bpe import CACHED_CHARS, Cache, tokenizer_file
+from topoeval.llm.bpe import CACHED_CHARS, tokenizer_file
 from topoeval.llm.common import checkpointed, shared_dir, slices, texts
-from topoeval.llm.token_counts import ByteTokenization
+from topoeval.llm.token_counts import ODD_POINTS, ByteTokenization
 
 END_ID = 2
 LONGEST = 20
 BLOCK = 1 << 16
 STEP = 64
 #: Units whose ids a worker remembers (some 200 bytes each).
-UNITS = 1_000_000
+UNITS = 600_000
 
 
 # --- code ---------------------------------------------------------------------------------
@@ -161,44 +163,95 @@ def crc32_join(one: int, two: int, two_bytes: int) -> int:
 
 
 class _Encoder(ByteTokenization):
-    """Ids by the tokenizers library, as bytes (two for each id if all ids fit, else four).
+    """Ids of texts, as bytes (two for each id if all ids fit, else four).
 
-    The distinct units of a slice of texts that are not in the cache go to the library as one batch.
+    Plain texts are cut before every space that a word follows; the distinct units of a slice of texts that are not
+    remembered are encoded once, all together. Texts with special strings, controls, other white space or
+    runs of it are cut by the tokenizer's own rules.
     """
 
+    #: What makes a text not plain, for Arrow's regular expressions: controls and rare white space, two kinds of white space
+    #: in a row from a space on, a space at the end. "<|" begins all special strings of the known files.
+    UNPLAIN = "[" + "".join(f"\\x{{{c:x}}}" for c in ODD_POINTS) + "]| [ \\t\\n\\r\\v\\f]| \\z"
+
     def __init__(self, text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         super().__init__(text)
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.unit_ids = Cache(lambda u: self.as_bytes(self.library.encode(u, add_special_tokens=False).ids), UNITS)
+        self.unplain = "|".join([self.UNPLAIN, *map(re.escape, self.special)])
+        #: unit -> ids, of units as they are and of those behind a space
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     def as_bytes(self, ids: list[int]) -> bytes:
         if sys.byteorder == "little":
             return array(self.code, ids).tobytes()
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def encode(self, texts_: list[str], end_id: int) -> list[bytes]:
-        plans: list[list[bytes | list[str]]] = []
-        for text in texts_:
-            plan: list[bytes | list[str]] = []
+    def fresh(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units: Latin ones by the merge list, a round of merges for all at a time, others by the library."""
+        latin = [u for u in units if self.latin(u)]
+        rest = [*set(units).difference(latin)] if len(latin) < len(units) else []
+        out = {}
+        if latin:
+            words = self.WORD_OR_NUL.findall("\x00".join(latin))
+            breaks = np.flatnonzero(np.frombuffer(b"".join([b"\1" if w == "\x00" else b"\0" for w in words]), np.uint8))
+            sizes = np.diff(np.concatenate(([-1], breaks, [len(words)]))) - 1
+            ids, counts = self.transduced([w for w in words if w != "\x00"], sizes)
+            raw, ends = ids.astype(self.kind).tobytes(), np.cumsum(counts) * self.kind.itemsize
+            begins = ends - counts * self.kind.itemsize
+            out = {u: raw[i:j] for u, i, j in zip(latin, begins.tolist(), ends.tolist(), strict=True)}
+        if rest:
+            out |= zip(rest, [self.as_bytes(e.ids) for e in self.library.encode_batch_fast(rest, add_special_tokens=False)], strict=True)
+        return out
+
+    def found(self, units: list[str], lead: str = "") -> list[bytes]:
+        """The ids of units, each behind ``lead``, from those remembered or fresh."""
+        known = self.known[lead]
+        out = list(map(known.get, units))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if missing:
+            new = [*dict.fromkeys(units[k] for k in missing)]
+            if len(known) + len(new) > UNITS:
+                known.clear()
+            fresh = self.fresh([lead + u for u in new] if lead else new)
+            for k in missing:
+                out[k] = fresh[lead + units[k]]
+            known.update((u, fresh[lead + u]) for u in new if len(u) <= CACHED_CHARS)
+        return out
+
+    def plain(self, plain: pa.StringArray) -> list[bytes]:
+        split = pc.split_pattern(plain, " ")
+        offsets = split.offsets.to_numpy()
+        pieces = split.flatten()
+        coded = pieces.dictionary_encode()
+        first = pieces.take(pa.array(offsets[:-1])).dictionary_encode()  # these have no space before them
+        inner = self.found(coded.dictionary.to_pylist(), " ")
+        outer = self.found(first.dictionary.to_pylist())
+        at = coded.indices.to_numpy().copy()
+        at[offsets[:-1]] = len(inner) + first.indices.to_numpy()
+        strings = pa.array([*inner, *outer], pa.binary()).take(pa.array(at))
+        return pc.binary_join(pa.ListArray.from_arrays(split.offsets, strings), b"").to_pylist()
+
+    def encode(self, batch_texts: list[str], end_id: int) -> list[bytes]:
+        whole, end = pa.array(batch_texts, pa.string()), self.as_bytes([end_id])
+        odd = pc.match_substring_regex(whole, self.unplain).to_numpy(zero_copy_only=False)
+        plain = iter(self.plain(whole.filter(pa.array(~odd))) if not odd.all() else [])
+        out = []
+        for text, is_odd in zip(batch_texts, odd.tolist(), strict=True):
+            if not is_odd:
+                out.append(next(plain) + end)
+                continue
+            parts = []
             for part, special in self.segments(text):
                 if special is not None:
-                    plan.append(self.as_bytes([special]))
+                    parts.append(self.as_bytes([special]))
                 else:
-                    plan += [units for units, _ in self.units(part)]
-            plans.append(plan)
-        cache = self.unit_ids
-        new = set().union(*[x for plan in plans for x in plan if isinstance(x, list)])
-        new = [u for u in new if u not in cache and u not in cache.old]
-        known = dict(zip(new, [self.as_bytes(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-        for u, ids in known.items():
-            if len(u) <= CACHED_CHARS:
-                cache.put(u, ids)
-        long_ = {u: ids for u, ids in known.items() if len(u) > CACHED_CHARS}
-        find = (lambda u: long_.get(u) or cache[u]) if long_ else cache.__getitem__
-        end = self.as_bytes([end_id])
-        return [b"".join([*(x if isinstance(x, bytes) else b"".join(map(find, x)) for x in plan), end]) for plan in plans]
+                    for units, _ in self.units(part):
+                        ids = dict(zip(of := [*dict.fromkeys(units)], self.found(of), strict=True))
+                        parts += map(ids.__getitem__, units)
+            out.append(b"".join([*parts, end]))
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -42,6 +42,8 @@ CACHE = 400_000
 CACHED_CHARS = 64
 #: Longest word that is merged side by side with others.
 SHORT = 64
+#: Pairs of ids below this (single bytes, in the known files) are looked up in a square table.
+BASE = 512
 NEVER = np.int32(1 << 30)
 
 _SPACE = " \t\n\r\x0b\x0c"
@@ -85,6 +87,9 @@ class Merges:
         by_key = np.argsort(keys)
         self._keys = keys[by_key]
         self._ranks = np.array([r for r, _ in self.rank.values()], np.int32)[by_key]
+        small = keys[(keys >> 32 < BASE) & (keys & 0xFFFFFFFF < BASE)]
+        self._base = np.full((BASE, BASE), NEVER, np.int32)
+        self._base[small >> 32, small & 0xFFFFFFFF] = [self.order[k >> 32, k & 0xFFFFFFFF] for k in small.tolist()]
         self._made = np.zeros(len(pairs), np.int32)
         self._made[list(self.made)] = list(self.made.values())
 
@@ -134,6 +139,8 @@ class Merges:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of symbols; NEVER if there is none."""
+        if left.size and max(left.max(), right.max()) < BASE:
+            return self._base[left, right]
         keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
         return np.where(self._keys[at] == keys, self._ranks[at], NEVER)
@@ -392,7 +399,7 @@ class WordTokenization(Tokenization):
 
     def chunk_ids(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The chunks in some order, their ids and how many each has."""
-        odd = [c for c in chunks if self.ODD.search(c)]
+        odd = [c for c in chunks if not (c.isascii() and c.isprintable()) and self.ODD.search(c)]
         if odd:
             leave = set(odd)
             chunks = [c for c in chunks if c not in leave]

@@ -74,13 +74,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices of about SLICE_BYTES of text (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of about ``size`` bytes of text (one row at least)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        step = max(1, int(n * SLICE_BYTES / max(1, batch.column(text_at).nbytes)))
+        step = max(1, int(n * size / max(1, batch.column(text_at).nbytes)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
 

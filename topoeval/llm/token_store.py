@@ -47,6 +47,8 @@ BLOCK = 1 << 16
 STEP = 64
 #: Units whose ids a worker remembers (some 200 bytes each).
 UNITS = 600_000
+#: Bytes of text whose distinct units are encoded at a time.
+SLICE = 8 << 20
 
 
 # --- code ---------------------------------------------------------------------------------
@@ -190,7 +192,7 @@ class _Encoder(ByteTokenization):
 
     def fresh(self, units: list[str]) -> dict[str, bytes]:
         """The ids of units: Latin ones by the merge list, a round of merges for all at a time, others by the library."""
-        latin = [u for u in units if self.latin(u)]
+        latin = [u for u in units if u.isascii() and u.isprintable() or self.latin(u)]
         rest = [*set(units).difference(latin)] if len(latin) < len(units) else []
         out = {}
         if latin:
@@ -270,7 +272,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
         encoder, zip_ = _encoder(file.value), zstandard.ZstdCompressor(level=1)
         mark, width = (b"2", 2) if encoder.code == "H" else (b"", 4)
         shard, at = TaskContext.get().partitionId(), 0
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             ns, ats, ids = [], [], []
             for x in encoder.encode(texts(b), end_id):
                 ns.append(len(x) // width)

@@ -200,10 +200,10 @@ def format_metric(mean: Name, std: Name, ci95: Name) -> Column:
     return F.format_string("%.2f    %.2f (CI95:   %.2f)", *pc)
 
 
-def json_fields(c: Name, **kinds: str) -> dict[str, Column]:
+def json_fields(c: Name, /, **kinds: str) -> dict[str, Column]:
     """One column for each named field of a JSON text."""
     return {k: F.get_json_object(_col(c), f"$.{k}").try_cast(t) for k, t in kinds.items()}
 
 
-def flatten_params(c: Name, **kinds: str) -> dict[str, Column]:
+def flatten_params(c: Name, /, **kinds: str) -> dict[str, Column]:
     return {f"param_{k}": x for k, x in json_fields(c, **kinds).items()}

@@ -6,6 +6,11 @@ sum; iterations cut their lineage each round and stop on a tolerance that is one
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,10 @@ from topoeval.operators.components import connected_components, largest_componen
 from topoeval.operators.graph import both_ways, degrees, normalized_edges
 
 
+#: Lanczos steps between looks at convergence; what is left of a squared vector below this share of it is rounding.
+CHECK, ROUNDING = 8, 1e-13
+
+
 def spmv(weighted: DataFrame, x: DataFrame) -> DataFrame:
     """graph_id, id, x: sum over directed edges (graph_id, src, dst, weight) of weight * x[dst]."""
     terms = weighted.join(x.toDF("graph_id", "dst", "x"), ["graph_id", "dst"])
@@ -28,77 +37,122 @@ def spmm(weighted: DataFrame, x: DataFrame, width: int) -> DataFrame:
     return terms.groupBy("graph_id", F.col("src").alias("id")).agg(F.array(*sums).alias("x"))
 
 
-def _random_start(nodes: DataFrame, seed: int) -> DataFrame:
-    return nodes.select("graph_id", "id", (stable_uniform(F.lit(seed), "graph_id", "id") - 0.5).alias("x"))
+@F.pandas_udf("struct<value: double, residual: double, weights: array<double>>")
+def _ritz(alphas: pd.Series, betas: pd.Series) -> pd.DataFrame:
+    """Largest eigenvalue of each symmetric tridiagonal matrix, its residual bound, and its eigenvector."""
+
+    def one(a, b) -> tuple[float, float, list[float]]:
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        end = int(np.argmax(b == 0)) + 1 if (b == 0).any() else len(a)  # the steps have come to an end
+        a, b = a[:end], b[:end]
+        values, vectors = np.linalg.eigh(np.diag(a) + np.diag(b[:-1], 1) + np.diag(b[:-1], -1))
+        return float(values[-1]), float(abs(b[-1] * vectors[-1, -1])), vectors[:, -1].tolist()
+
+    return pd.DataFrame([one(a, b) for a, b in zip(alphas, betas, strict=True)], columns=["value", "residual", "weights"])
+
+
+def _lanczos_steps(w: DataFrame, base: DataFrame, seed: int) -> Iterator[DataFrame]:
+    """Lanczos on M = diag + w, kept orthogonal to q0. Yields, step by step, (graph_id, id, q, v, ...) with v = M q, cut."""
+    start = base.withColumn("x", stable_uniform(F.lit(seed), "graph_id", "id") - 0.5)
+    sums = start.groupBy("graph_id").agg(F.sum(F.col("q0") * F.col("x")).alias("c0"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    norm = F.sqrt(F.greatest(F.col("xx") - F.col("c0") * F.col("c0"), F.lit(1e-300)))
+    state = start.join(sums, "graph_id").select(
+        "graph_id", "id", "q0", "diag", F.lit(0.0).alias("qp"), ((F.col("x") - F.col("c0") * F.col("q0")) / norm).alias("q"), F.lit(0.0).alias("bp")
+    )
+    while True:
+        near = spmv(w, state.select("graph_id", "id", "q")).withColumnRenamed("x", "s")
+        v = F.col("diag") * F.col("q") + F.coalesce("s", F.lit(0.0))
+        now = cut(state.join(near, ["graph_id", "id"], "left").withColumn("v", v).drop("s"))
+        yield now
+        step = now.join(_dots(now), "graph_id")
+        turned = F.col("v") - F.col("a") * F.col("q") - F.col("bp") * F.col("qp") - F.col("c0") * F.col("q0")
+        ok = F.col("b") > 0
+        state = step.select(
+            "graph_id", "id", "q0", "diag", F.col("q").alias("qp"), F.when(ok, turned / F.col("b")).otherwise(0.0).alias("q"), F.when(ok, F.col("b")).otherwise(0.0).alias("bp")
+        )
+
 
+def _dots(step: DataFrame) -> DataFrame:
+    """graph_id, a = q.v, c0 = q0.v, b = the norm of what is left of v."""
+    x = lambda one, two: F.sum(F.col(one) * F.col(two))
+    sums = step.groupBy("graph_id").agg(x("q", "v").alias("a"), x("q0", "v").alias("c0"), x("v", "v").alias("vv"), F.max("bp").alias("bp"))
+    rest = F.col("vv") - F.col("a") * F.col("a") - F.col("c0") * F.col("c0") - F.col("bp") * F.col("bp")
+    return sums.select("graph_id", "a", "c0", F.when(rest > ROUNDING * F.col("vv"), F.sqrt(rest)).otherwise(0.0).alias("b"))
 
-def _fiedler(canonical: DataFrame, nodes: DataFrame, normalized: bool, tol: float, max_rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Second eigenpair by power iteration on c I - L with the first eigenvector projected out.
 
-    Returns (graph_id, value) and (graph_id, id, x). Isolates count as degree 1 in the normalised Laplacian.
+def _fiedler(canonical: DataFrame, nodes: DataFrame, normalized: bool, tol: float, max_rounds: int, seed: int, vector: bool = False) -> DataFrame:
+    """Second eigenpair by Lanczos steps on N = D^-1/2 A D^-1/2 (or A - D), whose top eigenvector is known and projected out.
+
+    A step is one product, and the state three numbers for each node; convergence is looked at every CHECK steps, from the
+    coefficients, by the residual bound. (graph_id, value), value NULL for graphs that have not come to ``tol``
+    within ``max_rounds`` steps; with ``vector`` (graph_id, id, x), the weighted sum of the steps' vectors, which
+    their checkpoints hold.
     """
     d = cut(degrees(canonical, nodes))
-    top = d.groupBy("graph_id").agg((F.lit(2.0) if normalized else 2.0 * F.max("degree")).alias("c"))
-    safe = F.greatest("degree", F.lit(1)).cast("double")
-    first = d.select("graph_id", "id", "degree", (F.sqrt(safe) if normalized else F.lit(1.0)).alias("q"))
-    norm = first.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    base = cut(first.join(norm, "graph_id").join(top, "graph_id").select("graph_id", "id", "degree", "c", (F.col("q") / F.col("qn")).alias("q")))
+    q0 = F.sqrt("degree") if normalized else F.lit(1.0)
+    first = d.select("graph_id", "id", q0.cast("double").alias("q"), (F.lit(0.0) if normalized else -F.col("degree").cast("double")).alias("diag"))
+    norm = first.groupBy("graph_id").agg(F.sqrt(F.greatest(F.sum(F.col("q") * F.col("q")), F.lit(1e-300))).alias("n"))
+    base = cut(first.join(norm, "graph_id").select("graph_id", "id", "diag", (F.col("q") / F.col("n")).alias("q0")))
     w = both_ways(canonical)
     if normalized:
-        ends = w.join(d.toDF("graph_id", "src", "ds"), ["graph_id", "src"]).join(d.toDF("graph_id", "dst", "dd"), ["graph_id", "dst"])
-        w = ends.select("graph_id", "src", "dst", (1 / F.sqrt(F.col("ds") * F.col("dd"))).alias("weight"))
+        w = w.join(d.toDF("graph_id", "src", "ds"), ["graph_id", "src"]).join(d.toDF("graph_id", "dst", "dd"), ["graph_id", "dst"])
+        w = w.select("graph_id", "src", "dst", (1 / F.sqrt(F.col("ds") * F.col("dd"))).alias("weight"))
     else:
         w = w.withColumn("weight", F.lit(1.0))
     w = cut(w)
-    x = _random_start(nodes, seed)
-    value = None
-    for k in range(max_rounds):
-        y = base.join(x, ["graph_id", "id"]).join(spmv(w, x).withColumnRenamed("x", "ax"), ["graph_id", "id"], "left")
-        diag = F.lit(1.0) if normalized else F.col("degree").cast("double")
-        y = y.select("graph_id", "id", "q", "c", "x", ((F.col("c") - diag) * F.col("x") + F.coalesce("ax", F.lit(0.0))).alias("y"))
-        along = y.groupBy("graph_id").agg(
-            F.sum(F.col("q") * F.col("y")).alias("qy"),
-            F.sum(F.col("y") * F.col("y")).alias("yy"),
-            F.sum(F.col("x") * F.col("y")).alias("xy"),
-            F.sum(F.col("x") * F.col("x")).alias("xx"),
-            F.first("c").alias("c"),
-        )
-        along = along.withColumn("n", F.sqrt(F.greatest(F.col("yy") - F.col("qy") * F.col("qy"), F.lit(1e-300))))
-        step = y.join(along.select("graph_id", "qy", "n"), "graph_id")
-        x_new = cut(step.select("graph_id", "id", ((F.col("y") - F.col("qy") * F.col("q")) / F.col("n")).alias("x")))
-        now = cut(along.select("graph_id", (F.col("c") - F.col("xy") / F.col("xx")).alias("value")))
-        x = x_new
-        if value is not None and k > 2:
-            moved = now.join(value.withColumnRenamed("value", "old"), "graph_id").agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
-            if moved is None or moved < tol:
-                value = now
-                break
-        value = now
-    return value, x
-
-
-def lambda2(canonical: DataFrame, nodes: DataFrame, tol: float = 1e-7, max_rounds: int = 60, seed: int = 0) -> DataFrame:
+    seen: DataFrame | None = None
+    fresh: list[DataFrame] = []
+    steps: list[DataFrame] = []
+    for k, step in enumerate(_lanczos_steps(w, base, seed)):
+        steps.append(step)
+        fresh.append(_dots(step).select("graph_id", F.lit(k).alias("k"), "a", "b"))
+        if len(fresh) < CHECK and k + 1 < max_rounds:
+            continue
+        for one in fresh:
+            seen = one if seen is None else seen.union(one)
+        seen, fresh = cut(seen), []
+        series = seen.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("k", "a", "b"))).alias("s"))
+        found = cut(series.select("graph_id", _ritz("s.a", "s.b").alias("r")).select("graph_id", "r.*"))
+        if k + 1 >= max_rounds or found.filter(F.col("residual") > tol).isEmpty():
+            break
+    done = F.when(F.col("residual") <= tol, (1.0 if normalized else 0.0) - F.col("value"))
+    if not vector:
+        return found.select("graph_id", done.alias("value"))
+    share = found.filter(F.col("residual") <= tol).select("graph_id", F.posexplode("weights").alias("k", "f"))
+    parts = [step.select("graph_id", "id", F.lit(j).alias("k"), "q") for j, step in enumerate(steps)]
+    return functools.reduce(DataFrame.union, parts).join(share, ["graph_id", "k"]).groupBy("graph_id", "id").agg(F.sum(F.col("f") * F.col("q")).alias("x"))
+
+
+def _pieces(canonical: DataFrame, nodes: DataFrame) -> DataFrame:
+    """graph_id, n, n_parts, n_with_edges: nodes, components, and those of more than one node."""
+    parts = connected_components(canonical, nodes).groupBy("graph_id", "component").agg(F.count("*").alias("n"))
+    return parts.groupBy("graph_id").agg(F.sum("n").alias("n"), F.count("*").alias("n_parts"), F.count_if(F.col("n") > 1).alias("n_with_edges"))
+
+
+def lambda2(canonical: DataFrame, nodes: DataFrame, tol: float = 1e-5, max_rounds: int = 400, seed: int = 0) -> DataFrame:
     """graph_id, lambda2 of the normalised Laplacian and its Cheeger bounds; |value| below 1e-10 is 0; NULL for graphs
-    of under three nodes or without edges, 0 for graphs whose nodes with edges lie in several components.
+    of under three nodes, without edges, or not converged to a residual of ``tol`` (the error of the value is about its
+    square); 0 for graphs whose nodes with edges lie in several components.
     """
-    value, _ = _fiedler(canonical, nodes, True, tol, max_rounds, seed)
-    parts = connected_components(canonical, nodes).groupBy("graph_id", "component").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("graph_id").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("with_edges"))
-    v = F.when((F.col("n") < 3) | (F.col("with_edges") == 0), None).when((F.col("with_edges") > 1) | (F.abs("value") < 1e-10), 0.0).otherwise(F.col("value"))
-    return cheeger_bounds(parts.join(value, "graph_id", "left").select("graph_id", v.alias("lambda2")))
+    value = _fiedler(canonical, nodes, True, tol, max_rounds, seed)
+    v = F.when((F.col("n") < 3) | (F.col("n_with_edges") == 0), None).when((F.col("n_with_edges") > 1) | (F.abs("value") < 1e-10), 0.0).otherwise(F.col("value"))
+    return cheeger_bounds(_pieces(canonical, nodes).join(value, "graph_id", "left").select("graph_id", v.alias("lambda2")))
 
 
 def cheeger_bounds(df: DataFrame, value: str = "lambda2") -> DataFrame:
     return df.withColumns({"cheeger_low": F.col(value) / 2, "cheeger_high": F.sqrt(2 * F.col(value))})
 
 
-def algebraic_connectivity(canonical: DataFrame, nodes: DataFrame, tol: float = 1e-7, max_rounds: int = 60, seed: int = 0) -> DataFrame:
-    value, _ = _fiedler(canonical, nodes, False, tol, max_rounds, seed)
-    return value.select("graph_id", F.when(F.abs("value") < 1e-10, 0.0).otherwise(F.col("value")).alias("algebraic_connectivity"))
+def algebraic_connectivity(canonical: DataFrame, nodes: DataFrame, tol: float = 1e-5, max_rounds: int = 400, seed: int = 0) -> DataFrame:
+    """graph_id, algebraic_connectivity: the second eigenvalue of D - A; 0 for several components, NULL as in lambda2."""
+    value = _fiedler(canonical, nodes, False, tol, max_rounds, seed)
+    v = F.when((F.col("n") < 3) | (F.col("n_with_edges") == 0), None).when((F.col("n_parts") > 1) | (F.abs("value") < 1e-10), 0.0).otherwise(F.col("value"))
+    return _pieces(canonical, nodes).join(value, "graph_id", "left").select("graph_id", v.alias("algebraic_connectivity"))
 
 
-def fiedler_vector(canonical: DataFrame, nodes: DataFrame, tol: float = 1e-7, max_rounds: int = 60, seed: int = 0) -> DataFrame:
-    return _fiedler(canonical, nodes, True, tol, max_rounds, seed)[1]
+def fiedler_vector(canonical: DataFrame, nodes: DataFrame, tol: float = 1e-5, max_rounds: int = 400, seed: int = 0) -> DataFrame:
+    """graph_id, id, x: the second eigenvector of the normalised Laplacian, of unit length."""
+    return _fiedler(canonical, nodes, True, tol, max_rounds, seed, True)
 
 
 def sweep_conductance(canonical: DataFrame, nodes: DataFrame, vector: DataFrame | None = None) -> DataFrame:
@@ -129,7 +183,7 @@ def spectral_partition(canonical: DataFrame, nodes: DataFrame, k: int = 2, seed:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = cut(fiedler_vector(canonical, nodes, seed=seed)).withColumn("features", array_to_vector(F.array("x")))
+    x = cut(fiedler_vector(canonical, nodes, 1e-4, seed=seed)).withColumn("features", array_to_vector(F.array("x")))
     return KMeans(k=k, seed=seed).fit(x).transform(x).select("graph_id", "id", F.col("prediction").alias("part"))
 
 

@@ -10,6 +10,8 @@ from topoeval.functions.scalars import stable_seed, stable_uniform
 from topoeval.operators import graph as G
 
 KEY = ["graph_id", "src", "dst"]
+#: Edges that meet in one group of a round of swaps.
+BUCKET = 64
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
@@ -56,38 +58,52 @@ def random_edges(nodes: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     return _random_pairs(nodes, size.select("graph_id", F.lit(budget).alias("n_wanted")), none, seed)
 
 
-def degree_preserving_swap(canonical: DataFrame, fraction: float, seed: int = 0, max_rounds: int = 50) -> DataFrame:
-    """Double edge swaps until ``fraction`` of the edges have changed: each round pairs edges by hash and turns a-b, c-d into
-    a-d, c-b unless that makes a loop, an edge that exists, or one that another swap of the round makes.
+def degree_preserving_swap(canonical: DataFrame, fraction: float, seed: int = 0, max_idle: int = 8) -> DataFrame:
+    """Double edge swaps until at least round(fraction * m) of a graph's edges have changed.
+
+    A round deals all edges by hash into groups of about BUCKET, pairs neighbours in a group, and turns a-b, c-d
+    into a-d, c-b unless that makes a loop, an edge that exists, or one that another swap of the round makes. Of the
+    swaps that are possible and change an edge that has not changed yet, as large a share is taken as is missing (by
+    hash, so the last round may go past the fraction by about its square root). An error if ``max_idle`` rounds
+    in a row find no swap: the graph has too few of them.
     """
     start = cut(canonical.select(KEY))
-    edges = start
-    for k in range(max_rounds):
-        gone = start.join(edges, KEY, "left_anti").groupBy("graph_id").agg(F.count("*").alias("gone"))
-        open_ = start.groupBy("graph_id").agg(F.count("*").alias("m")).join(gone, "graph_id", "left").na.fill(0, ["gone"])
-        open_ = cut(open_.select("graph_id", (F.round(F.col("m") * fraction) - F.col("gone")).cast("long").alias("left")).filter("left > 0"))
-        if open_.isEmpty():
-            break
-        order = Window.partitionBy("graph_id").orderBy(stable_uniform(F.lit(seed), F.lit(k), "src", "dst"), "src", "dst")
-        dealt = edges.join(open_, "graph_id").withColumn("r", F.row_number().over(order) - 1).withColumn("pair", F.floor(F.col("r") / 2))
-        dealt = dealt.filter(F.col("pair") < F.greatest(F.ceil(F.col("left") / 2), F.lit(1)))
-        turn = stable_uniform(F.lit(seed), F.lit(k), F.lit("turn"), "src", "dst") < 0.5
-        dealt = dealt.withColumns({"a": F.when(turn, F.col("dst")).otherwise(F.col("src")), "b": F.when(turn, F.col("src")).otherwise(F.col("dst"))})
-        one, two = dealt.filter("r % 2 = 0"), dealt.filter("r % 2 = 1")
-        swap = one.select("graph_id", "pair", "a", "b", F.struct("src", "dst").alias("e1")).join(
-            two.select("graph_id", "pair", F.col("a").alias("c"), F.col("b").alias("d"), F.struct("src", "dst").alias("e2")), ["graph_id", "pair"]
-        )
-        swap = swap.filter("a != d and c != b")
-        made = swap.select(
-            "graph_id", "pair", F.explode(F.array(F.struct(F.least("a", "d").alias("src"), F.greatest("a", "d").alias("dst")), F.struct(F.least("c", "b").alias("src"), F.greatest("c", "b").alias("dst")))).alias("e")
-        ).select("graph_id", "pair", "e.src", "e.dst")
-        exists = made.join(edges, KEY, "left_semi").select("graph_id", "pair")
-        twice = made.withColumn("n", F.count("*").over(Window.partitionBy(KEY))).filter("n > 1").select("graph_id", "pair")
-        bad = exists.union(twice).distinct()
-        made = made.join(bad, ["graph_id", "pair"], "left_anti").select(KEY)
-        used = swap.join(bad, ["graph_id", "pair"], "left_anti").select("graph_id", F.explode(F.array("e1", "e2")).alias("e")).select("graph_id", "e.src", "e.dst")
-        edges = cut(edges.join(used, KEY, "left_anti").union(made))
-    return edges
+    edges = start.withColumn("old", F.lit(True))
+    k = idle = 0
+    while True:
+        need = edges.groupBy("graph_id").agg(F.count("*").alias("m"), F.count_if(~F.col("old")).alias("changed"))
+        need = need.select("graph_id", "m", (F.round(F.col("m") * fraction) - F.col("changed")).cast("long").alias("left"))
+        need = need.filter("left > 0")
+        if need.isEmpty():
+            return edges.select(KEY)
+        k += 1
+        draw = lambda *parts: stable_uniform(F.lit(seed), F.lit(k), *parts)
+        dealt = edges.join(need, "graph_id").withColumn("u", draw("src", "dst"))
+        dealt = dealt.withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("m") / BUCKET)))
+        order = Window.partitionBy("graph_id", "bucket").orderBy("u", "src", "dst")
+        nxt = {n: F.lead(c).over(order) for n, c in (("c", "src"), ("d", "dst"), ("old2", "old"))}
+        two = dealt.withColumns({"r": F.row_number().over(order), **nxt}).filter("r % 2 = 1 and c is not null and (old or old2)")
+        turn = draw(F.lit("turn"), "src", "dst") < 0.5
+        two = two.withColumns({"a": F.when(turn, F.col("dst")).otherwise(F.col("src")), "b": F.when(turn, F.col("src")).otherwise(F.col("dst"))})
+        two = two.filter("a != d and c != b").withColumn("gain", F.col("old").cast("int") + F.col("old2").cast("int"))
+        pair = F.struct("bucket", "r").alias("pair")
+        new = lambda x, y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
+        made = two.select("graph_id", pair, F.explode(F.array(new("a", "d"), new("c", "b"))).alias("e")).select("pair", "graph_id", "e.src", "e.dst")
+        # an edge that stands alone is neither there already nor made twice
+        alone = made.unionByName(edges.select(F.lit(None).cast(made.schema["pair"].dataType).alias("pair"), *KEY))
+        alone = alone.groupBy(KEY).agg(F.count("*").alias("n"), F.max("pair").alias("pair")).filter("n = 1 and pair is not null")
+        good = alone.groupBy("graph_id", "pair").agg(F.count("*").alias("n"), F.collect_list(F.struct("src", "dst")).alias("made")).filter("n = 2")
+        good = cut(good.select("graph_id", "pair", "made").join(two.select("graph_id", pair, "u", "gain", F.array(F.struct("src", "dst"), F.struct(F.col("c").alias("src"), F.col("d").alias("dst"))).alias("used")), ["graph_id", "pair"]))
+        total = good.groupBy("graph_id").agg(F.sum("gain").alias("total"))
+        taken = good.join(total.join(need, "graph_id"), "graph_id").filter(draw(F.lit("take"), "graph_id", "pair.bucket", "pair.r") * F.col("total") < F.col("left"))
+        taken = cut(taken.select("graph_id", "made", "used"))
+        idle = idle + 1 if taken.isEmpty() else 0
+        if idle >= max_idle:
+            raise ValueError("no more swaps are found")
+        used = taken.select("graph_id", F.explode("used").alias("e")).select("graph_id", "e.src", "e.dst")
+        put = taken.select("graph_id", F.explode("made").alias("e")).select("graph_id", "e.src", "e.dst")
+        put = put.join(start.withColumn("old", F.lit(True)), KEY, "left").na.fill(False, ["old"])
+        edges = cut(edges.join(used, KEY, "left_anti").unionByName(put))
 
 
 def homophily_attack(canonical: DataFrame, nodes: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

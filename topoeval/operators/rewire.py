@@ -93,39 +93,65 @@ def rewire_hybrid(canonical: DataFrame, points: DataFrame, coordinates: DataFram
     return stay.select(*KEY, F.lit(False).alias("added")).union(added.select(*KEY, F.lit(True)))
 
 
+def _curvature_gains(worst: DataFrame, pairs: DataFrame, deg: DataFrame) -> DataFrame:
+    """graph_id, r, src, dst, gain: for edges worst(graph_id, r, u, v), u < v, every pair of a neighbour a of u and a neighbour
+    b of v that is no edge yet, with the change in the balanced Forman curvature of u - v that the edge a - b makes.
+
+    Degrees and triangles of u - v stay as they are, so the change is that of the last term: if a is not beside v and
+    b not beside u, a and b are on one more 4-cycle u - a - b - v.
+    """
+    from topoeval.operators.motifs import four_cycles, square_sides
+
+    key = ["graph_id", "u", "v"]
+    turned = worst.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"))
+    ends = cut(four_cycles(worst.select(*key).union(turned), pairs))
+    sides = worst.join(square_sides(ends), key, "left").na.fill(0, ["su", "sv", "gamma"])
+    sides = sides.join(deg.toDF("graph_id", "u", "du"), ["graph_id", "u"]).join(deg.toDF("graph_id", "v", "dv"), ["graph_id", "v"])
+    out = sides.join(pairs.toDF("graph_id", "u", "a"), ["graph_id", "u"]).join(pairs.toDF("graph_id", "v", "b"), ["graph_id", "v"])
+    out = out.filter("a != b and a != v and b != u").withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")})
+    out = out.join(pairs, KEY, "left_anti")
+    beside = lambda x, y, name: pairs.select("graph_id", F.col("src").alias(x), F.col("dst").alias(y), F.lit(True).alias(name))
+    out = out.join(beside("v", "a", "av"), ["graph_id", "v", "a"], "left").join(beside("u", "b", "bu"), ["graph_id", "u", "b"], "left")
+    out = out.join(ends.toDF(*key, "a", "ta"), [*key, "a"], "left").join(ends.toDF("graph_id", "v", "u", "b", "tb"), [*key, "b"], "left")
+    out = out.na.fill(False, ["av", "bu"]).na.fill(0, ["ta", "tb"])
+    gamma = F.greatest("gamma", F.col("ta") + 1, F.col("tb") + 1)
+    s = F.col("su") + F.col("sv")
+    more = s + (F.col("ta") == 0).cast("int") + (F.col("tb") == 0).cast("int")
+    before = F.when(F.col("gamma") > 0, s / F.col("gamma")).otherwise(0.0)
+    change = (more / gamma - before) / F.greatest("du", "dv")
+    gain = F.when(F.col("av") | F.col("bu") | (F.least("du", "dv") <= 1), 0.0).otherwise(change)
+    return out.withColumn("gain", gain).groupBy("graph_id", "r", "src", "dst").agg(F.max("gain").alias("gain"))
+
+
 def curvature_rewire(
-    canonical: DataFrame, nodes: DataFrame, ratio: float, batch: int = 8, temperature: float = 5.0, remove_above: float | None = None, seed: int = 0
+    canonical: DataFrame, nodes: DataFrame, ratio: float, batch: int | None = None, temperature: float = 5.0, remove_above: float | None = None, seed: int = 0
 ) -> DataFrame:
-    """graph_id, round, src, dst: snapshots after each round. A round takes each graph's ``batch`` most negative edges,
-    no two of which share a node, and for each draws one new edge between their neighbourhoods by a softmax of
-    -(degree sum), so that few hubs grow; edges above ``remove_above`` go, one per added edge. Stops at round(ratio * nodes)
-    additions. Batched rounds keep the budget and the direction of the sequential rule, not its sequence of edges.
+    """graph_id, round, src, dst: snapshots after each round. A round takes each graph's ``batch`` (a hundredth of its edges,
+    8 at least, if not given) most negative edges, no two of which share a node, and for each draws one new edge between the
+    neighbours of its ends by a softmax of temperature * the change in that edge's curvature; edges above ``remove_above``
+    go, one per added edge. Stops at round(ratio * nodes) additions, or where no edge of a batch has a free pair. Batched
+    rounds follow the sequential rule's choice for each edge, but not its sequence.
     """
     from topoeval.operators.motifs import balanced_forman
 
     edges = cut(canonical.select(KEY))
     target = nodes.groupBy("graph_id").agg(F.round(F.count("*") * ratio).cast("long").alias("target"))
-    done = cut(target.withColumn("done", F.lit(0).cast("long")))
+    size = edges.groupBy("graph_id").agg((F.greatest(F.ceil(F.count("*") / 100), F.lit(8)) if batch is None else F.lit(batch)).cast("long").alias("batch"))
+    done = cut(target.join(size, "graph_id", "left").na.fill(0, ["batch"]).withColumn("done", F.lit(0).cast("long")))
     shots = edges.withColumn("round", F.lit(0))
     k = 0
     while not done.filter("done < target").isEmpty():
         k += 1
         curved = cut(balanced_forman(edges, nodes).join(done.filter("done < target"), "graph_id"))
         order = Window.partitionBy("graph_id").orderBy(F.round("curvature", 10), "src", "dst")
-        worst = curved.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.least(F.lit(batch), F.col("target") - F.col("done")))
+        worst = curved.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.least("batch", F.col("target") - F.col("done")))
         ends = worst.select("graph_id", "r", F.explode(F.array("src", "dst")).alias("id"))
         clash = ends.withColumn("first", F.min("r").over(Window.partitionBy("graph_id", "id"))).filter("r != first").select("graph_id", "r").distinct()
-        worst = worst.join(clash, ["graph_id", "r"], "left_anti").select("graph_id", "r", F.col("src").alias("u"), F.col("dst").alias("v"))
-        near = both_ways(edges)
-        left = near.toDF("graph_id", "u", "a").union(nodes.select("graph_id", F.col("id").alias("u"), F.col("id").alias("a")))
-        right = near.toDF("graph_id", "v", "b").union(nodes.select("graph_id", F.col("id").alias("v"), F.col("id").alias("b")))
-        pairs = worst.join(left, ["graph_id", "u"]).join(right, ["graph_id", "v"]).filter("a != b")
-        pairs = pairs.select("graph_id", "r", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-        pairs = pairs.join(edges, KEY, "left_anti")
+        worst = cut(worst.join(clash, ["graph_id", "r"], "left_anti").select("graph_id", "r", F.col("src").alias("u"), F.col("dst").alias("v")))
+        near = cut(both_ways(edges))
         deg = near.groupBy("graph_id", F.col("src").alias("id")).agg(F.count("*").alias("d"))
-        pairs = pairs.join(deg.toDF("graph_id", "src", "da"), ["graph_id", "src"], "left").join(deg.toDF("graph_id", "dst", "db"), ["graph_id", "dst"], "left")
-        gain = -(F.coalesce("da", F.lit(0)) + F.coalesce("db", F.lit(0))) / 100.0
-        draw = gumbel_key(gain, temperature, F.lit(seed), F.lit(k), "r", "src", "dst")
+        pairs = _curvature_gains(worst, near, deg)
+        draw = gumbel_key("gain", temperature, F.lit(seed), F.lit(k), "r", "src", "dst")
         new = pairs.groupBy("graph_id", "r").agg(F.max_by(F.struct("src", "dst"), draw).alias("e")).select("graph_id", "e.src", "e.dst").distinct()
         new = cut(new)
         added = new.groupBy("graph_id").agg(F.count("*").alias("more"))
@@ -137,6 +163,7 @@ def curvature_rewire(
             gone = curved.filter(F.col("curvature") > remove_above).withColumn("r", F.row_number().over(top)).join(added, "graph_id").filter("r <= more")
             edges_next = edges_next.join(gone.select(KEY), KEY, "left_anti")
         edges = cut(edges_next)
-        done = cut(done.join(added, "graph_id", "left").select("graph_id", "target", F.when(F.col("more").isNull(), F.col("target")).otherwise(F.col("done") + F.col("more")).alias("done")))
+        now = F.when(F.col("more").isNull(), F.col("target")).otherwise(F.col("done") + F.col("more")).alias("done")
+        done = cut(done.join(added, "graph_id", "left").select("graph_id", "target", "batch", now))
         shots = shots.unionByName(edges.withColumn("round", F.lit(k)))
     return shots

@@ -287,7 +287,7 @@ def _(s, d):
 @query("degree_preserving_swap")
 def _(s, d):
     e, n = _en(s, d)
-    out = perturb.degree_preserving_swap(e, 0.2, 3, 12)
+    out = perturb.degree_preserving_swap(e, 0.2, 3)
     return perturb.perturbation_report(e, out, n.select("graph_id", "id", F.col("part").alias("label")))
 
 
@@ -705,14 +705,19 @@ def _(s, d):
 @query("lambda2")
 def _(s, d):
     e, n = _en(s, d)
-    return r6(linalg.lambda2(e, n, max_rounds=12), "lambda2", "cheeger_low", "cheeger_high")
+    return r6(linalg.lambda2(e, n), "lambda2", "cheeger_low", "cheeger_high")
 
 
 @query("sweep_conductance")
 def _(s, d):
     e, n = _en(s, d)
-    x = linalg.fiedler_vector(e, n, max_rounds=8)
-    return r6(linalg.sweep_conductance(e, n, x), "conductance")
+    return r6(linalg.sweep_conductance(e, n, linalg.fiedler_vector(e, n, 1e-4)), "conductance")
+
+
+@query("spectral_partition")
+def _(s, d):
+    v = V.vectors(s, d)
+    return linalg.spectral_partition(similarity.knn_edges(similarity.knn(v, 6)).select("graph_id", "src", "dst"), v)
 
 
 @query("effective_resistance")
@@ -734,7 +739,7 @@ def _by_id():
 @query("curvature_rewire")
 def _(s, d):
     v = V.vectors(s, d)
-    shots = rewire.curvature_rewire(V.ring_edges(s, d), v, 0.05, batch=16)
+    shots = rewire.curvature_rewire(V.ring_edges(s, d), v, 0.05, remove_above=0.5)
     return shots.groupBy("graph_id", "round").agg(F.count("*").alias("n_edges"))
 
 
@@ -786,8 +791,11 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
+    from topoeval.plans import more  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -30,8 +30,8 @@ def read_edges(spark: SparkSession, path: str, graph_id: str = "g") -> tuple[Dat
     schema = T.StructType([f for c in head.columns for f in [EDGE_CSV[c] if c in EDGE_CSV.names else T.StructField(c, T.StringType())]])
     rows = spark.read.schema(schema).option("header", True).csv(path)
     edges = rows.select(F.lit(graph_id).alias("graph_id"), F.col("source").alias("src"), F.col("target").alias("dst"))
-    top = edges.agg(F.max(F.greatest("src", "dst")).alias("top"))
-    nodes = top.filter("top is not null").select(F.lit(graph_id).alias("graph_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("id"))
+    top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    nodes = spark.range(0 if top is None else top + 1).select(F.lit(graph_id).alias("graph_id"), "id")
     if "label" in head.columns:
         names = rows.groupBy(F.col("source").alias("id")).agg(F.min("label").alias("label"))
         nodes = nodes.join(names, "id", "left").select("graph_id", "id", "label")
@@ -60,12 +60,31 @@ def load_graph(spark: SparkSession, path: str, nodes_path: str | None = None, fm
 
 
 def collect_tables(spark: SparkSession, roots: Sequence[str], filename: str) -> DataFrame:
-    """All CSV files of that name below the roots, each once, unreadable ones skipped; with file and folder."""
-    rows = (
-        spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", filename)
-        .option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE").option("inferSchema", True).csv(sorted(set(roots)))
-    )
-    return rows.withColumn("file", F.col("_metadata.file_path")).withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")).dropDuplicates()
+    """All rows of all CSV files of that name below the roots, with file and folder. A file is read once, also where roots
+    overlap; unreadable files are skipped; columns are matched by name, and what a file lacks is NULL. All columns are text.
+    """
+    lines = spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", filename).option("ignoreCorruptFiles", True)
+    heads, out = lines, None
+    kept: dict[str, list[str]] = {}
+    seen: set[str] = set()
+    for root in dict.fromkeys(roots):
+        if not _exists(spark, root):
+            continue
+        # one row for each file: its first line
+        first = heads.load(root).withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.col("_metadata.file_block_start"))
+        first = first.filter("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+        for r in first.collect():
+            if r["file"] not in seen:
+                seen.add(r["file"])
+                kept.setdefault(r["head"], []).append(r["file"])
+    for head in sorted(kept):
+        # files of one header are read together; the schema comes from them alone
+        one = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(sorted(kept[head]))
+        one = one.withColumn("file", F.col("_metadata.file_path"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(filename)
+    return out.withColumn("folder", F.regexp_replace("file", "/[^/]*$", ""))
 
 
 def recover_key_from_sibling(rows: DataFrame, sibling: DataFrame, key: str = "dataset", folder: str = "folder") -> DataFrame:

@@ -40,9 +40,16 @@ def streaming_graph_outcomes(parts: DataFrame, keys: Sequence[str], gain: str, s
 
 
 def complete_runs(parts: DataFrame, run: str, kind: str, kinds: Sequence[str]) -> DataFrame:
-    """Runs of which a part of every kind is there. Counts kinds, not parts, so late repetitions change nothing."""
-    wanted = parts.filter(F.col(kind).isin(*kinds)).groupBy(run).agg(F.count_distinct(kind).alias("n_kinds"), F.count("*").alias("n_parts"))
-    return wanted.filter(F.col("n_kinds") == len(kinds))
+    """Runs of which a part of every kind is there, for batches and streams (complete or update mode) alike. Kinds are bits
+    of a mask (63 at most), not counted parts, so late repetitions change nothing.
+    """
+    if len(kinds) > 63:
+        raise ValueError("at most 63 kinds")
+    bit = F.lit(None).cast("long")
+    for k, name in enumerate(kinds):
+        bit = F.when(F.col(kind) == name, F.lit(1 << k).cast("long")).otherwise(bit)
+    wanted = parts.withColumn("__bit", bit).filter("__bit is not null").groupBy(run).agg(F.bit_or("__bit").alias("__mask"), F.count("*").alias("n_parts"))
+    return wanted.filter(F.col("__mask") == (1 << len(kinds)) - 1).select(run, F.bit_count("__mask").cast("long").alias("n_kinds"), "n_parts")
 
 
 def windowed_events(events: DataFrame, time: str, kind: str, value: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,17 +64,104 @@ def test_curvature(three):
     assert min(k, key=lambda r: r.curvature)[1:3] == (2, 3)
 
 
-def test_spectra(three):
-    l2 = as_dict(linalg.lambda2(*three, tol=1e-6, max_rounds=16), "lambda2")
-    assert l2["cycle"] == pytest.approx(1 - math.cos(2 * math.pi / 8), abs=1e-3)
-    assert l2["clique"] == pytest.approx(5 / 4, abs=1e-3)
+def dense(edges, n, normalized):
+    """Second eigenvalue and its vector by a dense solver; isolates count as degree 1 in the normalised Laplacian."""
+    a = np.zeros((n, n))
+    for u, v in edges:
+        a[u, v] = a[v, u] = 1
+    d = a.sum(1)
+    safe = np.where(d > 0, d, 1)
+    lap = np.eye(n) - a / np.sqrt(np.outer(safe, safe)) if normalized else np.diag(d) - a
+    values, vectors = np.linalg.eigh(lap)
+    return values[1], vectors[:, 1]
+
+
+def test_spectra(spark, three):
+    e, n = three
+    # a path, two cliques joined by one edge (a small gap), and two pieces
+    path = [(k, k + 1) for k in range(29)]
+    barbell = [(a, b) for a in range(8) for b in range(a)] + [(a + 8, b + 8) for a in range(8) for b in range(a)] + [(0, 8)]
+    pieces = [(0, 1), (1, 2), (3, 4), (4, 5)]
+    e = e.union(edges_of(spark, path=path, barbell=barbell, pieces=pieces))
+    n = n.union(nodes_of(spark, path=30, barbell=16, pieces=6, none=4))
+    l2 = as_dict(linalg.lambda2(e, n), "lambda2")
+    for name, (edges, size) in {"cycle": (CYCLE, 8), "clique": (CLIQUE, 5), "path": (path, 30), "barbell": (barbell, 16)}.items():
+        assert l2[name] == pytest.approx(dense(edges, size, True)[0], abs=1e-6), name
+    assert l2["bridge"] == pytest.approx(dense(BRIDGE, 6, True)[0], abs=1e-6)  # its seventh node is alone
+    assert l2["pieces"] == 0.0 and l2["none"] is None
+    assert l2["cycle"] == pytest.approx(1 - math.cos(2 * math.pi / 8), abs=1e-6)
+    some = F.col("graph_id").isin("path", "barbell", "bridge")
+    ac = as_dict(linalg.algebraic_connectivity(e.filter(some), n.filter(some)), "algebraic_connectivity")
+    assert ac["path"] == pytest.approx(dense(path, 30, False)[0], abs=1e-6) and ac["barbell"] == pytest.approx(dense(barbell, 16, False)[0], abs=1e-6)
+    assert ac["bridge"] == 0.0
+    early = linalg.lambda2(e.filter("graph_id = 'path'"), n.filter("graph_id = 'path'"), max_rounds=3)
+    assert early.first().lambda2 is None  # not converged is not a value
+    x = linalg.fiedler_vector(e.filter("graph_id = 'path'"), n.filter("graph_id = 'path'"))
+    found = np.array([r.x for r in x.orderBy("id").collect()])
+    assert abs(found @ dense(path, 30, True)[1]) == pytest.approx(1.0, abs=1e-6)
+    assert as_dict(linalg.sweep_conductance(e.filter("graph_id = 'path'"), n.filter("graph_id = 'path'"), x), "conductance")["path"] == pytest.approx(1 / 29)
+
+
+def test_resistances(three):
     e, n = three
     pairs = e.filter("graph_id = 'bridge'").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"))
-    r = linalg.effective_resistance(e.filter("graph_id = 'bridge'"), n.filter("graph_id = 'bridge'"), pairs, 1e-6, 12)
+    r = linalg.effective_resistance(e.filter("graph_id = 'bridge'"), n.filter("graph_id = 'bridge'"), pairs, 1e-9, 30)
     assert r.agg(F.sum("resistance")).first()[0] == pytest.approx(5.0)  # six nodes connected
     assert r.filter("u = 2 and v = 3").first().resistance == pytest.approx(1.0)
 
 
+def forman(u, v, edges):
+    near = lambda x: {b for a, b in edges if a == x} | {a for a, b in edges if b == x}
+    nu, nv = near(u), near(v)
+    if min(len(nu), len(nv)) <= 1:
+        return 0.0
+    left, right, t, high = nu - {v} - nv, nv - {u} - nu, len(nu & nv), max(len(nu), len(nv))
+    through = [sum(b in near(a) for b in right) for a in left] + [sum(a in near(b) for a in left) for b in right]
+    last = sum(x > 0 for x in through) / (max(through) * high) if any(through) else 0.0
+    return 2 / len(nu) + 2 / len(nv) - 2 + 2 * t / high + t / min(len(nu), len(nv)) + last
+
+
+def test_curvature_gains(spark):
+    import random
+
+    from topoeval.functions.lineage import cut
+    from topoeval.operators.graph import both_ways
+
+    r = random.Random(3)
+    edges = {(min(a, b), max(a, b)) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(40)) if a != b}
+    near = lambda x: {b for a, b in edges if a == x} | {a for a, b in edges if b == x}
+    want = {}
+    for u, v in edges:
+        for a in near(u):
+            for b in near(v):
+                x = (min(a, b), max(a, b))
+                if a != b and x not in edges:
+                    want[u, v, *x] = forman(u, v, edges | {x}) - forman(u, v, edges)
+    e = edges_of(spark, g=sorted(edges))
+    worst = cut(e.select("graph_id", F.monotonically_increasing_id().alias("r"), F.col("src").alias("u"), F.col("dst").alias("v")))
+    pairs = both_ways(e)
+    degree = pairs.groupBy("graph_id", F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    got = rewire._curvature_gains(worst, pairs, degree).join(worst, ["graph_id", "r"]).collect()
+    assert {(x.u, x.v, x.src, x.dst): x.gain for x in got} == pytest.approx(want)
+    assert as_dict_edges(motifs.balanced_forman(e, nodes_of(spark, g=14))) == pytest.approx({k: forman(*k, edges) for k in edges})
+
+
+def as_dict_edges(df):
+    return {(x.src, x.dst): x.curvature for x in df.collect()}
+
+
+def test_swaps(spark):
+    cycle = [(k, (k + 1) % 60) for k in range(60)]
+    e, n = edges_of(spark, g=cycle, h=cycle[:20]), nodes_of(spark, g=60, h=60)
+    out = perturb.degree_preserving_swap(e, 0.9, 1)
+    assert as_dict(graph.same_degree_sequence(e, out, n), "same") == {"g": True, "h": True}
+    assert {r.graph_id: r["count"] for r in out.groupBy("graph_id").count().collect()} == {"g": 60, "h": 20}
+    diff = graph.edge_set_diff(graph.canonical_edges(e), out)
+    assert all(r.n_clean - r.n_both >= 0.9 * r.n_clean for r in diff.collect())
+    with pytest.raises(ValueError):
+        perturb.degree_preserving_swap(edges_of(spark, g=CLIQUE), 0.5, max_idle=2)  # a clique has no swap
+
+
 def test_points(spark):
     import random
 
@@ -144,7 +232,7 @@ def test_perturbation(spark):
 
 
 def test_descriptor(three):
-    m = bundles.structural_metrics(*three, sources=4, pairs=2, spectral_rounds=8)
+    m = bundles.structural_metrics(*three, sources=4, pairs=2)
     assert {r.graph_id for r in m.collect()} == {"cycle", "clique", "bridge"}
 
 

@@ -210,3 +210,17 @@ def test_streams(spark, tmp_path):
     got = {r.k: (r.n, r.gain_mean) for r in spark.read.parquet(str(tmp_path / "agg")).collect()}
     assert got == {"a": (2, 1.0), "b": (2, -1.0)}
     assert math.isclose(sum(r.positive_fraction for r in ingest.outcome_aggregates(df, ["k"], "g").collect()), 1.0)
+
+
+def test_collect_tables(spark, tmp_path):
+    from topoeval.sources.tables import collect_tables
+
+    for folder, text in (("a", "dataset,f1\nx,1.0\nx,1.0\n"), ("a/b", "f1,dataset\n2.0,y\n"), ("c", "dataset\nz\n")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / "runs.csv").write_text(text)
+        (tmp_path / folder / "other.csv").write_text("dataset\nno\n")
+    rows = collect_tables(spark, [str(tmp_path), str(tmp_path / "a")], "runs.csv")
+    assert sorted((r.dataset, r.f1) for r in rows.filter("f1 is not null").collect()) == [("x", "1.0"), ("x", "1.0"), ("y", "2.0")]
+    assert [r.dataset for r in rows.filter("f1 is null").collect()] == ["z"]
+    with pytest.raises(FileNotFoundError):
+        collect_tables(spark, [str(tmp_path)], "none.csv")

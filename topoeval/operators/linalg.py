@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topoeval.functions.lineage import cut
 from topoeval.functions.scalars import sqdist, stable_uniform
@@ -21,7 +22,7 @@ from topoeval.operators.graph import both_ways, degrees, normalized_edges
 
 
 #: Lanczos steps between looks at convergence; what is left of a squared vector below this share of it is rounding.
-CHECK, ROUNDING = 8, 1e-13
+CHECK, ROUNDING = 8, 1e-20
 
 
 def spmv(weighted: DataFrame, x: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def spmm(weighted: DataFrame, x: DataFrame, width: int) -> DataFrame:
     return terms.groupBy("graph_id", F.col("src").alias("id")).agg(F.array(*sums).alias("x"))
 
 
-@F.pandas_udf("struct<value: double, residual: double, weights: array<double>>")
+@F.pandas_udf(T.StructType().add("value", "double").add("residual", "double").add("weights", T.ArrayType(T.DoubleType())))
 def _ritz(alphas: pd.Series, betas: pd.Series) -> pd.DataFrame:
     """Largest eigenvalue of each symmetric tridiagonal matrix, its residual bound, and its eigenvector."""
 
@@ -51,35 +52,35 @@ def _ritz(alphas: pd.Series, betas: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(a, b) for a, b in zip(alphas, betas, strict=True)], columns=["value", "residual", "weights"])
 
 
-def _lanczos_steps(w: DataFrame, base: DataFrame, seed: int) -> Iterator[DataFrame]:
-    """Lanczos on M = diag + w, kept orthogonal to q0. Yields, step by step, (graph_id, id, q, v, ...) with v = M q, cut."""
+def _lanczos_steps(w: DataFrame, base: DataFrame, seed: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Lanczos on M = diag + w, kept orthogonal to q0. Yields, step by step, the vectors (graph_id, id, q, ...), cut, and the
+    coefficients (graph_id, a, b): a = q.Mq, b the norm of what is new in Mq, 0 where that is rounding.
+    """
     start = base.withColumn("x", stable_uniform(F.lit(seed), "graph_id", "id") - 0.5)
     sums = start.groupBy("graph_id").agg(F.sum(F.col("q0") * F.col("x")).alias("c0"), F.sum(F.col("x") * F.col("x")).alias("xx"))
     norm = F.sqrt(F.greatest(F.col("xx") - F.col("c0") * F.col("c0"), F.lit(1e-300)))
     state = start.join(sums, "graph_id").select(
         "graph_id", "id", "q0", "diag", F.lit(0.0).alias("qp"), ((F.col("x") - F.col("c0") * F.col("q0")) / norm).alias("q"), F.lit(0.0).alias("bp")
     )
+    x = lambda one, two: F.sum(F.col(one) * F.col(two))
     while True:
         near = spmv(w, state.select("graph_id", "id", "q")).withColumnRenamed("x", "s")
         v = F.col("diag") * F.col("q") + F.coalesce("s", F.lit(0.0))
         now = cut(state.join(near, ["graph_id", "id"], "left").withColumn("v", v).drop("s"))
-        yield now
-        step = now.join(_dots(now), "graph_id")
-        turned = F.col("v") - F.col("a") * F.col("q") - F.col("bp") * F.col("qp") - F.col("c0") * F.col("q0")
+        sums = now.groupBy("graph_id").agg(x("q", "v").alias("a"), x("q0", "v").alias("zv"), x("q0", "q").alias("zq"), x("q0", "qp").alias("zp"), x("v", "v").alias("vv"))
+        c0 = F.col("zv") - F.col("a") * F.col("zq") - F.col("bp") * F.col("zp")
+        new = F.col("v") - F.col("a") * F.col("q") - F.col("bp") * F.col("qp") - c0 * F.col("q0")
+        step = now.join(sums, "graph_id").withColumn("u", new)
+        # from the vector itself: as a difference of squares it would lose half its digits
+        size = step.groupBy("graph_id").agg(F.max("a").alias("a"), x("u", "u").alias("uu"), F.max("vv").alias("vv"))
+        size = size.select("graph_id", "a", F.when(F.col("uu") > ROUNDING * F.col("vv"), F.sqrt("uu")).otherwise(0.0).alias("b"))
+        yield now, size
         ok = F.col("b") > 0
-        state = step.select(
-            "graph_id", "id", "q0", "diag", F.col("q").alias("qp"), F.when(ok, turned / F.col("b")).otherwise(0.0).alias("q"), F.when(ok, F.col("b")).otherwise(0.0).alias("bp")
+        state = step.drop("a").join(size, "graph_id").select(
+            "graph_id", "id", "q0", "diag", F.col("q").alias("qp"), F.when(ok, F.col("u") / F.col("b")).otherwise(0.0).alias("q"), F.when(ok, F.col("b")).otherwise(0.0).alias("bp")
         )
 
 
-def _dots(step: DataFrame) -> DataFrame:
-    """graph_id, a = q.v, c0 = q0.v, b = the norm of what is left of v."""
-    x = lambda one, two: F.sum(F.col(one) * F.col(two))
-    sums = step.groupBy("graph_id").agg(x("q", "v").alias("a"), x("q0", "v").alias("c0"), x("v", "v").alias("vv"), F.max("bp").alias("bp"))
-    rest = F.col("vv") - F.col("a") * F.col("a") - F.col("c0") * F.col("c0") - F.col("bp") * F.col("bp")
-    return sums.select("graph_id", "a", "c0", F.when(rest > ROUNDING * F.col("vv"), F.sqrt(rest)).otherwise(0.0).alias("b"))
-
-
 def _fiedler(canonical: DataFrame, nodes: DataFrame, normalized: bool, tol: float, max_rounds: int, seed: int, vector: bool = False) -> DataFrame:
     """Second eigenpair by Lanczos steps on N = D^-1/2 A D^-1/2 (or A - D), whose top eigenvector is known and projected out.
 
@@ -103,9 +104,9 @@ def _fiedler(canonical: DataFrame, nodes: DataFrame, normalized: bool, tol: floa
     seen: DataFrame | None = None
     fresh: list[DataFrame] = []
     steps: list[DataFrame] = []
-    for k, step in enumerate(_lanczos_steps(w, base, seed)):
+    for k, (step, size) in enumerate(_lanczos_steps(w, base, seed)):
         steps.append(step)
-        fresh.append(_dots(step).select("graph_id", F.lit(k).alias("k"), "a", "b"))
+        fresh.append(size.select("graph_id", F.lit(k).alias("k"), "a", "b"))
         if len(fresh) < CHECK and k + 1 < max_rounds:
             continue
         for one in fresh:

@@ -91,3 +91,11 @@ def test_null_and_repeated_ids(spark, docs):
     kept = D.drop_contaminated(docs(rows), bench).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(2, "fine too"), (3, None)]
     assert [r.text for r in kept if r.doc_id is None] == ["fine"]
+
+
+def test_strip_row_by_row(docs):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    df = docs([(1, f"x {item} y"), (1, "clean"), (1, f"x {item} y"), (None, f"{item} z"), (None, None), (2, "")])
+    bench = df.sparkSession.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in D.strip_spans(df, bench).collect()), key=str)
+    assert got == sorted([(1, "x y"), (1, "clean"), (1, "x y"), (None, "z"), (None, None), (2, "")], key=str)

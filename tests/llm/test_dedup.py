@@ -206,3 +206,11 @@ def test_lines_odd(odd, none):
 def test_host(spark):
     df = spark.createDataFrame([("https://Me@A.example.com:80/x?y",), ("http://b.org",), ("nothing",), (None,)], "url string")
     assert [r[0] for r in df.select(line_dedup.host_of(F.col("url"))).collect()] == ["a.example.com", "b.org", "", None]
+
+
+def test_boilerplate_with_clashing_columns(spark):
+    rows = [(k, f"notice\ntext {k}", "a", k) for k in range(8)] + [(9, None, None, 1)]
+    df = spark.createDataFrame(rows, "__row long, body string, __site string, __drop long")
+    out = line_dedup.drop_boilerplate(df, F.col("__site"), "body")
+    assert out.columns == df.columns
+    assert sorted(((r["__row"], r["body"]) for r in out.collect()), key=str) == sorted([*((k, f"text {k}") for k in range(8)), (9, None)], key=str)

@@ -43,6 +43,9 @@ ROWS = [
     (None, 3, "user", "no conversation"),
     (3, 7, None, None),
     (3, 9, "user", ""),
+    (5, 0, "user", "What now?"),
+    (5, 1, "assistant", "Wait."),
+    (5, 2, "user", "> Wait.\n>\n> On Monday someone wrote:\n>> What now?\nFine."),
     (4, 1, "user", "\n".join(f"> line {k}" for k in range(5000))),
 ]
 
@@ -57,6 +60,8 @@ def test_by_hand(spark):
         assert turns == sorted(turns)
     parents = {r.turn: r.parent_turn for r in got if r.conv_id == 1}
     assert parents == {0: None, 1: 0, 2: 1, 3: 0, 4: 3, 5: 4, 600: 2}
+    # the line that introduces the inner quote is not part of the outer one
+    assert {r.turn: (r.parent_turn, r.link) for r in got if r.conv_id == 5}[2] == (1, "quote")
 
 
 def test_parse():

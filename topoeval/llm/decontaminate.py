@@ -155,15 +155,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def strip_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """id and text with the hit words cut out: the text's other words, space-joined in order,
-    where anything was hit, else the text as it is. Ids must be distinct and not null.
+    """doc_id and text of every row with the hit words cut out: the text's other words, space-joined in order,
+    where anything was hit, else the text as it is. Each row goes by its own id and text, also where ids repeat or are null.
     """
-    bad = contamination(docs, benchmark, window, id_col, text_col).filter("n_hit > 0").select(
-        F.col("doc_id").alias("__id"), "spans"
-    )
-    w = words(F.col(text_col)).alias("w")
-    left = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), w).join(
-        bad, F.col("doc_id") == F.col("__id"), "left"
-    )
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    keyed = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    bad = contamination(keyed, benchmark, window, "__key", "__text").filter("n_hit > 0")
+    bad = bad.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash"), "spans").dropDuplicates(["__id", "__hash"])
+    left = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), words(F.col(text_col)).alias("w"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     cut = F.expr("array_join(filter(w, (x, k) -> not exists(spans, s -> k + 1 between s.i and s.j)), ' ')")
-    return left.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut).alias("text"))
+    return left.join(bad, same, "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut).alias("text"))

@@ -124,7 +124,7 @@ def license_scan(
 ) -> DataFrame:
     """doc_id, n_units, licenses (sorted, comma-joined), best_license (null if none), best_dice of every row.
 
-    Null and empty texts have no units with a licence.
+    Null and empty texts have no units with a licence. Rows that repeat are each returned.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -120,6 +120,10 @@ def drop_boilerplate(
     min_pages: int = MIN_PAGES,
     salts: int = SALTS,
 ) -> DataFrame:
-    """All rows and columns of pages, with boilerplate lines gone from the text."""
-    joined, cleaned = _boilerplate_of_rows(pages, site, text_col, max_ratio, min_pages, salts)
-    return joined.withColumn(text_col, cleaned).select(pages.columns)
+    """All rows and columns of pages, whatever their names, with boilerplate lines gone from the text; nulls, repeated
+    rows and empty tables as in line_dedup.
+    """
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(pages.columns) if c != text_col])
+    slim = pages.select(rest.alias("rest"), F.col(text_col).alias("text"), F.coalesce(site.cast("string"), F.lit("")).alias("site"))
+    joined, cleaned = _boilerplate_of_rows(slim, F.col("site"), "text", max_ratio, min_pages, salts)
+    return joined.select(*[(cleaned if c == text_col else F.col(f"rest.c{k}")).alias(c) for k, c in enumerate(pages.columns)])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topoeval.llm.common import slices
+from topoeval.llm.common import slices, written
 
 SALTS = 16
 STRETCH = 256
@@ -52,8 +52,10 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
         if m := QUOTED.match(line):
             depth = m[1].count(">")
             if depth != open_depth:
-                if not open_depth and own and WROTE.match(own[-1]):
-                    own.pop()
+                # the line that introduces a quote is neither the message's own text nor part of the passage before
+                before = own if not open_depth else passages[-1][1] if depth > open_depth else []
+                if before and WROTE.match(before[-1]):
+                    before.pop()
                 passages.append((depth, []))
             passages[-1][1].append(m[2])
             open_depth = depth
@@ -120,7 +122,7 @@ def link_conversations(
         F.col(role_col).alias("role"),
         F.col(text_col).alias("text"),
     )
-    parsed = _parsed(rows)
+    parsed = written(_parsed(rows), "messages")  # read four times below, parsed once
     origins = (
         parsed.filter("turn is not null")
         .select("conv", "turn", F.explode("own").alias("hash"))

@@ -237,7 +237,7 @@ def prefix_counter(text: str) -> PrefixCounter:
 def token_counts(
     docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every row. Null and empty texts count 0."""
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every row, repeated ones too. Null and empty texts count 0."""
     file = tokenizer_file(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -264,7 +264,9 @@ def token_counts(
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and counts (array<long>: the tokens of each prefix of 0, 1, ... characters)."""
+    """doc_id and counts (array<long>: the tokens of each prefix of 0, 1, ... characters) of every row, repeated ones too;
+    [0] for null and empty texts.
+    """
     file = tokenizer_file(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -280,7 +282,9 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def truncated(
     docs: DataFrame, path: str, budget: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, text (its longest prefix of at most ``budget`` tokens), cut (whether anything went)."""
+    """doc_id, text (its longest prefix of at most ``budget`` tokens), cut (whether anything went) of every row, repeated
+    ones too; a null text is empty.
+    """
     file = tokenizer_file(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
 

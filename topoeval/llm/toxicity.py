@@ -261,7 +261,7 @@ def train(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts score the intercept."""
+    """doc_id, held_out, score, predicted of every row, repeated ones too; null and empty texts score the intercept."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     kind = docs.schema[id_col].dataType.simpleString()
 

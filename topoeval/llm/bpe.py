@@ -39,6 +39,8 @@ from topoeval.llm.common import slices, texts
 #: Characters of text that are encoded at a time, entries of a cache, longest word in it.
 SLICE_CHARS = 1 << 18
 CACHE = 400_000
+#: Chunks whose forms a worker remembers (some 350 bytes each).
+KNOWN = 250_000
 CACHED_CHARS = 64
 #: Longest word that is merged side by side with others.
 SHORT = 64
@@ -428,7 +430,7 @@ class WordTokenization(Tokenization):
             fresh = dict(zip(new, zip(counts.tolist(), *found, strict=True), strict=True))
             for k in missing:
                 out[k] = fresh[chunks[k]]
-            if len(known) + len(new) > 2 * CACHE:
+            if len(known) + len(new) > KNOWN:
                 known.clear()
             known.update((c, f) for c, f in fresh.items() if len(c) <= CACHED_CHARS)
         return out

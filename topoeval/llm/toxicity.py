@@ -59,6 +59,8 @@ WORD = re.compile(r"[^\W_]+")
 PIECE_CHARS = 1 << 20
 #: A longer word is cut into pieces of so many characters; neighbours overlap so that no inner 4-gram is lost.
 WORD_CHARS, OVERLAP = 40, 5
+#: Words whose features a worker remembers.
+WORDS = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -115,7 +117,7 @@ class Model:
 
     @functools.cached_property
     def _words(self) -> Cache:
-        return Cache(self.word_indices)
+        return Cache(self.word_indices, WORDS)
 
     def score(self, text: str) -> float:
         found: dict[str, int] = {}

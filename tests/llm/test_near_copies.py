@@ -77,3 +77,14 @@ def test_sketches_lose_no_pair():
         two = np.concatenate((one[: n - n // 10], r.integers(0, 1 << 63, n // 10).astype(np.uint64)))
         a, b, c = (np.frombuffer(N.sketch(x), np.uint8)[None] for x in (one, two, r.integers(0, 1 << 63, n).astype(np.uint64)))
         assert N.possible(a, b)[0] and (n != 300 or not N.possible(a, c)[0])
+        fine = [N.fine_sketch(x) for x in (one, two, r.integers(0, 1 << 63, n).astype(np.uint64))]
+        assert N.finely_possible(fine[0], fine[1]) and (n not in (300, 5000) or not N.finely_possible(fine[0], fine[2]))
+        # sets of other sizes, of the least Jaccard that links
+        part = one[: -(-4 * n // 5)]
+        assert N.finely_possible(fine[0], N.fine_sketch(part))
+
+
+def test_fine_sketches_with_full_cells_pass():
+    crowded = np.arange(0, 40 * N.FINE, N.FINE, dtype=np.uint64)
+    assert N.finely_possible(N.fine_sketch(crowded), N.fine_sketch(np.arange(1, 300, dtype=np.uint64)))
+    assert N.finely_possible(N.fine_sketch(np.empty(0, np.uint64)), N.fine_sketch(np.empty(0, np.uint64)))

@@ -112,20 +112,29 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def word_indices(self, word: str) -> tuple[tuple[str, float], ...]:
-        return tuple((f, self.weights[f]) for f in word_features(word) if f in self.weights)
+    @functools.cached_property
+    def _index(self) -> dict[str, int]:
+        return {f: k for k, f in enumerate(sorted(self.weights))}
+
+    @functools.cached_property
+    def _values(self) -> list[float]:
+        return [self.weights[f] for f in sorted(self.weights)]
+
+    def word_indices(self, word: str) -> tuple[int, ...]:
+        """Places of the word's features among the sorted ones; the numbers are shared, so that a remembered word is small."""
+        return tuple(k for f in word_features(word) if (k := self._index.get(f)) is not None)
 
     @functools.cached_property
     def _words(self) -> Cache:
         return Cache(self.word_indices, WORDS)
 
     def score(self, text: str) -> float:
-        found: dict[str, int] = {}
-        words = self._words
+        found: dict[int, int] = {}
+        words, values = self._words, self._values
         for w, n in word_counts(text).items():
-            for f, _ in words[w]:
-                found[f] = found.get(f, 0) + n
-        z = self.bias + sum(self.weights[f] * (1 + math.log(n)) for f, n in sorted(found.items()))
+            for k in words[w]:
+                found[k] = found.get(k, 0) + n
+        z = self.bias + sum(values[k] * (1 + math.log(n)) for k, n in sorted(found.items()))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 

@@ -43,11 +43,14 @@ def edited(seed, groups=12, size=8, passage=12):
     return out
 
 
-@pytest.mark.parametrize("case", ["usual", "crowded", "no sample"])
+@pytest.mark.parametrize("case", ["usual", "crowded", "no sample", "all stars", "one star"])
 def test_by_hand(docs, case, monkeypatch):
     if case == "no sample":
         monkeypatch.setattr(N, "MOST", 1)
-    rows = [*enumerate(edited(1, 3, 30) if case == "crowded" else edited(2), 10)]
+    if "star" in case:  # with and without further rounds of stars the result is the same
+        monkeypatch.setattr(N, "WORTH", 2 if case == "all stars" else 0)
+        monkeypatch.setattr(N, "CROWDED", 10**9)
+    rows = [*enumerate(edited(1, 3, 30) if case == "crowded" or "star" in case else edited(2), 10)]
     kept = N.drop_near_copies(docs(rows))
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_hand(rows) and kept.columns == docs(rows).columns
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topoeval.llm import bpe, decontaminate, exact_dedup, licenses, line_dedup, quotes, simhash, token_counts, token_store, toxicity
+from topoeval.llm import bpe, byte_bpe, decontaminate, exact_dedup, lexical, licenses, line_dedup, periodic, quotes, simhash, token_counts, token_store, toxicity
 from topoeval.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,54 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the documents (by the CRC-32 of their ids) repeat a block of words up to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False)) & F.col("text").isNotNull()
+    words = F.when(chosen, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), words.alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + F.col("g") % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    block = F.slice("words", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), n - a)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")
+    return cut.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    most = found.withColumn("most", longest)
+    length, period = F.col("most.length"), -F.col("most.p")
+    return most.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("most.s")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.byte_round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -84,6 +132,9 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_token_store": op9_token_store,
     "op10_chat": op10_chat,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,6 +178,20 @@ SELECT doc_id, len(list_filter(ls, lambda l: trim(l) != ''))::BIGINT AS n_lines,
        (len(ls) - len(kept))::BIGINT AS n_dropped,
        sha256(CASE WHEN len(kept) = len(ls) THEN text ELSE array_to_string(kept, chr(10)) END) AS text_sha256
 FROM c""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS term FROM d),
+g AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0),
+m AS (SELECT doc_id, 100 - 50 + ((50 * len(w) * n_docs) // n_words) AS m FROM d, g WHERE len(w) > 0),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+wt AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+       FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), g),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN wt USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50""",
 }
 
 

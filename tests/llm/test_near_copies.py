@@ -43,10 +43,10 @@ def edited(seed, groups=12, size=8, passage=12):
     return out
 
 
-@pytest.mark.parametrize("case", ["usual", "crowded", "no sample", "all stars", "one star"])
+@pytest.mark.parametrize("case", ["usual", "crowded", "one cell", "all stars", "one star"])
 def test_by_hand(docs, case, monkeypatch):
-    if case == "no sample":
-        monkeypatch.setattr(N, "MOST", 1)
+    if case == "one cell":  # an order that knows nothing
+        monkeypatch.setattr(N, "TALLY", 1)
     if "star" in case:  # with and without further rounds of stars the result is the same
         monkeypatch.setattr(N, "WORTH", 2 if case == "all stars" else 0)
         monkeypatch.setattr(N, "CROWDED", 10**9)
@@ -55,6 +55,22 @@ def test_by_hand(docs, case, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_hand(rows) and kept.columns == docs(rows).columns
 
 
+def test_counts_and_prefixes(docs):
+    texts = ["a b c d e f", "a b c d e f", "a b c d e g h", None, ""]
+    counts = N.shingle_counts(docs([*enumerate(texts)]), "text")
+    assert counts.sum() == 2 + 2 + 3 and counts.max() == 3
+    own = N.shingle_set(texts[2])
+    assert len(N.prefix(own, counts)) == 1 and counts[int(N.prefix(own, counts)[0] % np.uint64(N.TALLY))] == 1
+    assert not len(N.prefix(N.shingle_set(""), counts))
+
+
+def test_empty_table_long_text_and_repeats(docs, none):
+    assert N.drop_near_copies(none).collect() == []
+    w = [f"w{k}" for k in range(40_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:39_000])), (3, " ".join(w[:20_000])), (3, " ".join(w[:20_000])), (4, None), (5, "")]
+    assert sorted(r.doc_id for r in N.drop_near_copies(docs(rows)).collect()) == [1, 3, 4]
+
+
 def test_stage_finds_what_four_bits_miss(spark, docs):
     r = random.Random(5)
     w = [f"w{r.randrange(10**6)}" for _ in range(120)]

@@ -86,6 +86,24 @@ def minmax_scale(x: Name, keys: Sequence[str] = ()) -> Column:
     return F.coalesce(F.when(high > low, (_col(x) - low) / (high - low)), F.lit(0.0))
 
 
+def minmax_scaled(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """df with x_scaled for each x of the columns: (x - min) / (max - min) within the keys, 0 where that is undefined. Only the
+    keys' extremes are joined to the rows; null keys are a key.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    ends = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(
+        *[f(x).alias(f"__{side}{i}") for i, x in enumerate(columns) for side, f in (("low", F.min), ("high", F.max))]
+    )
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    both = df.join(ends, same) if keys else df.crossJoin(F.broadcast(ends))
+    for i, x in enumerate(columns):
+        low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
+        both = both.withColumn(f"{x}_scaled", F.coalesce(F.when(high > low, (F.col(x) - low) / (high - low)), F.lit(0.0)))
+    return both.drop(*names, *[f"__{side}{i}" for i in range(len(columns)) for side in ("low", "high")])
+
+
 def softmax_weights(x: Name, keys: Sequence[str], temperature: float) -> Column:
     """exp(temperature * x), shifted by its maximum and clipped at 700, as shares within keys."""
     w = Window.partitionBy(*keys)
@@ -141,13 +159,20 @@ def fixed_bin(x: Name, edges: Sequence[float]) -> Column:
 
 
 def quantile_bin(df: DataFrame, x: str, bins: int, keys: Sequence[str] = (), name: str = "bin") -> DataFrame:
-    """df with a right-closed quantile bin of x within the keys (duplicate edges are merged)."""
-    cuts = df.groupBy(*keys).agg(
-        F.array_distinct(F.expr(f"percentile({x}, array({', '.join(str(k / bins) + 'D' for k in range(bins + 1))}))")).alias("__cuts")
-    )
-    joined = df.join(F.broadcast(cuts), list(keys), "left") if keys else df.crossJoin(F.broadcast(cuts))
+    """df with a right-closed quantile bin of x within the keys (duplicate edges are merged). The edges come from ranks over
+    ranges, and are joined to the rows; null keys are a key.
+    """
+    from topoeval.functions.ranges import quantiles
+
+    found = quantiles(df, x, [k / bins for k in range(bins + 1)], keys, "__cuts")
+    names = [f"__q{i}" for i in range(len(keys))]
+    cuts = found.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.array_distinct("__cuts").alias("__cuts"))
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    joined = df.join(cuts, same, "left") if keys else df.join(F.broadcast(cuts), F.lit(True), "left")  # one row of edges
     below = F.size(F.filter("__cuts", lambda c: c < F.col(x)))
-    return joined.withColumn(name, F.when(F.col(x).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__cuts")
+    return joined.withColumn(name, F.when(F.col(x).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("__cuts", *names)
 
 
 def three_region(p: Name, recommend: float, avoid: float) -> Column:

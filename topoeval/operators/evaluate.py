@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topoeval.functions.scalars import safe_corr
+from topoeval.functions.ranges import quantiles, running_sum
 from topoeval.operators.summaries import avg_rank
 
 
@@ -56,11 +57,10 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "p", threshold: float =
 def roc_points(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """threshold, tp, fp, tpr, fpr for every distinct score, from the highest: scores are counted first."""
     by_score = df.groupBy(*keys, F.col(p).alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("n1"), F.count_if(F.col(y) == 0).alias("n0"))
-    w = Window.partitionBy(*keys)
-    upto = w.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return by_score.select(
-        *keys, "threshold", F.sum("n1").over(upto).alias("tp"), F.sum("n0").over(upto).alias("fp"), F.sum("n1").over(w).alias("p"), F.sum("n0").over(w).alias("n")
-    ).withColumns({"tpr": F.col("tp") / F.greatest("p", F.lit(1)), "fpr": F.col("fp") / F.greatest("n", F.lit(1))})
+    upto = running_sum(by_score, keys, [F.col("threshold").desc()], tp="n1", fp="n0")
+    total = by_score.groupBy(*keys).agg(F.sum("n1").alias("p"), F.sum("n0").alias("n"))
+    both = upto.join(total, list(keys)) if keys else upto.crossJoin(F.broadcast(total))
+    return both.select(*keys, "threshold", "tp", "fp", "p", "n").withColumns({"tpr": F.col("tp") / F.greatest("p", F.lit(1)), "fpr": F.col("fp") / F.greatest("n", F.lit(1))})
 
 
 def youden_threshold(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -73,11 +73,9 @@ def cost_threshold(df: DataFrame, y: str, p: str, fp_cost: float = 2.0, fn_cost:
     """Least cost, then highest precision, then least threshold, over the distinct scores, .01 and .99; decisions are p >= t."""
     points = df.select(F.col(p).alias("t")).union(df.sparkSession.createDataFrame([(0.01,), (0.99,)], "t double")).distinct()
     counts = df.groupBy(F.col(p).alias("t")).agg(F.count_if(F.col(y) == 1).alias("n1"), F.count_if(F.col(y) == 0).alias("n0"))
-    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy()
-    c = points.join(counts, "t", "left").na.fill(0, ["n1", "n0"]).select(
-        "t", F.sum("n1").over(w).alias("tp"), F.sum("n0").over(w).alias("fp"), F.sum("n1").over(all_).alias("n1")
-    )
+    met = points.join(counts, "t", "left").na.fill(0, ["n1", "n0"])
+    upto = running_sum(met, [], [F.col("t").desc()], tp="n1", fp="n0")
+    c = upto.select("t", "tp", "fp").crossJoin(F.broadcast(counts.agg(F.sum("n1").alias("n1"))))
     cost = F.col("fp") * fp_cost + (F.col("n1") - F.col("tp")) * fn_cost
     precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     c = c.withColumns({"cost": cost, "precision": precision})
@@ -91,15 +89,15 @@ def avoid_threshold(df: DataFrame, y: str, p: str, recommend: float | None = Non
     quartile of the negatives' scores. Never at or above ``recommend``.
     """
     counts = df.groupBy(F.col(p).alias("t")).agg(F.count_if(F.col(y) == 1).alias("n1"), F.count("*").alias("n"))
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    c = counts.select("t", F.sum("n1").over(w).alias("missed"), F.sum("n").over(w).alias("covered"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    upto = running_sum(counts, [], ["t"], missed="n1", covered="n").select("t", "missed", "covered")
+    c = upto.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
     good = (F.col("covered") >= F.greatest(F.lit(5), F.col("total") * 0.05)) & (F.col("missed") <= 0.1 * F.col("covered"))
     if recommend is not None:
         good = good & (F.col("t") < recommend)
     first = c.agg(F.max(F.when(good, F.col("t"))).alias("a"))
-    other = df.agg(F.expr(f"percentile(if({y} = 0, {p}, null), 0.25)").alias("b"))
+    other = quantiles(df.filter(F.col(y) == 0), p, [0.25]).select(F.element_at("cuts", 1).alias("b"))
     b = F.col("b") if recommend is None else F.least("b", F.lit(recommend - 1e-9))
-    return first.crossJoin(other).select(F.coalesce("a", b).alias("threshold"))
+    return first.join(other, F.lit(True), "left").select(F.coalesce("a", b).alias("threshold"))
 
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", keys: Sequence[str] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topoeval.functions.lineage import cut
+from topoeval.functions.ranges import ranked, running_sum
 from topoeval.functions.scalars import sqdist, stable_uniform
 from topoeval.operators.components import connected_components, largest_component
 from topoeval.operators.graph import both_ways, degrees, normalized_edges
@@ -161,22 +162,17 @@ def sweep_conductance(canonical: DataFrame, nodes: DataFrame, vector: DataFrame
 
     An edge between ranks r < s is cut by the prefixes r ... s - 1: +1 at r, -1 at s, summed by prefix.
     """
-    from pyspark.sql import Window
-
     vector = fiedler_vector(canonical, nodes) if vector is None else vector
-    order = Window.partitionBy("graph_id").orderBy("x", "id")
-    ranked = cut(vector.join(degrees(canonical, nodes), ["graph_id", "id"]).withColumn("rank", F.row_number().over(order)))
-    r = ranked.select("graph_id", "id", "rank")
+    order = cut(ranked(vector.join(degrees(canonical, nodes), ["graph_id", "id"]), ["graph_id"], ["x", "id"]))
+    r = order.select("graph_id", "id", "rank")
     e = canonical.join(r.toDF("graph_id", "src", "a"), ["graph_id", "src"]).join(r.toDF("graph_id", "dst", "b"), ["graph_id", "dst"])
     events = e.select("graph_id", F.least("a", "b").alias("rank"), F.lit(1).alias("s")).union(e.select("graph_id", F.greatest("a", "b"), F.lit(-1)))
     events = events.groupBy("graph_id", "rank").agg(F.sum("s").alias("s"))
-    upto = Window.partitionBy("graph_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    total = ranked.groupBy("graph_id").agg(F.sum("degree").alias("total"), F.count("*").alias("n"))
-    swept = ranked.join(events, ["graph_id", "rank"], "left").join(total, "graph_id").withColumns(
-        {"cut": F.sum(F.coalesce("s", F.lit(0))).over(upto), "vol": F.sum("degree").over(upto)}
-    )
+    met = order.join(events, ["graph_id", "rank"], "left").na.fill(0, ["s"])
+    swept = running_sum(met, ["graph_id"], ["rank"], cut="s", vol="degree")
+    total = order.groupBy("graph_id").agg(F.sum("degree").alias("total"), F.count("*").alias("n"))
     side = F.least("vol", F.col("total") - F.col("vol"))
-    return swept.filter("rank < n").groupBy("graph_id").agg(F.min(F.when(side > 0, F.col("cut") / side)).alias("conductance"))
+    return swept.join(total, "graph_id").filter("rank < n").groupBy("graph_id").agg(F.min(F.when(side > 0, F.col("cut") / side)).alias("conductance"))
 
 
 def spectral_partition(canonical: DataFrame, nodes: DataFrame, k: int = 2, seed: int = 0) -> DataFrame:

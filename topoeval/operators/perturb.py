@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topoeval.functions.lineage import cut
+from topoeval.functions.ranges import numbers, ranked, with_count
 from topoeval.functions.scalars import stable_seed, stable_uniform
 from topoeval.operators import graph as G
 
@@ -16,8 +17,11 @@ BUCKET = 64
 
 def _numbered(nodes: DataFrame) -> DataFrame:
     """graph_id, id, k (1 ... n by id), n."""
-    w = Window.partitionBy("graph_id")
-    return nodes.select("graph_id", "id").distinct().withColumns({"k": F.row_number().over(w.orderBy("id")), "n": F.count("*").over(w)})
+    return with_count(ranked(nodes.select("graph_id", "id").distinct(), ["graph_id"], ["id"], "k"), ["graph_id"], "n")
+
+
+def _by_hash(seed: int) -> list[Column]:
+    return [stable_uniform(F.lit(seed), "src", "dst"), F.col("src"), F.col("dst")]
 
 
 def _random_pairs(nodes: DataFrame, wanted: DataFrame, avoid: DataFrame, seed: int, keep=None) -> DataFrame:
@@ -35,7 +39,7 @@ def _random_pairs(nodes: DataFrame, wanted: DataFrame, avoid: DataFrame, seed: i
         need = cut(need.filter("need > 0 and n > 1"))
         if need.isEmpty():
             return got
-        draws = need.select("graph_id", "n", "need", F.explode(F.sequence(F.lit(1), (F.col("need") * 2 + 8).cast("int"))).alias("i"))
+        draws = numbers(need.select("graph_id", "n", "need"), F.col("need") * 2 + 8, "i")
         pick = lambda side: F.pmod(stable_seed(F.lit(seed), F.lit(k), F.lit(side), "graph_id", "i"), F.col("n")) + 1
         draws = draws.withColumns({"ka": pick(0), "kb": pick(1)}).filter("ka != kb")
         a, b = ids.select("graph_id", F.col("k").alias("ka"), F.col("id").alias("a")), ids.select("graph_id", F.col("k").alias("kb"), F.col("id").alias("b"))
@@ -44,8 +48,7 @@ def _random_pairs(nodes: DataFrame, wanted: DataFrame, avoid: DataFrame, seed: i
         pairs = pairs.join(avoid.select(KEY), KEY, "left_anti").join(got, KEY, "left_anti")
         if keep is not None:
             pairs = keep(pairs)
-        order = Window.partitionBy("graph_id").orderBy("i")
-        got = cut(got.union(pairs.withColumn("r", F.row_number().over(order)).filter("r <= need").select(KEY)))
+        got = cut(got.union(ranked(pairs, ["graph_id"], ["i"], "r").filter("r <= need").select(KEY)))
     raise ValueError("not enough pairs are free")
 
 
@@ -112,8 +115,7 @@ def homophily_attack(canonical: DataFrame, nodes: DataFrame, fraction: float, se
     """
     ends = G.labelled_edges(canonical, nodes)
     m = canonical.groupBy("graph_id").agg(F.round(F.count("*") * fraction).cast("long").alias("ask"))
-    order = Window.partitionBy("graph_id").orderBy(stable_uniform(F.lit(seed), "src", "dst"), "src", "dst")
-    same = ends.filter("src_label = dst_label").withColumn("r", F.row_number().over(order)).join(m, "graph_id")
+    same = ranked(ends.filter("src_label = dst_label").select(KEY), ["graph_id"], _by_hash(seed), "r").join(m, "graph_id")
     gone = cut(same.filter("r <= ask").select(KEY))
     wanted = gone.groupBy("graph_id").agg(F.count("*").alias("n_wanted"))
     names = nodes.select("graph_id", "id", "label")
@@ -130,16 +132,14 @@ def homophily_attack_removed(canonical: DataFrame, nodes: DataFrame, fraction: f
     """The edges that homophily_attack removes: a deterministic, hash-ordered sample."""
     ends = G.labelled_edges(canonical, nodes)
     m = canonical.groupBy("graph_id").agg(F.round(F.count("*") * fraction).cast("long").alias("ask"))
-    order = Window.partitionBy("graph_id").orderBy(stable_uniform(F.lit(seed), "src", "dst"), "src", "dst")
-    same = ends.filter("src_label = dst_label").withColumn("r", F.row_number().over(order)).join(m, "graph_id")
+    same = ranked(ends.filter("src_label = dst_label").select(KEY), ["graph_id"], _by_hash(seed), "r").join(m, "graph_id")
     return same.filter("r <= ask").select(KEY)
 
 
 def random_rewire(canonical: DataFrame, nodes: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """round(fraction * m) hash-drawn edges go, as many random new pairs come."""
     m = canonical.groupBy("graph_id").agg(F.round(F.count("*") * fraction).cast("long").alias("n_wanted"))
-    order = Window.partitionBy("graph_id").orderBy(stable_uniform(F.lit(seed), "src", "dst"), "src", "dst")
-    kept = canonical.withColumn("r", F.row_number().over(order)).join(m, "graph_id").filter("r > n_wanted").select(KEY)
+    kept = ranked(canonical.select(KEY), ["graph_id"], _by_hash(seed), "r").join(m, "graph_id").filter("r > n_wanted").select(KEY)
     return kept.union(_random_pairs(nodes, m, canonical, seed + 1))
 
 

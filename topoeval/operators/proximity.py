@@ -1,7 +1,8 @@
 """Proximity graphs of points in the plane: points(graph_id, id, x, y).
 
 Gabriel and relative-neighbourhood graphs are subgraphs of the Delaunay triangulation, an edge of which has an empty
-circle. Points meet only within cells of a grid: emptiness tests are equi-joins on cells with a residual predicate.
+circle; the pairs whose Voronoi cells touch are the candidates for all of them. Emptiness tests are equi-joins on cells of
+a grid with a residual predicate.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topoeval.functions.lineage import cut
+from topoeval.operators.voronoi import candidate_pairs
 
 EPS = 2.220446049250313e-16
 
@@ -27,24 +29,16 @@ def _scaled(points: DataFrame, per_cell: float) -> DataFrame:
     return points.select("graph_id", "id", "x", "y").join(size, "graph_id")
 
 
-def all_pairs(points: DataFrame, max_radius: float | None = None) -> DataFrame:
-    """graph_id, u < v with coordinates and distance d. Within max_radius pairs come from neighbouring cells; without
-    a bound every pair of a graph is a candidate, which suits graphs of moderate size.
+def near_pairs(points: DataFrame, max_radius: float | None = None) -> DataFrame:
+    """graph_id, u < v with coordinates and distance d of the pairs of points whose Voronoi cells touch, no longer than
+    max_radius if that is given.
     """
     p = _scaled(points, 4.0)
     a = p.select("graph_id", "tol", "cell", F.col("id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
     b = p.select("graph_id", F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    if max_radius is None:
-        pairs = a.join(b, "graph_id")
-    else:
-        c = F.lit(float(max_radius))
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        a = a.withColumn("o", around).withColumns({"cx": F.floor(F.col("ux") / c) + F.col("o.i"), "cy": F.floor(F.col("uy") / c) + F.col("o.j")})
-        b = b.withColumns({"cx": F.floor(F.col("vx") / c), "cy": F.floor(F.col("vy") / c)})
-        pairs = a.join(b, ["graph_id", "cx", "cy"]).drop("cx", "cy", "o")
     d = F.sqrt(F.pow(F.col("ux") - F.col("vx"), 2) + F.pow(F.col("uy") - F.col("vy"), 2))
-    pairs = pairs.filter("u < v").withColumn("d", d)
-    return pairs if max_radius is None else pairs.filter(F.col("d") <= max_radius)
+    pairs = candidate_pairs(points).join(a, ["graph_id", "u"]).join(b, ["graph_id", "v"]).withColumn("d", d)
+    return cut(pairs if max_radius is None else pairs.filter(F.col("d") <= max_radius))
 
 
 def _without_point(pairs: DataFrame, points: DataFrame, x: Column, y: Column, radius: Column, inside: Column) -> DataFrame:
@@ -73,7 +67,7 @@ def _edges(pairs: DataFrame) -> DataFrame:
 
 def gabriel_graph(points: DataFrame, max_radius: float | None = None) -> DataFrame:
     """Edges whose diametral disk holds no other point (strictly, beyond the tolerance)."""
-    pairs = all_pairs(points, max_radius)
+    pairs = near_pairs(points, max_radius)
     mx, my = (F.col("ux") + F.col("vx")) / 2, (F.col("uy") + F.col("vy")) / 2
     away = F.sqrt(F.pow(F.col("wx") - mx, 2) + F.pow(F.col("wy") - my, 2))
     return _edges(_without_point(pairs, points, mx, my, F.col("d") / 2, away < F.col("d") / 2 - F.col("tol")))
@@ -81,7 +75,7 @@ def gabriel_graph(points: DataFrame, max_radius: float | None = None) -> DataFra
 
 def rng_graph(points: DataFrame, max_radius: float | None = None) -> DataFrame:
     """Edges for which no other point is nearer to both ends than they are to each other."""
-    pairs = all_pairs(points, max_radius)
+    pairs = near_pairs(points, max_radius)
     mx, my = (F.col("ux") + F.col("vx")) / 2, (F.col("uy") + F.col("vy")) / 2
     du = F.sqrt(F.pow(F.col("wx") - F.col("ux"), 2) + F.pow(F.col("wy") - F.col("uy"), 2))
     dv = F.sqrt(F.pow(F.col("wx") - F.col("vx"), 2) + F.pow(F.col("wy") - F.col("vy"), 2))
@@ -89,14 +83,15 @@ def rng_graph(points: DataFrame, max_radius: float | None = None) -> DataFrame:
 
 
 def delaunay_edges(points: DataFrame, max_radius: float | None = None) -> DataFrame:
-    """Edges with an empty circle through both ends, decided exactly for each pair: every third point bounds the circle's
-    centre on the bisector from one side; the edge is Delaunay if the bounds leave room. Cocircular points keep all their
-    edges (a triangulation would pick some). With max_radius only pairs that close are tested, and only points within
-    four times their distance bound them.
+    """Edges with an empty circle through both ends. Every third point bounds the circle's centre on the bisector from one
+    side; the edge is Delaunay if the bounds leave room, and the ends' own partners are all the points that can bound it.
+    Cocircular points keep all their edges (a triangulation would pick some).
     """
-    pairs = all_pairs(points, max_radius)
-    p = points.select("graph_id", F.col("id").alias("w"), F.col("x").alias("wx"), F.col("y").alias("wy"))
-    third = pairs.join(p, "graph_id").filter("w != u and w != v")
+    every = near_pairs(points)
+    pairs = every if max_radius is None else every.filter(F.col("d") <= max_radius)
+    partner = every.select("graph_id", "u", F.col("v").alias("w"), F.col("vx").alias("wx"), F.col("vy").alias("wy"))
+    partner = partner.union(every.select("graph_id", "v", "u", "ux", "uy"))
+    third = pairs.join(partner, ["graph_id", "u"]).unionByName(pairs.join(partner.withColumnRenamed("u", "v"), ["graph_id", "v"])).filter("w != u and w != v")
     ex, ey = F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")
     mx, my = (F.col("ux") + F.col("vx")) / 2, (F.col("uy") + F.col("vy")) / 2
     # centre m + t * n with n the left normal of u -> v; w is outside iff t * side <= power / 2 ...

@@ -1,89 +1,214 @@
-"""Bootstraps. Draws are row numbers from a hash of (seed, replicate, draw), so any engine can repeat them; only
-values or cluster sums move, never copies of whole rows.
+"""Bootstraps. A draw is a row number from whole-number arithmetic on (seed, replicate, draw), so any engine can repeat it.
+
+Rows are numbered within their key and cut into chunks of CHUNK. First it is drawn how many of a replicate's draws fall
+into each chunk (tasks of some DRAWS draws each, whatever the key's size; a key of one chunk needs none), then each chunk
+draws that many of its own rows and adds up their values. Only counts and sums per chunk and block of replicates move; the
+values of a chunk go to each block of replicates once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topoeval.functions.scalars import stable_seed
-
-
-def _numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
-
-
-def _draws(sizes: DataFrame, replicates: int, seed: int, *parts: str) -> DataFrame:
-    """For each row of sizes (keys, __n): rep, and __i drawn __n times."""
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draw = reps.withColumn("__d", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    return draw.withColumn("__i", F.pmod(stable_seed(F.lit(seed), *parts, "rep", "__d"), F.col("__n")))
-
-
-def _interval(stat: str) -> list:
-    q = lambda p: F.expr(f"percentile({stat}, {p})")
-    return [F.avg(stat).alias("boot_mean"), q(0.025).alias("ci_low"), q(0.975).alias("ci_high"), F.count("*").alias("replicates")]
-
-
-def bootstrap_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Percentile bootstrap of the mean per key; ``order`` numbers the rows and must be unique within a key."""
-    rows = _numbered(df.select(*keys, order, F.col(value).alias("__v")), keys, [order])
-    sizes = rows.groupBy(*keys).agg(F.max("__n").alias("__n"))
-    drawn = _draws(sizes, replicates, seed, *keys).join(rows.select(*keys, "__i", "__v"), [*keys, "__i"])
-    return drawn.groupBy(*keys, "rep").agg(F.avg("__v").alias("m")).groupBy(*keys).agg(*_interval("m"))
-
-
-def hierarchical_bootstrap(df: DataFrame, outer: str, order: str, value: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Outer groups are drawn, then rows within each draw; a replicate is the mean of the drawn groups' means."""
-    rows = _numbered(df.select(outer, order, F.col(value).alias("__v")), [outer], [order])
-    groups = rows.groupBy(outer).agg(F.max("__n").alias("__n"))
-    named = _numbered(groups.select(outer, F.col("__n").alias("size")), [], [outer])
-    total = named.agg(F.max("__n").alias("__n"))
-    first = _draws(total, replicates, seed).select("rep", F.col("__d").alias("slot"), "__i").join(F.broadcast(named.select("__i", outer, "size")), "__i")
-    inner = first.select("rep", "slot", outer, F.col("size").alias("__n"), F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))).alias("__d"))
-    inner = inner.withColumn("__i", F.pmod(stable_seed(F.lit(seed + 1), "rep", "slot", "__d"), F.col("__n")))
-    drawn = inner.join(rows.select(outer, "__i", "__v"), [outer, "__i"])
-    by_group = drawn.groupBy("rep", "slot").agg(F.avg("__v").alias("m"))
-    return by_group.groupBy("rep").agg(F.avg("m").alias("m")).agg(*_interval("m"))
+from topoeval.functions.lineage import cut
+from topoeval.functions.ranges import numbers, quantiles, ranked, with_count
+
+REPLICATES = 10_000
+CHUNK = 4096
+#: Draws of a task, replicates of a block at most.
+DRAWS, BLOCK = 1 << 24, 1000
+PRIME = 2**31 - 1
+
+
+#: After each part: (bits to turn, factor, modulus) of the steps that mix a number.
+STEPS = [(0, 48271, PRIME), (0x2A5A5A5A, 69621, 2**31 - 249), (0x155F3C3C, 40692, PRIME), (0x3C1E0F87, 16807, 2**31 - 249)]
+
+
+def mixed(*parts) -> np.ndarray:
+    """A number from whole numbers below PRIME (arrays or scalars): bits are turned, then multiplied modulo a prime, by turns."""
+    h = np.int64(7)
+    for p in parts:
+        h = h ^ np.asarray(p, np.int64)
+        for bits, factor, modulus in STEPS:
+            h = ((h ^ bits) * factor) % modulus
+    return h
+
+
+def mixed_column(*parts: Column) -> Column:
+    """mixed() as a Column."""
+    h = F.lit(7).cast("long")
+    for p in parts:
+        h = h.bitwiseXOR(p.cast("long"))
+        for bits, factor, modulus in STEPS:
+            h = (h.bitwiseXOR(F.lit(bits).cast("long")) * factor) % modulus
+    return h
+
+
+def _lists(values: np.ndarray, width: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, width, dtype=np.int32)), pa.array(values.ravel()))
+
+
+def chunk_counts(blocks: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """keys, chunk, reps, counts: for blocks(keys, n, reps) how many of the n draws of each replicate fall into each chunk."""
+    schema = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys) + ", chunk long, reps array<bigint>, counts array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                n, reps = b.column(len(keys))[row].as_py(), b.column(len(keys) + 1)[row].as_py()
+                chunks = -(-n // CHUNK)
+                found = np.zeros((chunks, len(reps)), np.int64)
+                if chunks == 1:
+                    found[:] = n
+                for k, rep in enumerate(reps if chunks > 1 else []):
+                    for at in range(0, n, DRAWS):
+                        drawn = mixed(seed, rep, np.arange(at, min(n, at + DRAWS))) % n
+                        found[:, k] += np.bincount(drawn // CHUNK, minlength=chunks)
+                same = [pa.array([b.column(i)[row].as_py()] * chunks, b.schema.field(i).type) for i in range(len(keys))]
+                every = _lists(np.tile(np.array(reps, np.int64), chunks), len(reps))
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(chunks), pa.int64()), every, _lists(found, len(reps))], [*keys, "chunk", "reps", "counts"])
+
+    return blocks.select(*keys, "n", "reps").mapInArrow(run, schema)
+
+
+def _sums(met: DataFrame, keys: Sequence[str], width: int, seed: int) -> DataFrame:
+    """keys, rep, s0, s1, ...: for rows (keys, chunk, values, reps, counts) the sums over the rows drawn in the chunk."""
+    schema = ", ".join(f"{k} {met.schema[k].dataType.simpleString()}" for k in keys) + ", rep long" + "".join(f", s{i} double" for i in range(width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = len(keys)
+        for b in batches:
+            for row in range(b.num_rows):
+                chunk = b.column(at)[row].as_py()
+                values = np.array(b.column(at + 1)[row].as_py(), float).reshape(-1, width)
+                reps, counts = (np.array(b.column(at + k)[row].as_py(), np.int64) for k in (2, 3))
+                out = np.zeros((len(reps), width))
+                step = max(1, DRAWS // max(1, int(counts.max(initial=1))) // 8)
+                for a in range(0, len(reps), step):
+                    c = counts[a : a + step]
+                    owner = np.repeat(np.arange(len(c)), c)
+                    inner = np.arange(len(owner)) - np.repeat(np.cumsum(c) - c, c)
+                    drawn = values[mixed(seed, reps[a : a + step][owner], chunk, inner) % len(values)]
+                    for k in range(width):
+                        out[a : a + step, k] = np.bincount(owner, drawn[:, k], len(c))
+                same = [pa.array([b.column(i)[row].as_py()] * len(reps), b.schema.field(i).type) for i in range(at)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(reps), *(pa.array(out[:, k]) for k in range(width))], [*keys, "rep", *(f"s{k}" for k in range(width))])
+
+    return met.select(*keys, "chunk", "values", "reps", "counts").mapInArrow(run, schema)
+
+
+def resampled(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], blocks: DataFrame, seed: int) -> DataFrame:
+    """keys, rep, s0, s1, ... and n: sums of the values over n draws of a key's n rows, for every replicate of blocks(keys,
+    reps). The order numbers the rows and must be unique within a key; keys are not null.
+    """
+    numbered = cut(ranked(rows.select(*keys, *order, *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)]), keys, order, "__r"))
+    sizes = numbered.groupBy(*keys).agg(F.max("__r").alias("n"))
+    own = F.sort_array(F.collect_list(F.struct("__r", F.array(*[f"__v{i}" for i in range(len(values))]).alias("v"))))
+    chunks = numbered.groupBy(*keys, F.floor((F.col("__r") - 1) / CHUNK).alias("chunk")).agg(F.flatten(F.transform(own, lambda x: x["v"])).alias("values"))
+    asked = blocks.join(sizes, list(keys)).repartition(*keys, F.element_at("reps", 1))
+    counts = chunk_counts(asked, keys, seed)
+    met = counts.join(chunks, [*keys, "chunk"]).repartition(*keys, "chunk", F.element_at("reps", 1))
+    sums = _sums(met, keys, len(values), seed + 1).groupBy(*keys, "rep").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(values))])
+    return sums.join(sizes, list(keys))
+
+
+def _blocks(sizes: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """keys, reps: replicates 1 ... in blocks of some DRAWS draws."""
+    per = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(DRAWS) / F.col("n")))).cast("long")
+    first = sizes.withColumn("per", per).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"), F.col("per"))))
+    return first.select(*keys, F.sequence("first", F.least(F.col("first") + F.col("per") - 1, F.lit(replicates))).alias("reps"))
+
+
+def _interval(df: DataFrame, stat: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, boot_mean, ci_low, ci_high, replicates over the replicates of each key."""
+    cuts = quantiles(df, stat, [0.025, 0.975], keys, "__q")
+    means = df.groupBy(*keys).agg(F.avg(stat).alias("boot_mean"), F.count("*").alias("replicates"))
+    both = means.join(cuts, list(keys), "left") if keys else means.join(F.broadcast(cuts), F.lit(True), "left")
+    return both.select(*keys, "boot_mean", F.try_element_at("__q", F.lit(1)).alias("ci_low"), F.try_element_at("__q", F.lit(2)).alias("ci_high"), "replicates")
+
+
+def bootstrap_mean(df: DataFrame, keys: Sequence[str], order: str, value: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """Percentile bootstrap of the mean per key; ``order`` numbers the rows and must be unique within a key. Rows without a
+    value or with a null key don't count.
+    """
+    by = list(keys) or ["__key"]
+    rows = df if keys else df.withColumn("__key", F.lit(0))
+    there = rows.select(*by, order, value).dropna(subset=[*by, value])
+    sizes = there.groupBy(*by).agg(F.count("*").alias("n"))
+    means = resampled(there, by, [order], [value], _blocks(sizes, by, replicates), seed).withColumn("m", F.col("s0") / F.col("n"))
+    return _interval(cut(means.select(*keys, "m")), "m", keys)
+
+
+def hierarchical_bootstrap(df: DataFrame, outer: str, order: str, value: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """Outer groups are drawn, then rows within each draw; a replicate is the mean of the drawn groups' means. A draw of a group is
+    a replicate of its own there: number (replicate - 1) * groups + slot.
+    """
+    there = df.filter(F.col(value).isNotNull() & F.col(outer).isNotNull())
+    named = with_count(ranked(there.select(outer).distinct(), [], [outer], "__g"), [], "__groups")
+    named = cut(named)
+    total = named.agg(F.max("__groups").alias("groups"))
+    slots = numbers(total, F.col("groups") * replicates, "slot")
+    slots = slots.select("slot", "groups", (F.floor((F.col("slot") - 1) / F.col("groups")) + 1).alias("rep"))
+    drawn = slots.withColumn("__g", mixed_column(F.lit(seed), F.col("rep"), F.col("slot") % F.col("groups")) % F.col("groups") + 1).join(named.select("__g", outer), "__g")
+    drawn = cut(drawn.select("slot", "rep", outer))
+    block = F.floor(F.col("slot") / (F.lit(BLOCK) * F.greatest(F.col("__groups"), F.lit(1))))
+    blocks = drawn.join(named.select(outer, "__groups"), outer).groupBy(outer, block.alias("b")).agg(F.sort_array(F.collect_list("slot")).alias("reps")).drop("b")
+    inner = resampled(there, [outer], [order], [value], blocks, seed + 1).select(outer, F.col("rep").alias("slot"), (F.col("s0") / F.col("n")).alias("m"))
+    by_rep = drawn.join(inner, [outer, "slot"]).groupBy("rep").agg(F.avg("m").alias("m"))
+    return _interval(cut(by_rep), "m")
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """Clusters are drawn; a replicate is the mean over all rows of the drawn clusters. Only cluster sums move."""
+    one = F.lit(0).alias("__key")
+    sums = df.filter(F.col(cluster).isNotNull()).groupBy(one, cluster).agg(F.sum(value).alias("__s"), F.count(value).alias("__k")).filter("__k > 0")
+    sums = cut(sums)
+    sizes = sums.groupBy("__key").agg(F.count("*").alias("n"))
+    drawn = resampled(sums, ["__key"], [cluster], ["__s", "__k"], _blocks(sizes, ["__key"], replicates), seed)
+    return _interval(cut(drawn.select((F.col("s0") / F.col("s1")).alias("m"))), "m")
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Clusters are drawn; a replicate is the mean over all rows of the drawn clusters. Only cluster sums move."""
-    sums = df.groupBy(cluster).agg(F.sum(value).alias("__s"), F.count(value).alias("__k"))
-    rows = _numbered(sums, [], [cluster])
-    drawn = _draws(rows.agg(F.max("__n").alias("__n")), replicates, seed).join(F.broadcast(rows.select("__i", "__s", "__k")), "__i")
-    return drawn.groupBy("rep").agg((F.sum("__s") / F.sum("__k")).alias("m")).agg(*_interval("m"))
+def _draws(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """For rows (keys, n): rep, and __i (1 ... n) drawn n times; the draws of a row are spread over tasks."""
+    drawn = numbers(sizes, F.col("n") * replicates, "__d").withColumns({"rep": F.floor((F.col("__d") - 1) / F.col("n")) + 1, "__j": (F.col("__d") - 1) % F.col("n")})
+    return drawn.withColumn("__i", mixed_column(F.lit(seed), F.col("rep"), F.col("__j")) % F.col("n") + 1).drop("__d", "__j")
 
 
 def direction_stability(df: DataFrame, cluster: str, metrics: Sequence[str], target: str, replicates: int = 50, seed: int = 0) -> DataFrame:
     """Per metric: Spearman with the target on all rows, share of cluster-bootstrap replicates of that sign, quantiles."""
     from topoeval.operators.stats import long_metrics, safe_correlation
 
-    long = long_metrics(df, [cluster, target], metrics)
-    names = _numbered(df.select(cluster).distinct(), [], [cluster])
-    drawn = _draws(names.agg(F.max("__n").alias("__n")), replicates, seed).join(F.broadcast(names.select("__i", cluster)), "__i")
-    reps = safe_correlation(drawn.select("rep", cluster).join(long, cluster), ["metric", "rep"], "value", target).select("metric", "rep", F.col("spearman").alias("rho"))
+    long = cut(long_metrics(df.filter(F.col(cluster).isNotNull()), [cluster, target], metrics))
+    names = cut(ranked(long.select(cluster).distinct(), [], [cluster], "__i"))
+    drawn = _draws(names.agg(F.max("__i").alias("n")), replicates, seed).join(names, "__i").select("rep", cluster)
+    reps = cut(safe_correlation(drawn.join(long, cluster), ["metric", "rep"], "value", target).select("metric", "rep", F.col("spearman").alias("rho")))
     full = safe_correlation(long, ["metric"], "value", target).select("metric", "spearman")
-    return reps.join(full, "metric").groupBy("metric", "spearman").agg(
-        F.avg((F.signum("rho") == F.signum("spearman")).cast("double")).alias("sign_stability"), F.expr("percentile(rho, 0.025)").alias("q025"), F.expr("percentile(rho, 0.975)").alias("q975")
-    )
+    cuts = quantiles(reps, "rho", [0.025, 0.975], ["metric"])
+    share = reps.join(full, "metric").groupBy("metric", "spearman").agg(F.avg((F.signum("rho") == F.signum("spearman")).cast("double")).alias("sign_stability"))
+    return share.join(cuts, "metric", "left").select("metric", "spearman", "sign_stability", F.try_element_at("cuts", F.lit(1)).alias("q025"), F.try_element_at("cuts", F.lit(2)).alias("q975"))
 
 
-def bootstrap_auc(df: DataFrame, y: str, p: str, order: str, replicates: int = 100, seed: int = 0) -> DataFrame:
-    """AUC replicates with positives and negatives drawn separately."""
+def bootstrap_auc(df: DataFrame, y: str, p: str, order: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """AUC replicates with positives and negatives drawn separately (seed and seed + 1). Rows are numbered within their class by
+    ``order``; what a replicate draws is counted by score before it is ranked.
+    """
     from topoeval.operators.evaluate import rank_auc
 
-    rows = _numbered(df.select(F.col(y).alias("y"), order, F.col(p).alias("p")), ["y"], [order])
-    sizes = rows.groupBy("y").agg(F.max("__n").alias("__n"))
-    drawn = _draws(sizes, replicates, seed, "y").join(rows.select("y", "__i", "p"), ["y", "__i"])
-    return rank_auc(drawn, "y", "p", ["rep"]).withColumnRenamed("auc", "m").agg(*_interval("m"))
+    out = None
+    for side in (0, 1):
+        rows = cut(ranked(df.filter(F.col(y) == side).select(order, F.col(p).alias("p")), [], [order], "__i").select("__i", "p"))
+        drawn = _draws(rows.agg(F.count("*").alias("n")), replicates, seed + side).join(rows, "__i").select("rep", "p", F.lit(side).alias("y"))
+        out = drawn if out is None else out.union(drawn)
+    return _interval(cut(rank_auc(out, "y", "p", ["rep"]).select(F.col("auc").alias("m"))), "m")
 
 
-def binned_bootstrap(df: DataFrame, x: str, value: str, order: str, bins: int = 4, replicates: int = 100, seed: int = 0) -> DataFrame:
+def binned_bootstrap(df: DataFrame, x: str, value: str, order: str, bins: int = 4, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """bin, boot_mean, ci_low, ci_high, replicates of the value's mean within quantile bins of x."""
     from topoeval.functions.scalars import quantile_bin
 
-    return bootstrap_mean(quantile_bin(df, x, bins), ["bin"], order, value, replicates, seed)
+    return bootstrap_mean(cut(quantile_bin(df.filter(F.col(x).isNotNull()), x, bins)), ["bin"], order, value, replicates, seed)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topoeval.functions.lineage import cut
-from topoeval.functions.scalars import cosine, gumbel_key, minmax_scale
+from topoeval.functions.ranges import ranked
+from topoeval.functions.scalars import cosine, gumbel_key, minmax_scaled
 from topoeval.operators.graph import both_ways
-from topoeval.operators.similarity import pairwise_cosine
+from topoeval.operators.similarity import top_pairs
 
 KEY = ["graph_id", "src", "dst"]
 
@@ -39,22 +40,17 @@ def rewire_grid(canonical: DataFrame, points: DataFrame, ratios: list[float], co
     """
     if any(not 0 <= r <= 1 for r in ratios):
         raise ValueError("ratios lie in [0, 1]")
-    size = _sizes(canonical, points)
-    low = Window.partitionBy("graph_id").orderBy("sim", "src", "dst")
-    kept = edge_similarity(canonical, points, column).withColumn("r", F.row_number().over(low))
-    high = Window.partitionBy("graph_id").orderBy(F.col("sim").desc(), "src", "dst")
+    grid = F.explode(F.array(*[F.lit(float(r)) for r in sorted(set(ratios))])).alias("ratio")
+    cases = _sizes(canonical, points).select("graph_id", "n", "m", grid)
     k = F.floor(F.col("m") * F.col("ratio")).cast("long")
-    grid = F.broadcast(canonical.sparkSession.createDataFrame([(float(r),) for r in ratios], "ratio double"))
-    cases = size.crossJoin(grid).withColumn("k", k).withColumn(
-        "pool", F.floor(F.least(F.col("n") * F.col("n"), F.greatest(10 * F.col("k"), 3 * F.col("m"))) / 2)
-    )
-    most = cases.groupBy("graph_id").agg(F.max("pool").alias("most"))
-    pool = pairwise_cosine(points, column=column).withColumn("p", F.row_number().over(high)).join(F.broadcast(most), "graph_id").filter("p <= most")
-    stay = kept.join(F.broadcast(cases), "graph_id").filter("r > k")
-    asked = pool.join(F.broadcast(cases), "graph_id").filter("p <= pool")
-    fresh = asked.join(stay.select("ratio", *KEY), ["ratio", *KEY], "left_anti")
-    rank = Window.partitionBy("graph_id", "ratio").orderBy("p")
-    added = fresh.withColumn("a", F.row_number().over(rank)).filter("a <= k")
+    pool = F.floor(F.least(F.col("n") * F.col("n"), F.greatest(10 * F.col("k"), 3 * F.col("m"))) / 2)
+    cases = cut(cases.withColumn("k", k).withColumn("pool", pool).select("graph_id", "ratio", "k", "pool"))
+    kept = ranked(edge_similarity(canonical, points, column), ["graph_id"], ["sim", "src", "dst"], "r").drop("sim")
+    stay = kept.join(cases, "graph_id").filter("r > k").select("ratio", *KEY)
+    pairs = top_pairs(points, cases.groupBy("graph_id").agg(F.max("pool").alias("pool")), column).drop("sim")
+    asked = pairs.join(cases, "graph_id").filter("p <= pool").drop("pool")
+    fresh = asked.join(stay, ["ratio", *KEY], "left_anti")
+    added = ranked(fresh, ["graph_id", "ratio"], ["p"], "a").filter("a <= k")
     return stay.select("graph_id", "ratio", "src", "dst", F.lit(False).alias("added")).union(added.select("graph_id", "ratio", "src", "dst", F.lit(True)))
 
 
@@ -80,16 +76,17 @@ def rewire_hybrid(canonical: DataFrame, points: DataFrame, coordinates: DataFram
         out = pairs.join(c.toDF("graph_id", "src", "ca"), ["graph_id", "src"], "left").join(c.toDF("graph_id", "dst", "cb"), ["graph_id", "dst"], "left")
         return out.withColumn("res", F.coalesce(sqdist("ca", "cb"), F.lit(0.0))).drop("ca", "cb")
 
-    score = alpha * minmax_scale("sim", ["graph_id"]) + (1 - alpha) * minmax_scale("part", ["graph_id"])
-    edges = resist(edge_similarity(canonical, points, column)).withColumnRenamed("res", "part").withColumn("score", F.round(score, 10))
-    low = Window.partitionBy("graph_id").orderBy("score", "src", "dst")
-    stay = edges.withColumn("r", F.row_number().over(low)).join(F.broadcast(size), "graph_id").filter("r > k")
-    high = Window.partitionBy("graph_id").orderBy(F.col("sim").desc(), "src", "dst")
-    pool = pairwise_cosine(points, column=column).withColumn("p", F.row_number().over(high)).join(F.broadcast(size), "graph_id").filter("p <= pool")
-    pool = resist(pool).withColumn("part", F.when(F.col("res") > 0, 1 / F.col("res")).otherwise(0.0))
-    fresh = pool.join(stay.select(KEY), KEY, "left_anti").withColumn("score", F.round(score, 10))
-    best = Window.partitionBy("graph_id").orderBy(F.col("score").desc(), "src", "dst")
-    added = fresh.withColumn("a", F.row_number().over(best)).filter("a <= k")
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = minmax_scaled(pairs, ["sim", "part"], ["graph_id"])
+        return both.withColumn("score", F.round(alpha * F.col("sim_scaled") + (1 - alpha) * F.col("part_scaled"), 10))
+
+    edges = scored(resist(edge_similarity(canonical, points, column)).withColumnRenamed("res", "part"))
+    stay = ranked(edges.select(*KEY, "score"), ["graph_id"], ["score", "src", "dst"], "r").join(size.select("graph_id", "k"), "graph_id").filter("r > k")
+    pool = resist(top_pairs(points, size.select("graph_id", "pool"), column))
+    pool = pool.withColumn("part", F.when(F.col("res") > 0, 1 / F.col("res")).otherwise(0.0))
+    fresh = scored(pool.join(stay.select(KEY), KEY, "left_anti")).select(*KEY, "score")
+    best = ranked(fresh, ["graph_id"], [F.col("score").desc(), F.col("src"), F.col("dst")], "a")
+    added = best.join(size.select("graph_id", "k"), "graph_id").filter("a <= k")
     return stay.select(*KEY, F.lit(False).alias("added")).union(added.select(*KEY, F.lit(True)))
 
 

@@ -1,8 +1,10 @@
 """Similarity and nearest-neighbour graphs from vectors: points(graph_id, id, embedding).
 
-All pairs are met block by block: rows are dealt into blocks by hash, each pair of blocks is one
-join key, so the work of n rows spreads over (n / BLOCK)**2 / 2 tasks and no N x N matrix is ever held.
-With ``buckets`` the pairs are those that share a sign hash instead (approximate, near-linear).
+All pairs are met block by block: rows are dealt by hash into blocks of about ``rows``, as many as a graph needs, and
+each pair of blocks is one group, so a group holds some 2 * ``rows`` vectors however many there are, and no N x N matrix
+is ever made. What is asked for is chosen inside the groups: the nearest k of a row, or the pairs of a graph up to a
+threshold that histograms of the groups have fixed before (``top_pairs``). With ``cosine_candidates`` the pairs are
+those that share a sign hash instead (approximate, near-linear).
 """
 
 from __future__ import annotations
@@ -14,39 +16,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoeval.functions.lineage import cut
+from topoeval.functions.ranges import ranked
 from topoeval.functions.scalars import sqdist, stable_uniform, unit
 
-BLOCKS = 8
+#: Vectors of a block.
+ROWS = 512
+#: Pairs beyond the wanted ones that are sent on rather than looked at in another round of histograms.
+EXCESS = 1 << 18
 
 
-def _block_pairs(points: DataFrame, blocks: int) -> DataFrame:
-    """graph_id, key, side (0, 1), id, v: each block of rows once for every block it meets."""
-    at = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    met = at.select("*", other.alias("other"))
+def _block_pairs(points: DataFrame, rows: int, extra: DataFrame | None) -> DataFrame:
+    """graph_id, low, high, side (0, 1), id, v: each block of rows once for every block it meets, with extra's columns."""
+    size = points.groupBy("graph_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    if extra is not None:
+        size = size.join(extra, "graph_id")
+    at = points.join(size, "graph_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return met.select("graph_id", (low * blocks + high).alias("key"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "v", (low == high).alias("same"))
+    names = [c for c in extra.columns if c != "graph_id"] if extra is not None else []
+    return met.select("graph_id", low.alias("low"), high.alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "v", *names)
 
 
-def _meet(points: DataFrame, blocks: int, run, schema: str) -> DataFrame:
-    """Apply run(ids_a, vectors_a, ids_b, vectors_b, same block) to every pair of blocks."""
+def _meet(points: DataFrame, rows: int, run, schema: str, extra: DataFrame | None = None) -> DataFrame:
+    """Apply run(ids_a, vectors_a, ids_b, vectors_b, same block, extra's values) to every pair of blocks."""
     kinds = points.schema["graph_id"].dataType.simpleString()
+    asked = [c for c in extra.columns if c != "graph_id"] if extra is not None else []
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def blockwise(key: tuple, table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
-        v = np.array(table.column("v").to_pylist(), dtype=float)
-        same = bool(table.column("same")[0].as_py())
+        lists = table.column("v").combine_chunks()
+        v = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+        same = key[1].as_py() == key[2].as_py()
         a, b = side == 0, (side == 0 if same else side == 1)
-        if not a.any() or not b.any():
-            cols = run(ids[:0], v[:0], ids[:0], v[:0], same)
-        else:
-            cols = run(ids[a], v[a], ids[b], v[b], same)
+        cols = run(ids[a], v[a], ids[b], v[b], same, {c: table.column(c)[0].as_py() for c in asked})
         n = len(cols[0])
-        names = [c.split()[0] for c in schema.split(", ")]
         return pa.table([pa.array([key[0].as_py()] * n, table.schema.field("graph_id").type), *map(pa.array, cols)], names=["graph_id", *names])
 
-    return _block_pairs(points, blocks).groupBy("graph_id", "key").applyInArrow(blockwise, f"graph_id {kinds}, {schema}")
+    return _block_pairs(points, rows, extra).groupBy("graph_id", "low", "high").applyInArrow(blockwise, f"graph_id {kinds}, {schema}")
 
 
 def _vectors(points: DataFrame, column: str, normal: bool) -> DataFrame:
@@ -54,18 +63,95 @@ def _vectors(points: DataFrame, column: str, normal: bool) -> DataFrame:
     return points.select("graph_id", "id", (unit(v) if normal else F.transform(v, lambda x: x.cast("double"))).alias("v"))
 
 
-def pairwise_cosine(points: DataFrame, threshold: float = -1.0, column: str = "embedding", blocks: int = BLOCKS) -> DataFrame:
+def _distances(va: np.ndarray, vb: np.ndarray, metric: str) -> np.ndarray:
+    """Distances to 10 decimals; of unit vectors for the cosine."""
+    if metric == "cosine":
+        return np.round(1 - va @ vb.T, 10)
+    return np.round(np.sqrt(np.maximum((va**2).sum(1)[:, None] + (vb**2).sum(1)[None, :] - 2 * va @ vb.T, 0)), 10)
+
+
+def pairwise_cosine(points: DataFrame, threshold: float = -1.0, column: str = "embedding", rows: int = ROWS) -> DataFrame:
     """graph_id, src < dst, sim (10 decimals) of all pairs with at least that cosine."""
 
-    def run(ia, va, ib, vb, same):
-        s = np.round(va @ vb.T, 10) if len(ia) else np.zeros((0, 0))
+    def run(ia, va, ib, vb, same, _):
+        s = np.round(va @ vb.T, 10)
         keep = s >= threshold
         if same:
             keep &= ia[:, None] < ib[None, :]
         r, c = np.nonzero(keep)
         return [np.minimum(ia[r], ib[c]), np.maximum(ia[r], ib[c]), s[r, c]]
 
-    return _meet(_vectors(points, column, True), blocks, run, "src bigint, dst bigint, sim double")
+    return _meet(_vectors(points, column, True), rows, run, "src bigint, dst bigint, sim double")
+
+
+def _keys(va: np.ndarray, vb: np.ndarray, metric: str) -> np.ndarray:
+    """Whole numbers in the order of the pairs: most similar, or nearest, first."""
+    if metric == "cosine":
+        return 10**10 - np.rint(np.round(va @ vb.T, 10) * 1e10).astype(np.int64)
+    return _distances(va, vb, metric).view(np.int64)  # the bits of doubles that are not negative are in their order
+
+
+def top_pairs(points: DataFrame, wanted: DataFrame, column: str = "embedding", metric: str = "cosine", rows: int = ROWS) -> DataFrame:
+    """graph_id, src < dst, sim (or distance) and p (1, 2, ...) of the first ``pool`` pairs of each graph of wanted(graph_id,
+    pool) in the order of (sim descending, or distance; src; dst); all pairs of a graph that has fewer.
+
+    Histograms of the blocks' products tell in which bucket of values the last wanted pair lies, another round in
+    which of its parts, down to a single value if many pairs share a bucket. Only pairs up to there are made; of those
+    with that very value no block sends more than are wanted.
+    """
+    v = _vectors(points, column, metric == "cosine")
+    shifts = [20, 0] if metric == "cosine" else [40, 20, 0]
+    state = wanted.select("graph_id", F.col("pool").cast("long").alias("pool"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("above"))
+    state = cut(state.filter("pool > 0"))
+    before = 63
+
+    def counting(shift: int, before: int):
+        def run(ia, va, ib, vb, same, of):
+            keys = _keys(va, vb, metric)
+            keys = keys[ia[:, None] < ib[None, :]] if same else keys.ravel()
+            bucket, n = np.unique(keys[keys >> before == of["base"]] >> shift, return_counts=True)
+            return [bucket, n.astype(np.int64)]
+
+        return run
+
+    for shift in shifts:
+        held = _meet(v, rows, counting(shift, before), "bucket bigint, n bigint", state.select("graph_id", "base"))
+        counts = held.groupBy("graph_id", "bucket").agg(F.sum("n").alias("n"))
+        # at most 2**20 buckets a graph
+        upto = F.sum("n").over(Window.partitionBy("graph_id").orderBy("bucket"))
+        reach = counts.withColumn("upto", upto).join(state.select("graph_id", "pool", "above"), "graph_id").withColumn("upto", F.col("upto") + F.col("above"))
+        reach = reach.filter(F.col("upto") - F.col("n") < F.col("pool")).groupBy("graph_id", "pool").agg(F.max_by(F.struct("bucket", "n", "upto"), "bucket").alias("last"))
+        state = cut(reach.select("graph_id", "pool", F.col("last.bucket").alias("base"), (F.col("last.upto") - F.col("last.n")).alias("above"), F.col("last.upto").alias("upto")))
+        before = shift
+        excess = state.agg(F.max(F.col("upto") - F.col("pool"))).first()[0]
+        if excess is None or excess <= EXCESS:
+            break
+
+    def emit(ia, va, ib, vb, same, of):
+        keys = _keys(va, vb, metric)
+        part = keys >> before
+        keep = part <= of["base"]
+        if same:
+            keep &= ia[:, None] < ib[None, :]
+        r, c = np.nonzero(keep)
+        src, dst = np.minimum(ia[r], ib[c]), np.maximum(ia[r], ib[c])
+        if before == 0:
+            last = np.flatnonzero(part[r, c] == of["base"])
+            need = max(0, of["pool"] - of["above"])
+            if len(last) > need:
+                gone = last[np.lexsort((dst[last], src[last]))[need:]]
+                stay = np.ones(len(r), bool)
+                stay[gone] = False
+                r, c, src, dst = r[stay], c[stay], src[stay], dst[stay]
+        found = keys[r, c]
+        value = (10**10 - found) / 1e10 if metric == "cosine" else found.view(np.float64)
+        return [src, dst, np.round(value, 10)]
+
+    name = "sim" if metric == "cosine" else "distance"
+    pairs = _meet(v, rows, emit, f"src bigint, dst bigint, {name} double", state.select("graph_id", "pool", "base", "above"))
+    order = [F.col("sim").desc() if metric == "cosine" else F.col("distance"), F.col("src"), F.col("dst")]
+    first = ranked(pairs, ["graph_id"], order, "p")
+    return first.join(state.select("graph_id", "pool"), "graph_id").filter("p <= pool").drop("pool")
 
 
 def cosine_candidates(points: DataFrame, bits: int = 12, tables: int = 8, seed: int = 0, column: str = "embedding") -> DataFrame:
@@ -92,7 +178,7 @@ def cosine_candidates(points: DataFrame, bits: int = 12, tables: int = 8, seed:
     return out.select("graph_id", "src", "dst", F.round(dot("a", "b"), 10).alias("sim"))
 
 
-def knn(points: DataFrame, k: int, column: str = "embedding", metric: str = "euclidean", blocks: int = BLOCKS) -> DataFrame:
+def knn(points: DataFrame, k: int, column: str = "embedding", metric: str = "euclidean", rows: int = ROWS) -> DataFrame:
     """graph_id, id, neighbor, distance (10 decimals), rank 1 ... k by (distance, neighbor).
 
     Each pair of blocks sends at most k candidates for each of its rows; the best k of these win.
@@ -105,21 +191,15 @@ def knn(points: DataFrame, k: int, column: str = "embedding", metric: str = "euc
         keep = np.isfinite(d[r, c])
         return ia[r][keep], ib[c][keep], d[r, c][keep]
 
-    def run(ia, va, ib, vb, same):
-        if not len(ia):
-            return [ia, ia, np.zeros(0)]
-        if metric == "cosine":
-            d = 1 - va @ vb.T
-        else:
-            d = np.sqrt(np.maximum((va**2).sum(1)[:, None] + (vb**2).sum(1)[None, :] - 2 * va @ vb.T, 0))
-        d = np.round(d, 10)
+    def run(ia, va, ib, vb, same, _):
+        d = _distances(va, vb, metric)
         if same:
             d = np.where(ia[:, None] == ib[None, :], np.inf, d)
             return list(nearest(ia, ib, d))
         return [np.concatenate(x) for x in zip(nearest(ia, ib, d), nearest(ib, ia, d.T), strict=True)]
 
-    found = _meet(_vectors(points, column, metric == "cosine"), blocks, run, "id bigint, neighbor bigint, distance double")
-    order = Window.partitionBy("graph_id", "id").orderBy("distance", "neighbor")
+    found = _meet(_vectors(points, column, metric == "cosine"), rows, run, "id bigint, neighbor bigint, distance double")
+    order = Window.partitionBy("graph_id", "id").orderBy("distance", "neighbor")  # k rows a block that an id meets
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -133,42 +213,58 @@ def knn_edges(neighbors: DataFrame, mutual: bool = False) -> DataFrame:
 
 def take_budget(candidates: DataFrame, budget: int, order: tuple[str, ...] = ("distance", "src", "dst")) -> DataFrame:
     """The first ``budget`` candidates of each graph in that order, with their rank; stops if a graph has fewer."""
-    ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(*order))).filter(F.col("rank") <= budget)
-    size = candidates.groupBy("graph_id").agg(F.count("*").alias("__n"))
-    enough = F.when(F.col("__n") >= budget, F.col("rank")).otherwise(F.raise_error(F.lit("fewer candidates than the budget")).cast("int"))
-    return ranked.join(size, "graph_id").withColumn("rank", enough).drop("__n")
+    numbered = ranked(candidates, ["graph_id"], order)
+    size = numbered.groupBy("graph_id").agg(F.count("*").alias("__n"))
+    enough = F.when(F.col("__n") >= budget, F.col("rank")).otherwise(F.raise_error(F.lit("fewer candidates than the budget")).cast("long"))
+    return numbered.filter(F.col("rank") <= budget).join(size, "graph_id").withColumn("rank", enough).drop("__n")
 
 
 def budgeted_knn(points: DataFrame, budget: int, mutual: bool = True, column: str = "embedding") -> DataFrame:
-    """The ``budget`` shortest (mutual) neighbour edges; k grows by 1.6 until every graph has that many."""
-    size = points.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.min("n")).first()
-    n, least = size[0], size[1]
+    """The ``budget`` shortest (mutual) neighbour edges; k grows by 1.6 until every graph has that many.
+
+    Neighbours are found for two steps of k ahead and written; how many edges each k gives is counted from their ranks.
+    """
+    size = points.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.min("n"), F.count("*")).first()
+    n, least, graphs = size
     if budget > least * (least - 1) // 2:
         raise ValueError("the budget exceeds the number of pairs")
-    k = min(n - 1, max(8, -(-2 * budget // n)))
-    while True:
-        edges = knn_edges(knn(points, k, column), mutual)
-        short = edges.groupBy("graph_id").agg(F.count("*").alias("n")).filter(F.col("n") < budget)
-        missing = points.select("graph_id").distinct().join(edges.select("graph_id").distinct(), "graph_id", "left_anti")
-        if k >= n - 1 or (short.isEmpty() and missing.isEmpty()):
-            return take_budget(edges, budget)
-        k = min(n - 1, max(k + 1, int(k * 1.6)))
+    steps = [min(n - 1, max(8, -(-2 * budget // n)))]
+    while steps[-1] < n - 1:
+        steps.append(min(n - 1, max(steps[-1] + 1, int(steps[-1] * 1.6))))
+    for at in range(0, len(steps), 3):
+        mine = steps[at : at + 3]
+        found = cut(knn(points, mine[-1], column))
+        ends = found.groupBy("graph_id", F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst")).agg(
+            (F.max("rank") if mutual else F.min("rank")).alias("k"), F.count("*").alias("both")
+        )
+        ends = ends.filter("both > 1") if mutual else ends
+        counts = ends.groupBy("graph_id").agg(*[F.count(F.when(F.col("k") <= k, 1)).alias(f"k{k}") for k in mine])
+        enough = counts.agg(*[F.count(F.when(F.col(f"k{k}") >= budget, 1)) for k in mine]).first()
+        for k, done in zip(mine, enough, strict=True):
+            if done == graphs or k == steps[-1]:
+                return take_budget(knn_edges(found.filter(F.col("rank") <= k), mutual), budget)
+    raise AssertionError("the last step has every pair")
 
 
 def radius_graph(points: DataFrame, budget: int, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """The ``budget`` shortest pairs of each graph, and the distance of the last one (cutoff)."""
-    edges = take_budget(knn_edges(knn(points, budget, column)), budget)
+    """The ``budget`` shortest pairs of each graph (a graph with fewer stops the query), and the distance of the last one
+    (cutoff).
+    """
+    pool = points.select("graph_id").distinct().withColumn("pool", F.lit(budget))
+    edges = take_budget(top_pairs(points, pool, column, "euclidean").drop("p"), budget)
     return edges, edges.groupBy("graph_id").agg(F.max("distance").alias("cutoff"), F.count("*").alias("n_edges"))
 
 
 def bottom_k_edges(scored: DataFrame, k: int, score: str = "sim") -> DataFrame:
-    order = Window.partitionBy("graph_id").orderBy(score, "src", "dst")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The k rows of each graph with the least score, ties by (src, dst), with their rank."""
+    return ranked(scored, ["graph_id"], [score, "src", "dst"]).filter(F.col("rank") <= k)
 
 
 def top_candidate_pairs(scored: DataFrame, k: int, score: str = "sim") -> DataFrame:
-    order = Window.partitionBy("graph_id").orderBy(F.col(score).desc(), "src", "dst")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The k rows of each graph with the largest score, ties by (src, dst), with their rank. For all pairs of vectors
+    top_pairs does not make the pairs first.
+    """
+    return ranked(scored, ["graph_id"], [F.col(score).desc(), F.col("src"), F.col("dst")]).filter(F.col("rank") <= k)
 
 
 def anchor_similarity(points: DataFrame, anchors: int, k: int, column: str = "embedding", seed: int = 0) -> DataFrame:

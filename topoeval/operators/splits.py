@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoeval.functions.ranges import ranked, with_count
 from topoeval.functions.scalars import stable_uniform
 
 
@@ -14,8 +15,8 @@ def quota_split(df: DataFrame, parts: dict[str, float], keys: Sequence[str] = ("
     """``split`` of every row: within a class, rows in hash order fill the parts; a part but the last gets
     max(1, round(n f)) rows, the last what is left. Disjoint and exhaustive; classes of null label are a class.
     """
-    w = Window.partitionBy(*keys, label)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(stable_uniform(F.lit(seed), id_col), id_col)), "__n": F.count("*").over(w)})
+    numbered = ranked(df, [*keys, label], [stable_uniform(F.lit(seed), id_col), F.col(id_col)], "__r")
+    numbered = with_count(numbered, [*keys, label], "__n")
     names = list(parts)
     out, upto = F.lit(names[-1]), F.lit(0)
     cases = []
@@ -24,13 +25,12 @@ def quota_split(df: DataFrame, parts: dict[str, float], keys: Sequence[str] = ("
         cases.append((upto, name))
     for bound, name in reversed(cases):
         out = F.when(F.col("__r") <= bound, name).otherwise(out)
-    return ranked.withColumn("split", out).drop("__r", "__n")
+    return numbered.withColumn("split", out).drop("__r", "__n")
 
 
 def stratified_split(df: DataFrame, keys: Sequence[str] = ("graph_id",), label: str = "label", id_col: str = "id", seed: int = 0, least: int = 3) -> DataFrame:
     """60/20/20 within classes; classes of fewer than ``least`` rows are pooled into one stratum."""
-    n = F.count("*").over(Window.partitionBy(*keys, label))
-    pooled = df.withColumn("__n", n).withColumn("__label", F.when(F.col("__n") >= least, F.col(label).cast("string")).otherwise("rare")).drop("__n")
+    pooled = with_count(df, [*keys, label], "__n").withColumn("__label", F.when(F.col("__n") >= least, F.col(label).cast("string")).otherwise("rare")).drop("__n")
     return quota_split(pooled, {"train": 0.6, "val": 0.2, "test": 0.2}, keys, "__label", id_col, seed).drop("__label")
 
 

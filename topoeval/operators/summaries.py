@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topoeval.functions.ranges import running_sum
 from topoeval.functions.scalars import fixed_bin, quantile_bin
 
 
@@ -261,10 +262,10 @@ def best_per_key(df: DataFrame, keys: Sequence[str], *order: Column | str) -> Da
 
 
 def avg_rank(df: DataFrame, x: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Average ranks: values are counted first, and only distinct values are ordered within a key."""
+    """Average ranks: values are counted first, and only distinct values are ordered, by ranges within a key."""
     counts = df.groupBy(*keys, x).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
+    upto = running_sum(counts, keys, [x], __c="__n")
+    ranks = upto.withColumn(name, F.col("__c") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__n", "__c")
     return df.join(ranks, [*keys, x])
 
 
@@ -285,16 +286,9 @@ def ratio_bin(df: DataFrame, x: str, edges: Sequence[float], name: str = "bin")
     return df.withColumn(name, fixed_bin(x, edges))
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, name: str = "prefix") -> DataFrame:
-    """Global running sum in the order of a column: partitions are ranges of it, and only their totals meet in one place."""
-    from topoeval.functions.lineage import cut
-
-    dealt = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
-    totals = dealt.groupBy("__part").agg(F.sum(value).alias("__t"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__part", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__o") + F.sum(value).over(inside)).drop("__part", "__o")
+def prefix_sum(df: DataFrame, order: str, value: str, name: str = "prefix", keys: Sequence[str] = ()) -> DataFrame:
+    """Running sum of value in the order of a column, within the keys: partitions are ranges, and only their totals meet."""
+    return running_sum(df, keys, [order], **{name: value})
 
 
 # --- sets ---------------------------------------------------------------------------------

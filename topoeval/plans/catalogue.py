@@ -15,7 +15,7 @@ from topoeval.functions import scalars as X
 from topoeval.operators import checks, components, evaluate, graph, linalg, models, motifs, perturb, proximity, resample, rewire, select, similarity, splits, stats
 from topoeval.operators import summaries as S
 from topoeval.plans import fixtures as V
-from topoeval.plans.fixtures import SQL_EDGES, SQL_PLANE, SQL_RING, SQL_RUNS, SQL_SCORES, SQL_SIMS, sql_seed, sql_uniform
+from topoeval.plans.fixtures import SQL_EDGES, SQL_PLANE, SQL_RING, SQL_RUNS, SQL_SCORES, SQL_SIMS, sql_mixed, sql_seed, sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ["dataset", "backbone", "seed"]
@@ -604,12 +604,20 @@ def _(s, d):
 
 # --- resampling ---------------------------------------------------------------------------
 
-B = 100
+B = resample.REPLICATES
+_REPS = f"(SELECT unnest(range(1, {B + 1})) AS rep)"
+_CI = "round(avg(m), 6) AS boot_mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS replicates"
 
 
-@query("bootstrap_mean", f"""WITH {SQL_SEL}, z AS (SELECT backbone, dataset || seed AS k, gain AS v, row_number() OVER (PARTITION BY backbone ORDER BY dataset || seed) - 1 AS i, count(*) OVER (PARTITION BY backbone) AS n FROM sel),
-dr AS (SELECT backbone, rep, {sql_seed('11', 'backbone', 'rep', 'j')} % n AS i FROM (SELECT DISTINCT backbone, n FROM z), (SELECT unnest(range(1, {B + 1})) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),
-m AS (SELECT backbone, rep, avg(v) AS m FROM dr JOIN z USING (backbone, i) GROUP BY 1, 2) SELECT backbone, round(avg(m), 6) AS boot_mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS replicates FROM m GROUP BY 1""")
+def _inner(seed: int, keys: str, rows: str, reps: str = _REPS) -> str:
+    """dr: draws of row numbers i (from 0) of tables with n rows a key, of one chunk each."""
+    rep = "rep" if reps == _REPS else "slot"
+    return f"""dr AS (SELECT {keys}{rep}, {sql_mixed(str(seed + 1), rep, "0", "j")} % n AS i FROM (SELECT DISTINCT {keys}n FROM {rows}), {reps}, LATERAL (SELECT unnest(range(0, n)) AS j))"""
+
+
+@query("bootstrap_mean", f"""WITH {SQL_SEL}, z AS (SELECT backbone, gain AS v, row_number() OVER (PARTITION BY backbone ORDER BY dataset || seed) - 1 AS i, count(*) OVER (PARTITION BY backbone) AS n FROM sel),
+{_inner(11, "backbone, ", "z")},
+m AS (SELECT backbone, rep, avg(v) AS m FROM dr JOIN z USING (backbone, i) GROUP BY 1, 2) SELECT backbone, {_CI} FROM m GROUP BY 1""")
 def _(s, d):
     x = _selected(s, d).withColumn("k", F.concat("dataset", F.col("seed").cast("string")))
     return r6(resample.bootstrap_mean(x, ["backbone"], "k", "gain", B, 11), "boot_mean", "ci_low", "ci_high")
@@ -617,30 +625,51 @@ def _(s, d):
 
 @query("hierarchical_bootstrap", f"""WITH {SQL_SEL}, z AS (SELECT dataset, gain AS v, row_number() OVER (PARTITION BY dataset ORDER BY backbone || seed) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM sel),
 g AS (SELECT dataset, n, row_number() OVER (ORDER BY dataset) - 1 AS gi, count(*) OVER () AS gn FROM (SELECT DISTINCT dataset, n FROM z)),
-f AS (SELECT rep, slot, {sql_seed('11', 'rep', 'slot')} % gn AS gi FROM (SELECT DISTINCT gn FROM g), (SELECT unnest(range(1, {B + 1})) AS rep), LATERAL (SELECT unnest(range(1, gn + 1)) AS slot)),
-h AS (SELECT rep, slot, dataset, {sql_seed('12', 'rep', 'slot', 'j')} % n AS i FROM f JOIN g USING (gi), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),
-m AS (SELECT rep, avg(m) AS m FROM (SELECT rep, slot, avg(v) AS m FROM h JOIN z USING (dataset, i) GROUP BY 1, 2) GROUP BY 1)
-SELECT round(avg(m), 6) AS boot_mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS replicates FROM m""")
+o AS (SELECT gn, unnest(range(1, gn * {B} + 1)) AS slot FROM (SELECT DISTINCT gn FROM g)),
+f AS (SELECT slot, (slot - 1) // gn + 1 AS rep, {sql_mixed("11", "(slot - 1) // gn + 1", "slot % gn")} % gn AS gi FROM o),
+h AS (SELECT slot, rep, dataset, {sql_mixed("13", "slot", "0", "j")} % n AS i FROM f JOIN g USING (gi), LATERAL (SELECT unnest(range(0, n)) AS j)),
+m AS (SELECT rep, avg(m) AS m FROM (SELECT rep, slot, avg(v) AS m FROM h JOIN z USING (dataset, i) GROUP BY 1, 2) GROUP BY 1) SELECT {_CI} FROM m""")
 def _(s, d):
     x = _selected(s, d).withColumn("k", F.concat("backbone", F.col("seed").cast("string")))
     return r6(resample.hierarchical_bootstrap(x, "dataset", "k", "gain", B, 11), "boot_mean", "ci_low", "ci_high")
 
 
 @query("cluster_bootstrap", f"""WITH {SQL_SEL}, z AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS n FROM (SELECT dataset || backbone AS c, sum(gain) AS s, count(*) AS k FROM sel GROUP BY 1)),
-dr AS (SELECT rep, {sql_seed('5', 'rep', 'j')} % n AS i FROM (SELECT DISTINCT n FROM z), (SELECT unnest(range(1, {B + 1})) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),
-m AS (SELECT rep, sum(s) / sum(k) AS m FROM dr JOIN z USING (i) GROUP BY 1) SELECT round(avg(m), 6) AS boot_mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS replicates FROM m""")
+{_inner(5, "", "z")},
+m AS (SELECT rep, sum(s) / sum(k) AS m FROM dr JOIN z USING (i) GROUP BY 1) SELECT {_CI} FROM m""")
 def _(s, d):
     x = _selected(s, d).withColumn("c", F.concat("dataset", "backbone"))
     return r6(resample.cluster_bootstrap(x, "c", "gain", B, 5), "boot_mean", "ci_low", "ci_high")
 
 
 @query("bootstrap_auc", f"""WITH {SQL_SCORES}, z AS (SELECT y, p, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM sc),
-dr AS (SELECT y, rep, {sql_seed('2', 'y', 'rep', 'j')} % n AS i FROM (SELECT DISTINCT y, n FROM z), (SELECT unnest(range(1, 31)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS j)),
-r AS (SELECT rep, y, rank() OVER (PARTITION BY rep ORDER BY p) + (count(*) OVER (PARTITION BY rep, p) - 1) / 2.0 AS rk FROM dr JOIN z USING (y, i)),
-m AS (SELECT rep, (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS m FROM r GROUP BY 1)
-SELECT round(avg(m), 6) AS boot_mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, count(*) AS replicates FROM m""")
+dr AS (SELECT y, rep, {sql_mixed("2 + y", "rep", "j")} % n AS i FROM (SELECT DISTINCT y, n FROM z), {_REPS}, LATERAL (SELECT unnest(range(0, n)) AS j)),
+ct AS (SELECT rep, p, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS b FROM dr JOIN z USING (y, i) GROUP BY 1, 2),
+u AS (SELECT rep, a, b, sum(b) OVER (PARTITION BY rep ORDER BY p) - b / 2.0 AS below FROM ct),
+m AS (SELECT rep, sum(a * below) / (sum(a) * sum(b)) AS m FROM u GROUP BY 1) SELECT {_CI} FROM m""")
+def _(s, d):
+    return r6(resample.bootstrap_auc(V.scores(s, d), "y", "p", "id", B, 2), "boot_mean", "ci_low", "ci_high")
+
+
+@query("binned_bootstrap", f"""WITH {SQL_SCORES}, {_bins(4)}, z AS (SELECT bin, toxic AS v, row_number() OVER (PARTITION BY bin ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY bin) AS n FROM bn),
+{_inner(3, "bin, ", "z")},
+m AS (SELECT bin, rep, avg(v) AS m FROM dr JOIN z USING (bin, i) GROUP BY 1, 2) SELECT bin, {_CI} FROM m GROUP BY 1""")
+def _(s, d):
+    return r6(resample.binned_bootstrap(V.scores(s, d), "p", "toxic", "id", 4, B, 3), "boot_mean", "ci_low", "ci_high")
+
+
+@query("direction_stability", f"""WITH {SQL_SCORES}, lg AS (SELECT metric, source AS c, CASE metric WHEN 'p' THEN p ELSE n_chars::DOUBLE END AS x, toxic::DOUBLE AS y FROM sc, (VALUES ('p'), ('n_chars')) t(metric)),
+z AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT c FROM lg)),
+dr AS (SELECT rep, {sql_mixed("4", "rep", "j")} % n AS i FROM (SELECT DISTINCT n FROM z), (SELECT unnest(range(1, 201)) AS rep), LATERAL (SELECT unnest(range(0, n)) AS j)),
+al AS (SELECT metric, rep, x, y FROM dr JOIN z USING (i) JOIN lg USING (c) UNION ALL SELECT metric, 0, x, y FROM lg),
+rk AS (SELECT metric, rep, rank() OVER (PARTITION BY metric, rep ORDER BY x) + (count(*) OVER (PARTITION BY metric, rep, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY metric, rep ORDER BY y) + (count(*) OVER (PARTITION BY metric, rep, y) - 1) / 2.0 AS ry FROM al),
+rho AS (SELECT metric, rep, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2),
+f AS (SELECT metric, rho AS spearman FROM rho WHERE rep = 0)
+SELECT metric, round(spearman, 6) AS spearman, round(avg((sign(rho) = sign(spearman))::INT), 6) AS sign_stability, round(quantile_cont(rho, 0.025), 6) AS q025, round(quantile_cont(rho, 0.975), 6) AS q975
+FROM rho JOIN f USING (metric) WHERE rep > 0 GROUP BY 1, 2""")
 def _(s, d):
-    return r6(resample.bootstrap_auc(V.scores(s, d), "y", "p", "id", 30, 2), "boot_mean", "ci_low", "ci_high")
+    x = V.scores(s, d).withColumn("target", F.col("toxic").cast("double"))
+    return r6(resample.direction_stability(x, "source", ["p", "n_chars"], "target", 200, 4), "spearman", "sign_stability", "q025", "q975")
 
 
 # --- models, blind evaluation, streaming --------------------------------------------------

@@ -97,3 +97,15 @@ def sql_seed(*parts: str) -> str:
 
 def sql_uniform(*parts: str) -> str:
     return f"({sql_seed(*parts)} / 2147483647.0::DOUBLE)"
+
+
+def sql_mixed(*parts: str) -> str:
+    """resample.mixed in SQL."""
+    from topoeval.operators.resample import STEPS
+
+    h = "7::BIGINT"
+    for p in parts:
+        h = f"xor({h}, ({p})::BIGINT)"
+        for bits, factor, modulus in STEPS:
+            h = f"(xor({h}, {bits}::BIGINT) * {factor} % {modulus})"
+    return h

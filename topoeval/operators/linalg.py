@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,8 @@ from topoeval.operators.graph import both_ways, degrees, normalized_edges
 
 #: Lanczos steps between looks at convergence; what is left of a squared vector below this share of it is rounding.
 CHECK, ROUNDING = 8, 1e-20
+#: Nodes and directed edges of a graph that one task solves, and numbers that its vectors take at most.
+SMALL, BASIS = 1 << 20, 1 << 25
 
 
 def spmv(weighted: DataFrame, x: DataFrame) -> DataFrame:
@@ -82,13 +86,66 @@ def _lanczos_steps(w: DataFrame, base: DataFrame, seed: int) -> Iterator[tuple[D
         )
 
 
+def _alone(tol: float, max_rounds: int, vector: bool):
+    """A group function: Lanczos steps for one graph of bounded size, each new vector made orthogonal to all before it. Rows
+    with ``other`` are directed edges, the rest nodes. When the vectors would take more than BASIS numbers, it starts again
+    from the best vector so far.
+    """
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        other = table.column("other")
+        node = pc.is_null(other).to_numpy()
+        ids, value, q0, x = (table.column(c).to_numpy() for c in ("id", "value", "q0", "x"))
+        order = np.argsort(ids[node], kind="stable")
+        names, diag, q0, x = (c[node][order] for c in (ids, value, q0, x))
+        n, ends = len(names), (ids[~node], other.filter(pc.is_valid(other)).to_numpy())
+        src, dst = (np.minimum(np.searchsorted(names, e), n - 1) for e in ends)
+        there = (names[src] == ends[0]) & (names[dst] == ends[1])
+        src, dst, weight = src[there], dst[there], value[~node][there]
+        times = lambda q: diag * q + np.bincount(src, weight * q[dst], n)
+        most, done, best, residual = max(2, min(max_rounds, n, BASIS // n)), 0, None, np.inf
+        while done < max_rounds and residual > tol:
+            basis, a, b = [], [], []
+            q = x - q0 * (q0 @ x)
+            q /= max(float(np.linalg.norm(q)), 1e-150)
+            while len(basis) < most and done < max_rounds:
+                basis.append(q)
+                v = times(q)
+                size = float(np.linalg.norm(v))
+                a.append(float(q @ v))
+                held = np.array([q0, *basis])
+                for _ in range(2):
+                    v = v - held.T @ (held @ v)
+                b.append(float(np.linalg.norm(v)))
+                done += 1
+                if b[-1] <= 1e-12 * max(size, 1e-300):
+                    b[-1] = 0.0
+                if b[-1] == 0 or len(basis) % CHECK == 0 or len(basis) == most or done == max_rounds:
+                    values, vectors = np.linalg.eigh(np.diag(a) + np.diag(b[:-1], 1) + np.diag(b[:-1], -1))
+                    best, residual = float(values[-1]), float(abs(b[-1] * vectors[-1, -1]))
+                    x = vectors[:, -1] @ np.array(basis)
+                    if residual <= tol:
+                        break
+                q = v / b[-1] if b[-1] else v
+            if b[-1] == 0:
+                break
+        field = table.schema.field
+        rows = n if vector else 1
+        return pa.table(
+            [pa.array([key[0].as_py()] * rows, field("graph_id").type), pa.array(names if vector else [None], field("id").type), pa.array(x if vector else [None], pa.float64()),
+             pa.array([best] * rows, pa.float64()), pa.array([residual] * rows, pa.float64())],
+            names=["graph_id", "id", "x", "value", "residual"],
+        )
+
+    return solve
+
+
 def _fiedler(canonical: DataFrame, nodes: DataFrame, normalized: bool, tol: float, max_rounds: int, seed: int, vector: bool = False) -> DataFrame:
     """Second eigenpair by Lanczos steps on N = D^-1/2 A D^-1/2 (or A - D), whose top eigenvector is known and projected out.
 
-    A step is one product, and the state three numbers for each node; convergence is looked at every CHECK steps, from the
-    coefficients, by the residual bound. (graph_id, value), value NULL for graphs that have not come to ``tol``
-    within ``max_rounds`` steps; with ``vector`` (graph_id, id, x), the weighted sum of the steps' vectors, which
-    their checkpoints hold.
+    Graphs of at most SMALL nodes and edges are solved in one task each, many at a time; larger ones by steps that are jobs over
+    all of them. (graph_id, value), value NULL for graphs that have not come to a residual of ``tol`` within ``max_rounds``
+    steps; with ``vector`` (graph_id, id, x) of those that have.
     """
     d = cut(degrees(canonical, nodes))
     q0 = F.sqrt("degree") if normalized else F.lit(1.0)
@@ -102,6 +159,32 @@ def _fiedler(canonical: DataFrame, nodes: DataFrame, normalized: bool, tol: floa
     else:
         w = w.withColumn("weight", F.lit(1.0))
     w = cut(w)
+    sizes = d.groupBy("graph_id").agg((F.count("*") + F.sum("degree")).alias("size"))
+    sizes = cut(sizes.select("graph_id", (F.col("size") <= SMALL).alias("small")))
+    mine = lambda df, small: df.join(sizes.filter(F.col("small") == small).select("graph_id"), "graph_id")
+    start = stable_uniform(F.lit(seed), "graph_id", "id") - 0.5
+    rows = mine(base, True).select("graph_id", "id", F.lit(None).cast(base.schema["id"].dataType).alias("other"), F.col("diag").alias("value"), "q0", start.alias("x"))
+    rows = rows.union(mine(w, True).select("graph_id", F.col("src"), "dst", "weight", F.lit(0.0), F.lit(0.0)))
+    schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in ("graph_id", "id")) + ", x double, value double, residual double"
+    solved = rows.groupBy("graph_id").applyInArrow(_alone(tol, max_rounds, vector), schema)
+    many = not sizes.filter(~F.col("small")).isEmpty()
+    large = _stepwise(mine(base, False), mine(w, False), tol, max_rounds, seed, vector) if many else None
+    if vector:
+        out = solved.filter(F.col("residual") <= tol).select("graph_id", "id", "x")
+        return out if large is None else out.unionByName(large)
+    found = solved.select("graph_id", "value", "residual")
+    found = found if large is None else found.unionByName(large)
+    return found.select("graph_id", F.when(F.col("residual") <= tol, (1.0 if normalized else 0.0) - F.col("value")).alias("value"))
+
+
+def _stepwise(base: DataFrame, w: DataFrame, tol: float, max_rounds: int, seed: int, vector: bool) -> DataFrame:
+    """(graph_id, value, residual), or with ``vector`` (graph_id, id, x) of the graphs that have converged.
+
+    A step is one product over all graphs, and the state three numbers for each node; convergence is looked at every CHECK
+    steps, from the coefficients, by the residual bound. A vector is the weighted sum of the steps' vectors, which
+    their tables hold.
+    """
+    base, w = cut(base), cut(w)
     seen: DataFrame | None = None
     fresh: list[DataFrame] = []
     steps: list[DataFrame] = []
@@ -117,9 +200,8 @@ def _fiedler(canonical: DataFrame, nodes: DataFrame, normalized: bool, tol: floa
         found = cut(series.select("graph_id", _ritz("s.a", "s.b").alias("r")).select("graph_id", "r.*"))
         if k + 1 >= max_rounds or found.filter(F.col("residual") > tol).isEmpty():
             break
-    done = F.when(F.col("residual") <= tol, (1.0 if normalized else 0.0) - F.col("value"))
     if not vector:
-        return found.select("graph_id", done.alias("value"))
+        return found.select("graph_id", "value", "residual")
     share = found.filter(F.col("residual") <= tol).select("graph_id", F.posexplode("weights").alias("k", "f"))
     parts = [step.select("graph_id", "id", F.lit(j).alias("k"), "q") for j, step in enumerate(steps)]
     return functools.reduce(DataFrame.union, parts).join(share, ["graph_id", "k"]).groupBy("graph_id", "id").agg(F.sum(F.col("f") * F.col("q")).alias("x"))

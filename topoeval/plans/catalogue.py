@@ -820,7 +820,7 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from topoeval.plans import more  # noqa: F401  (registers its own)
+    from topoeval.plans import more, rings  # noqa: F401  (register their own)
 
     return dict(_QUERIES)
 

@@ -193,37 +193,46 @@ def _fragments(key: pa.RecordBatch, codes: np.ndarray, sizes: np.ndarray, offset
 
 
 def fragments(base: DataFrame, tile: int) -> DataFrame:
-    """doc_id, digest, period, a, e: what the tiles of all documents (doc_id, digest, text) see."""
+    """doc_id, digest, period, a, e: what the tiles of all documents (doc_id, digest, text) see.
+
+    One pass over the texts: documents of one tile are solved, longer ones give tiles, and both kinds of rows go on.
+    """
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, digest string, period long, a long, e long"
+    nothing = {"at": pa.int64(), "first": pa.int32(), "last": pa.int32(), "codes": pa.binary()}
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2):
-            codes, sizes, _ = coded(b.column(2))
-            yield _fragments(b, codes, sizes, np.zeros(len(sizes), np.int64), FIRST, largest_scale(int(sizes.max())))
+    def tiles(key: pa.RecordBatch, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first, last, width, before, behind in bands(len(codes), tile):
+            for core in range(0, max(1, len(codes)), width):
+                at = max(0, core - before)
+                values = (at, first, last, codes[at : core + width + behind].tobytes())
+                columns = [pa.array([v], t) for v, t in zip(values, nothing.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), *[pa.nulls(1, pa.int64())] * 3, *columns], [*_KEY, *_FRAGMENT, *nothing])
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*_KEY, "at", "first", "last", "codes"]
-        for b in slices(batches, 2, 1):  # a document at a time
-            codes, (n, *_), _ = coded(b.column(2))
-            for first, last, width, before, behind in bands(int(n), tile):
-                for core in range(0, max(1, int(n)), width):
-                    at = max(0, core - before)
-                    piece = codes[at : core + width + behind]
-                    numbers = [pa.array([at], pa.int64()), pa.array([first], pa.int32()), pa.array([last], pa.int32())]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array([piece.tobytes()], pa.binary())], names)
+        for b in slices(batches, 2):
+            short = pc.less_equal(pc.binary_length(b.column(2)), WORD_BYTES * tile)
+            own = b.filter(short)
+            if own.num_rows:
+                codes, sizes, _ = coded(own.column(2))
+                found = _fragments(own, codes, sizes, np.zeros(len(sizes), np.int64), FIRST, largest_scale(int(sizes.max())))
+                yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, t) for t in nothing.values())], [*_KEY, *_FRAGMENT, *nothing])
+            for k in np.flatnonzero(~short.to_numpy(zero_copy_only=False)).tolist():
+                one = b.slice(k, 1)
+                yield from tiles(one, coded(one.column(2))[0])
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 5, 1):
-            codes = np.frombuffer(b.column(5)[0].as_py(), np.int32)
-            first, last = b.column(3)[0].as_py(), b.column(4)[0].as_py()
-            yield _fragments(b, codes, np.array([len(codes)]), b.column(2).to_numpy(), first, last)
-
-    size, one = F.octet_length("text"), WORD_BYTES * tile
-    short = base.where(size <= one).mapInArrow(whole, schema)
-    tiles = base.where(size > one).mapInArrow(exploded, f"doc_id {kind}, digest string, at long, first int, last int, codes binary")
-    dealt = tiles.repartition("doc_id", "digest", "first", "at")
-    return short.unionByName(dealt.mapInArrow(solved, schema))
+        for b in batches:
+            there = pc.is_valid(b.column(8))
+            yield b.filter(pc.invert(there)).select([*_KEY, *_FRAGMENT])
+            for k in np.flatnonzero(there.to_numpy(zero_copy_only=False)).tolist():
+                one = b.slice(k, 1)
+                at, first, last, packed = (one.column(c)[0].as_py() for c in range(5, 9))
+                codes = np.frombuffer(packed, np.int32)
+                yield _fragments(one, codes, np.array([len(codes)]), np.array([at]), first, last)
+
+    dealt = base.mapInArrow(exploded, f"{schema}, at long, first int, last int, codes binary").repartition("doc_id", "digest", "first", "at")
+    return dealt.mapInArrow(solved, schema)
 
 
 def runs(base: DataFrame, tile: int = TILE) -> DataFrame:

@@ -76,13 +76,21 @@ def dense(edges, n, normalized):
     return values[1], vectors[:, 1]
 
 
-@pytest.mark.parametrize("by", ["graph", "graph, few vectors", "steps"])
-def test_spectra(spark, three, by, monkeypatch):
-    if by != "graph":
-        monkeypatch.setattr(linalg, "BASIS" if "few" in by else "SMALL", 30 * 12 if "few" in by else 0)
+def test_spectra_by_steps(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "SMALL", 0)
+    path = [(k, k + 1) for k in range(7)]
+    e, n = edges_of(spark, path=path, cycle=CYCLE), nodes_of(spark, path=8, cycle=8)
+    assert as_dict(linalg.lambda2(e, n), "lambda2")["cycle"] == pytest.approx(1 - math.cos(2 * math.pi / 8), abs=1e-6)
+    found = {(r.graph_id, r.id): r.x for r in linalg.fiedler_vector(e, n).collect()}
+    assert abs(np.array([found["path", k] for k in range(8)]) @ dense(path, 8, True)[1]) == pytest.approx(1.0, abs=1e-6)
+
+
+@pytest.mark.parametrize("basis", [1 << 25, 30 * 12])
+def test_spectra(spark, three, basis, monkeypatch):
+    monkeypatch.setattr(linalg, "BASIS", basis)
     e, n = three
     # a path, two cliques joined by one edge (a small gap), and two pieces
-    length = 30 if by == "graph" else 12
+    length = 30
     path = [(k, k + 1) for k in range(length - 1)]
     barbell = [(a, b) for a in range(8) for b in range(a)] + [(a + 8, b + 8) for a in range(8) for b in range(a)] + [(0, 8)]
     pieces = [(0, 1), (1, 2), (3, 4), (4, 5)]

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topoeval.functions.lineage import cut
+from topoeval.functions.ranges import ranked
+from topoeval.functions.scalars import stable_uniform
 from topoeval.operators.evaluate import avoid_threshold, binary_metrics, cost_threshold, rank_auc, regression_metrics, youden_threshold
 from topoeval.operators.splits import group_folds, logo_folds
 from topoeval.operators.summaries import assert_no_leakage, usable_features
@@ -129,20 +131,16 @@ def permutation_importance(df: DataFrame, features: Sequence[str], target: str,
     """feature, drop (mean) and its deviation in balanced accuracy of a forest when the feature is shuffled among rows: the
     value of the row whose number is drawn by hash comes in. All repeats are scored as one table.
     """
-    from pyspark.sql import Window
-
-    from topoeval.functions.scalars import stable_uniform
-
     data = _weighted(df, target, 1.0)
     model = metric_pipeline(features, RandomForestClassifier(labelCol=target, numTrees=20, maxDepth=4, seed=seed), False).fit(data)
     rows = cut(data.select(order, target, *features))
     base = binary_metrics(model.transform(rows).select(F.col(target).alias("y"), vector_to_array("probability")[1].alias("p"))).select("balanced_accuracy").first()[0]
-    cases = None
+    numbered, cases = ranked(rows.select(order), [], [order], "__k"), None
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     for f in features:
-        reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-        w = Window.partitionBy("rep")
-        a = reps.withColumn("__k", F.row_number().over(w.orderBy(order)))
-        b = reps.withColumn("__k", F.row_number().over(w.orderBy(stable_uniform(F.lit(seed), F.lit(f), "rep", order), order))).select("rep", "__k", F.col(f).alias("__v"))
+        a = numbered.join(reps, order)
+        drawn = ranked(reps.select("rep", order, F.col(f).alias("__v")), ["rep"], [stable_uniform(F.lit(seed), F.lit(f), "rep", order), F.col(order)], "__k")
+        b = drawn.select("rep", "__k", "__v")
         one = a.join(b, ["rep", "__k"]).withColumn(f, F.col("__v")).select(F.lit(f).alias("feature"), "rep", target, *features)
         cases = one if cases is None else cases.unionByName(one)
     scored = model.transform(cases).select("feature", "rep", F.col(target).alias("y"), vector_to_array("probability")[1].alias("p"))

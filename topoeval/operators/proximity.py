@@ -65,29 +65,29 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select("graph_id", F.col("u").alias("src"), F.col("v").alias("dst"), F.col("d").alias("weight"))
 
 
-def gabriel_graph(points: DataFrame, max_radius: float | None = None) -> DataFrame:
+def gabriel_graph(points: DataFrame, max_radius: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Edges whose diametral disk holds no other point (strictly, beyond the tolerance)."""
-    pairs = near_pairs(points, max_radius)
+    pairs = near_pairs(points, max_radius) if pairs is None else pairs
     mx, my = (F.col("ux") + F.col("vx")) / 2, (F.col("uy") + F.col("vy")) / 2
     away = F.sqrt(F.pow(F.col("wx") - mx, 2) + F.pow(F.col("wy") - my, 2))
     return _edges(_without_point(pairs, points, mx, my, F.col("d") / 2, away < F.col("d") / 2 - F.col("tol")))
 
 
-def rng_graph(points: DataFrame, max_radius: float | None = None) -> DataFrame:
+def rng_graph(points: DataFrame, max_radius: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Edges for which no other point is nearer to both ends than they are to each other."""
-    pairs = near_pairs(points, max_radius)
+    pairs = near_pairs(points, max_radius) if pairs is None else pairs
     mx, my = (F.col("ux") + F.col("vx")) / 2, (F.col("uy") + F.col("vy")) / 2
     du = F.sqrt(F.pow(F.col("wx") - F.col("ux"), 2) + F.pow(F.col("wy") - F.col("uy"), 2))
     dv = F.sqrt(F.pow(F.col("wx") - F.col("vx"), 2) + F.pow(F.col("wy") - F.col("vy"), 2))
     return _edges(_without_point(pairs, points, mx, my, F.col("d") * 0.87, F.greatest(du, dv) < F.col("d") - F.col("tol")))
 
 
-def delaunay_edges(points: DataFrame, max_radius: float | None = None) -> DataFrame:
+def delaunay_edges(points: DataFrame, max_radius: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Edges with an empty circle through both ends. Every third point bounds the circle's centre on the bisector from one
     side; the edge is Delaunay if the bounds leave room, and the ends' own partners are all the points that can bound it.
     Cocircular points keep all their edges (a triangulation would pick some).
     """
-    every = near_pairs(points)
+    every = near_pairs(points) if pairs is None else pairs
     pairs = every if max_radius is None else every.filter(F.col("d") <= max_radius)
     partner = every.select("graph_id", "u", F.col("v").alias("w"), F.col("vx").alias("wx"), F.col("vy").alias("wy"))
     partner = partner.union(every.select("graph_id", "v", "u", "ux", "uy"))
@@ -140,9 +140,9 @@ def minimum_spanning_forest(weighted: DataFrame, nodes: DataFrame) -> DataFrame:
     return weighted.select("graph_id", "src", "dst", "weight").limit(0) if taken is None else taken
 
 
-def euclidean_mst(points: DataFrame, max_radius: float | None = None) -> DataFrame:
+def euclidean_mst(points: DataFrame, max_radius: float | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Minimum spanning tree: a subgraph of the relative-neighbourhood graph, whose edges are its candidates."""
-    return minimum_spanning_forest(rng_graph(points, max_radius), points)
+    return minimum_spanning_forest(rng_graph(points, max_radius, pairs), points)
 
 
 def mst_knn(points: DataFrame, budget: int, neighbors: DataFrame) -> DataFrame:
@@ -159,12 +159,12 @@ CONSTRUCTORS = {"mst": euclidean_mst, "rng": rng_graph, "gabriel": gabriel_graph
 
 
 def proximity_graphs(points: DataFrame, constructors: tuple[str, ...] = tuple(CONSTRUCTORS)) -> DataFrame:
-    """graph_id, constructor, src, dst, weight of each named constructor."""
+    """graph_id, constructor, src, dst, weight of each named constructor, all from one table of candidate pairs."""
     if unknown := set(constructors) - CONSTRUCTORS.keys():
         raise ValueError(f"unknown constructors: {sorted(unknown)}")
-    out = None
+    out, pairs = None, near_pairs(points)
     for name in constructors:
-        one = CONSTRUCTORS[name](points).select("graph_id", F.lit(name).alias("constructor"), "src", "dst", "weight")
+        one = CONSTRUCTORS[name](points, pairs=pairs).select("graph_id", F.lit(name).alias("constructor"), "src", "dst", "weight")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -245,17 +245,6 @@ def _(s, d):
     return r6(proximity.delaunay_edges(V.plane(s, d)), "weight")
 
 
-@query("proximity_chain")
-def _(s, d):
-    p = V.plane(s, d)
-    return proximity.proximity_summary(proximity.proximity_graphs(p, ("rng", "gabriel", "delaunay")), p)
-
-
-@query("mst_weight")
-def _(s, d):
-    return proximity.euclidean_mst(V.plane(s, d)).groupBy("graph_id").agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 6).alias("weight"))
-
-
 SQL_REWIRE = f"""{SQL_SIMS}, {SQL_RING}, sz AS (SELECT (SELECT count(*) FROM v) AS nn, (SELECT count(*) FROM ring) AS m),
 rt AS (SELECT ratio, nn, m, floor(m * ratio)::BIGINT AS k FROM sz, (VALUES (0.1::DOUBLE), (0.25), (0.4), (0.55)) t(ratio)),
 c AS (SELECT *, floor(least(nn * nn, greatest(10 * k, 3 * m)) / 2) AS pool FROM rt),
@@ -599,7 +588,7 @@ def _(s, d):
 
 @query("recovery_comparisons")
 def _(s, d):
-    return r6(stats.recovery_comparisons(_selected(s, d), ["backbone"], "dataset", "gain", 100), "mean", "median", "ci_low", "ci_high", "p", "p_holm", "positive")
+    return r6(stats.recovery_comparisons(_selected(s, d), ["backbone"], "dataset", "gain", B), "mean", "median", "ci_low", "ci_high", "p", "p_holm", "positive")
 
 
 # --- resampling ---------------------------------------------------------------------------
@@ -701,7 +690,7 @@ def _(s, d):
 
 @query("permutation_importance")
 def _(s, d):
-    return models.permutation_importance(_descriptors(s, d), ["log_chars", "root"], "y", "id", 2)
+    return models.permutation_importance(_descriptors(s, d), ["log_chars", "root"], "y", "id", 20)
 
 
 @query("blind_waves")

@@ -16,6 +16,7 @@ from topoeval.functions.lineage import cut
 from topoeval.operators import bundles, checks, components, evaluate, graph, linalg, models, perturb, proximity, rewire, select, similarity, splits, stats
 from topoeval.operators import summaries as S
 from topoeval.plans import fixtures as V
+from topoeval.plans.catalogue import _SQL as SQL_OF
 from topoeval.plans.catalogue import KEYS, SQL_KNN, SQL_PAIRS, SQL_SEL, _en, _selected, query, r6
 from topoeval.plans.fixtures import SQL_EDGES, SQL_PLANE, SQL_RING, SQL_RUNS, SQL_SCORES, SQL_SIMS, sql_uniform
 from topoeval.sources import tables
@@ -497,15 +498,33 @@ def _(s, d):
     return r6(similarity.anchor_propagate(cut(similarity.anchor_similarity(v, 16, 4, seed=3)), values), "value")
 
 
-@query("mst_edges", f"""WITH RECURSIVE {SQL_PLANE}, {SQL_PAIRS}, g AS (SELECT graph_id, src, dst, round(w, 12) AS w FROM pr WHERE NOT EXISTS (SELECT 1 FROM p t WHERE t.graph_id = pr.graph_id AND t.id NOT IN (src, dst)
+SQL_MST = f"""WITH RECURSIVE {SQL_PLANE}, {SQL_PAIRS}, g AS (SELECT graph_id, src, dst, round(w, 12) AS w FROM pr WHERE NOT EXISTS (SELECT 1 FROM p t WHERE t.graph_id = pr.graph_id AND t.id NOT IN (src, dst)
 AND greatest(sqrt((t.x - ax) ^ 2 + (t.y - ay) ^ 2), sqrt((t.x - bx) ^ 2 + (t.y - b_y) ^ 2)) < w - 1e-13)),
 h AS (SELECT graph_id, src AS a, dst AS z, w, src, dst FROM g UNION ALL SELECT graph_id, dst, src, w, src, dst FROM g),
 r AS (SELECT graph_id, src, dst, w, src AS at FROM g UNION SELECT r.graph_id, r.src, r.dst, r.w, h.z FROM r JOIN h ON h.graph_id = r.graph_id AND h.a = r.at AND (h.w, h.src, h.dst) < (r.w, r.src, r.dst))
-SELECT graph_id, src, dst, round(w, 6) AS weight FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.graph_id = g.graph_id AND r.src = g.src AND r.dst = g.dst AND r.at = g.dst)""")
+SELECT graph_id, src, dst, round(w, 6) AS weight FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.graph_id = g.graph_id AND r.src = g.src AND r.dst = g.dst AND r.at = g.dst)"""
+
+
+@query("mst_edges", SQL_MST)
 def _(s, d):
     return r6(proximity.euclidean_mst(V.plane(s, d)), "weight")
 
 
+@query("mst_weight", f"SELECT graph_id, count(*) AS n_edges, round(sum(weight), 6) AS weight FROM ({SQL_MST.replace('round(w, 6)', 'w')}) GROUP BY 1")
+def _(s, d):
+    return proximity.euclidean_mst(V.plane(s, d)).groupBy("graph_id").agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+_CHAIN = " UNION ALL ".join(f"SELECT graph_id, '{name}' AS constructor, count(*) AS n_edges FROM ({sql}) GROUP BY 1" for name, sql in (("mst", SQL_MST), *((k, SQL_OF[k]) for k in ("rng", "gabriel", "delaunay"))))
+
+
+@query("proximity_chain", f"""WITH c AS ({_CHAIN}), n AS (SELECT label AS graph_id, count(*) AS n_nodes FROM embeddings GROUP BY 1)
+SELECT graph_id, constructor, n_edges, n_nodes, round(n_edges / greatest(n_nodes * (n_nodes - 1) / 2, 1), 6) AS density, constructor != 'delaunay' AS derived FROM c JOIN n USING (graph_id)""")
+def _(s, d):
+    p = V.plane(s, d)
+    return r6(proximity.proximity_summary(proximity.proximity_graphs(p), p), "density")
+
+
 SQL_HYBRID = f"""{SQL_SIMS}, {SQL_RING}, sz AS (SELECT floor(m * 0.25)::BIGINT AS k, floor(least(nn * nn, greatest(20 * floor(m * 0.25), 3 * m)) / 2) AS pool FROM (SELECT (SELECT count(*) FROM v) AS nn, (SELECT count(*) FROM ring) AS m)),
 rs AS (SELECT s.src, s.dst, s.sim, list_sum(list_transform(list_zip(x.a[1:3], y.a[1:3]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS res FROM s JOIN v x ON x.id = src JOIN v y ON y.id = dst),
 ed AS (SELECT src, dst, sim, res AS part FROM ring JOIN rs USING (src, dst)),

@@ -88,13 +88,14 @@ def test_bounds_hold_and_prune():
     tree = lexical.Tree([*range(3000)], np.concatenate([t for t, _ in rows]), np.concatenate([v for _, v in rows]), sizes, width)
     assert len(tree.begin) > 50
     query = np.zeros(width, np.int64)
-    query[[1, 5, 9]] = 1
+    its = np.array([1, 5, 9])
+    query[its] = 1
     scores = np.add.reduceat(tree.values * query[tree.terms], tree.starts[:-1])
-    bounds = tree.bounds(query, 3)
+    bounds = tree.bounds(query, its)
     for node, bound in enumerate(bounds):
         assert scores[tree.begin[node] : tree.end[node]].max() <= bound
     best = lexical.Best(10)
-    visited = tree.search(query, 3, best)
+    visited = tree.search(query, its, best)
     assert visited < len(bounds) / 2, (visited, len(bounds))
     want = sorted(((int(s), i) for s, i in zip(scores, tree.ids, strict=True) if s > 0), key=lambda r: (-r[0], r[1]))[:10]
     assert best.cut() == want

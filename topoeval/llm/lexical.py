@@ -4,7 +4,7 @@ A document's axis for a term holds what the term adds to the score of an item wi
 sum over the item's terms: the inner product of the vector with ones at those axes. Only terms of items are axes.
 Trees are built over some ten thousand documents each, where these lie. A ball has a centroid c and a
 radius r around it, so no document in it scores more than q.c + |q| r, in doubles rounded up by more than
-their error. Balls are visited best bound first; those whose bound is below the worst of the best documents so far are
+their error; with axes in groups, each with a radius of its own, the second term is a sum over the groups that q has axes in. Balls are visited best bound first; those whose bound is below the worst of the best documents so far are
 pruned with all that is in them. In leaves scores are exact sums of 64-bit integers.
 
 Items are the query set, broadcast in blocks of bounded size with the terms they hold. Numbers that need all documents
@@ -37,6 +37,8 @@ BLOCK_ITEMS, BLOCK_BYTES = 5_000, 8 << 20
 #: Documents and their terms in one tree, documents in a leaf.
 TREE_DOCS, TREE_TERMS, LEAF = 65_536, 8_000_000, 64
 SALTS = 32
+#: Groups of axes (a power of two).
+GROUPS = 64
 #: Doubles err by less than this part of what they are summed from.
 SLACK = 1e-9
 
@@ -122,56 +124,56 @@ def contributions(n: np.ndarray, terms: np.ndarray, tfs: np.ndarray, sizes: np.n
 
 
 class Tree:
-    """A ball tree over sparse rows of integers, none of them empty."""
+    """A ball tree over sparse rows of integers, none of them empty.
+
+    Axes are in GROUPS groups, by the part of the tree (of the first splits) where an axis weighs most; so terms that occur
+    together, as those of one language do, share a group. A ball has a radius for each group.
+    """
 
     def __init__(self, ids: list, terms: np.ndarray, values: np.ndarray, sizes: np.ndarray, width: int):
         self.width = width
         starts = np.cumsum(sizes) - sizes
-        norms = np.add.reduceat(values.astype(np.float64) ** 2, starts)
+        # the tree is split by direction (rows of length one), so that long and short documents of one kind stay together
+        units = values / np.repeat(np.sqrt(np.add.reduceat(values.astype(np.float64) ** 2, starts)), sizes)
         order = np.arange(len(sizes))
-        centroids: list[tuple[np.ndarray, np.ndarray]] = []
         self.begin, self.end, self.left = [], [], []
-        radius: list[float] = []
-        todo = [(0, len(sizes), -1)]
+        parts: list[int] = []
+        todo = [(0, len(sizes), -1, 1)]
         while todo:
-            a, b, parent = todo.pop()
+            a, b, parent, level = todo.pop()
             node = len(self.begin)
             if parent >= 0:
                 self.left[parent].append(node)
-            rows = order[a:b]
-            n = sizes[rows]
-            at = np.arange(n.sum()) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
-            t, v, cuts = terms[at], values[at].astype(np.float64), np.cumsum(n) - n
-            centre = np.bincount(t, weights=v, minlength=width) / (b - a)
-            size = float(centre @ centre)
-            far = norms[rows] - 2 * np.add.reduceat(v * centre[t], cuts) + size
-            radius.append(math.sqrt(max(0.0, float(far.max())) + SLACK * (float(norms[rows].max()) + size)))
-            axes = np.flatnonzero(centre)
-            centroids.append((axes, centre[axes]))
             self.begin.append(a)
             self.end.append(b)
             self.left.append([])
+            if level == GROUPS or (b - a <= LEAF and level < GROUPS):
+                parts.append(node)
             if b - a <= LEAF:
                 continue
             # two documents far from each other; each other one goes with the nearer of them, a tenth at least with either
-            one = rows[int(far.argmax())]
-            line = self._row(one, starts, sizes, terms, values)
-            two = rows[int((norms[rows] - 2 * np.add.reduceat(v * line[t], cuts)).argmax())]
-            line -= self._row(two, starts, sizes, terms, values)
+            rows = order[a:b]
+            n = sizes[rows]
+            at = np.arange(n.sum()) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
+            t, v, cuts = terms[at], units[at], np.cumsum(n) - n
+            centre = np.bincount(t, weights=v, minlength=width) / (b - a)
+            one = rows[int(np.add.reduceat(v * centre[t], cuts).argmin())]
+            line = self._row(one, starts, sizes, terms, units)
+            two = rows[int(np.add.reduceat(v * line[t], cuts).argmin())]
+            line -= self._row(two, starts, sizes, terms, units)
             side = np.add.reduceat(v * line[t], cuts)
             least = max(1, (b - a) // 10)
-            middle = min(max(int((2 * side < norms[one] - norms[two]).sum()), least), b - a - least)
+            middle = min(max(int((side < 0).sum()), least), b - a - least)
             order[a:b] = rows[np.argpartition(side, middle)]
-            todo += [(a, a + middle, node), (a + middle, b, node)]
+            todo += [(a, a + middle, node, 2 * level), (a + middle, b, node, 2 * level)]
         n = sizes[order]
         at = np.arange(n.sum()) + np.repeat(starts[order] - (np.cumsum(n) - n), n)
         self.terms, self.values = terms[at], values[at]
         self.starts = np.concatenate((np.cumsum(n) - n, [len(at)]))
         self.ids = [ids[k] for k in order.tolist()]
-        self.radius = np.array(radius)
-        self.axes = np.concatenate([x for x, _ in centroids])
-        self.centres = np.concatenate([c for _, c in centroids])
-        self.cuts = np.cumsum([0, *(len(x) for x, _ in centroids[:-1])])
+        mass = np.array([np.bincount(self.terms[of], weights=self.values[of], minlength=width) for of in map(self._entries, parts)])
+        self.group = mass.argmax(axis=0)
+        self._measure(n)
 
     def _row(self, k: int, starts: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
         out = np.zeros(self.width)
@@ -179,14 +181,38 @@ class Tree:
         out[terms[of]] = values[of]
         return out
 
-    def bounds(self, query: np.ndarray, n_terms: int) -> np.ndarray:
-        """No document in a ball scores more than this."""
+    def _entries(self, node: int) -> slice:
+        return slice(self.starts[self.begin[node]], self.starts[self.end[node]])
+
+    def _measure(self, sizes: np.ndarray) -> None:
+        """Each ball's centroid, and its radius in each group of axes, rounded up."""
+        groups = int(self.group.max()) + 1
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        axes, centres, radii = [], [], []
+        for node, (a, b) in enumerate(zip(self.begin, self.end, strict=True)):
+            of = self._entries(node)
+            t, v = self.terms[of], self.values[of].astype(np.float64)
+            centre = np.bincount(t, weights=v, minlength=self.width) / (b - a)
+            cell = (owner[of] - a) * groups + self.group[t]
+            size = np.bincount(self.group, weights=centre * centre, minlength=groups)
+            norm = np.bincount(cell, weights=v * v, minlength=(b - a) * groups).reshape(-1, groups)
+            far = np.bincount(cell, weights=v * v - 2 * v * centre[t], minlength=(b - a) * groups).reshape(-1, groups) + size
+            radii.append(np.sqrt(np.maximum(far.max(axis=0), 0) + SLACK * (norm.max(axis=0) + size)))
+            axes.append(np.flatnonzero(centre))
+            centres.append(centre[axes[-1]])
+        self.radii = np.array(radii)
+        self.cuts = np.cumsum([0, *map(len, axes[:-1])])
+        self.axes, self.centres = np.concatenate(axes), np.concatenate(centres)
+
+    def bounds(self, query: np.ndarray, its: np.ndarray) -> np.ndarray:
+        """No document in a ball scores more than this: q.c, and |q| r within each group of axes. ``query`` has ones at ``its``."""
         inner = np.add.reduceat(self.centres * query[self.axes], self.cuts)
-        return (inner + math.sqrt(n_terms) * self.radius) * (1 + SLACK) + SLACK
+        size = np.sqrt(np.bincount(self.group[its], minlength=self.radii.shape[1]))
+        return (inner + self.radii @ size) * (1 + SLACK) + SLACK
 
-    def search(self, query: np.ndarray, n_terms: int, best: Best) -> int:
+    def search(self, query: np.ndarray, its: np.ndarray, best: Best) -> int:
         """Puts what belongs there into ``best``; how many balls were visited."""
-        bounds = self.bounds(query, n_terms)
+        bounds = self.bounds(query, its)
         queue, visited = [(-bounds[0], 0)], 0
         while queue and -queue[0][0] >= best.least:
             node = heapq.heappop(queue)[1]
@@ -196,7 +222,7 @@ class Tree:
                     heapq.heappush(queue, (-bounds[child], child))
             if not self.left[node]:
                 a, b = self.begin[node], self.end[node]
-                of = slice(self.starts[a], self.starts[b])
+                of = self._entries(node)
                 scores = np.add.reduceat(self.values[of] * query[self.terms[of]], self.starts[a:b] - self.starts[a])
                 for k in np.flatnonzero(scores >= best.least).tolist():
                     best.put(int(scores[k]), self.ids[a + k])
@@ -263,7 +289,7 @@ def search_block(docs: DataFrame, queries: DataFrame, top: int, id_col: str, tex
         for tree in trees(batches, of.value):
             for its, mine in zip(terms, best, strict=True):
                 query[its] = 1
-                tree.search(query, len(its), mine)
+                tree.search(query, its, mine)
                 mine.cut()
                 query[its] = 0
         rows = [(i, d, score) for i, mine in zip(ids, best, strict=True) for score, d in mine.rows]

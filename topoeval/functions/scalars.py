@@ -43,7 +43,7 @@ def config_id(family: Name, parameters: Name) -> Column:
 
 
 def table_fingerprint(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row, fingerprint: sha256 of all rows' digests in order of key.
+    """One row, fingerprint: sha256 over the digests of 256 ranges of rows' digests, each in order; the same for any order of rows.
 
     Digests are combined within 256 ranges of hash first, so no task holds the table's text.
     """

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,18 +106,19 @@ def remaining_work(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> Dat
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def design_grid(df_or_spark, factors: dict[str, Sequence], keep: Column | None = None) -> DataFrame:
-    """All combinations of the factors' levels, with config_id, repetitions dropped; ``keep`` drops branches."""
+def design_grid(base: DataFrame | SparkSession, factors: dict[str, Sequence], keep: Column | None = None) -> DataFrame:
+    """All combinations of the factors' levels with each distinct row of base (whose columns are factors too; a session has
+    none), with their parameters as JSON and config_id; ``keep`` drops branches.
+    """
     from topoeval.functions.scalars import config_id
 
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    out = spark.range(1).select(F.lit(0).alias("__one"))
+    out = base.distinct() if isinstance(base, DataFrame) else base.range(1).select()
+    names = sorted([*out.columns, *factors])
     for name, levels in factors.items():
         out = out.withColumn(name, F.explode(F.array(*[F.lit(x) for x in levels])))
-    out = out.drop("__one")
     if keep is not None:
         out = out.filter(keep)
-    text = F.to_json(F.struct(*sorted(factors)))
+    text = F.to_json(F.struct(*names))
     return out.withColumn("parameters", text).withColumn("config_id", config_id(F.lit("grid"), text)).dropDuplicates(["config_id"])
 
 

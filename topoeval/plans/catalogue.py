@@ -477,10 +477,11 @@ def _(s, d):
     return S.domain_overlap(x.filter("lang = 'en'"), x.filter("lang != 'en'"), ["p", "n_chars"])
 
 
-@query("design_grid", "SELECT a::INT AS width, b::DOUBLE AS ratio, c AS mode FROM (VALUES (8), (16), (32)) x(a), (VALUES (0.1), (0.25), (0.4)) y(b), (SELECT DISTINCT r_name AS c FROM region) WHERE a * b < 8")
+@query("design_grid", """SELECT DISTINCT p_brand, p_size, width, ratio FROM part, (VALUES (8), (16), (32)) x(width), (VALUES (0.0::DOUBLE), (0.1), (0.25), (0.4)) y(ratio) WHERE CASE WHEN ratio = 0 THEN width = 8 ELSE width * ratio < p_size END""")
 def _(s, d):
-    names = sorted(r[0] for r in V.read(s, d, "region").select("r_name").collect())
-    return S.design_grid(s, {"width": [8, 16, 32], "ratio": [0.1, 0.25, 0.4], "mode": names}, F.col("width") * F.col("ratio") < 8).select("width", "ratio", "mode")
+    base = V.read(s, d, "part").select("p_brand", "p_size")
+    branch = F.when(F.col("ratio") == 0, F.col("width") == 8).otherwise(F.col("width") * F.col("ratio") < F.col("p_size"))
+    return S.design_grid(base, {"width": [8, 16, 32], "ratio": [0.0, 0.1, 0.25, 0.4]}, branch).drop("parameters", "config_id")
 
 
 @query("stable_seed", f"SELECT o_orderkey AS id, {sql_seed('42', 'o_orderkey', 'o_orderstatus')} AS seed FROM orders")

@@ -133,3 +133,19 @@ def test_budgeted_knn_and_radius(spark):
     assert similarity.budgeted_knn(points, 300, False).groupBy("graph_id").count().filter("count != 300").isEmpty()
     with pytest.raises(Exception, match="fewer candidates"):
         similarity.radius_graph(points, 400)[0].collect()
+
+
+def test_recall_of_sign_hashes(spark):
+    """At least nine tenths of planted pairs of cosine 0.9 and more are found, and few others are compared."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    away = rng.standard_normal((300, 32))
+    away -= (away * base).sum(1)[:, None] * base
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    s = rng.uniform(0.9, 0.95, 300)[:, None]
+    both = np.concatenate((base, s * base + np.sqrt(1 - s * s) * away))
+    rows = [("g", k, [float(x) for x in v]) for k, v in enumerate(both)]
+    got = {(r.src, r.dst) for r in similarity.cosine_candidates(spark.createDataFrame(rows, "graph_id string, id long, embedding array<double>")).collect()}
+    assert sum((k, k + 300) in got for k in range(300)) >= 270
+    assert len(got) < 0.05 * 600 * 599 / 2

@@ -9,6 +9,7 @@ those that share a sign hash instead (approximate, near-linear).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,10 +155,17 @@ def top_pairs(points: DataFrame, wanted: DataFrame, column: str = "embedding", m
     return first.join(state.select("graph_id", "pool"), "graph_id").filter("p <= pool").drop("pool")
 
 
-def cosine_candidates(points: DataFrame, bits: int = 12, tables: int = 8, seed: int = 0, column: str = "embedding") -> DataFrame:
-    """Approximate pairs for large tables: graph_id, src < dst, sim of pairs that share the signs of ``bits`` random
-    projections in at least one of ``tables`` hash tables.
+def cosine_candidates(
+    points: DataFrame, bits: int = 12, tables: int | None = None, seed: int = 0, column: str = "embedding", similar: float = 0.9, recall: float = 0.95
+) -> DataFrame:
+    """Approximate pairs for large tables: graph_id, src < dst, sim of pairs that share the signs of ``bits`` random projections
+    in at least one of ``tables`` hash tables. A pair of cosine s shares a table with probability (1 - acos(s) / pi) ** bits;
+    if not given, there are as many tables as find ``recall`` of the pairs of cosine ``similar`` (18 by default).
+    pairwise_cosine is the exact way.
     """
+    if tables is None:
+        share = (1 - math.acos(similar) / math.pi) ** bits
+        tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - share))) if share < 1 else 1
     rows = _vectors(points, column, True)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -579,7 +579,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) of every row; an empty array for null and empty texts."""
+    """doc_id and ids (array<int>) of every row, repeated ones too; an empty array for null and empty texts."""
     file = tokenizer_file(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -595,7 +595,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def bpe_decode(
     encoded: DataFrame, path: str, library: bool = False, id_col: str = "doc_id", ids_col: str = "ids"
 ) -> DataFrame:
-    """doc_id and text of every row of ids; an empty text for null or no ids."""
+    """doc_id and text of every row of ids, repeated ones too; an empty text for null or no ids."""
     file = tokenizer_file(encoded.sparkSession, path)
     kind = encoded.schema[id_col].dataType.simpleString()
 

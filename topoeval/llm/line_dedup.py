@@ -121,7 +121,7 @@ def drop_boilerplate(
     salts: int = SALTS,
 ) -> DataFrame:
     """All rows and columns of pages, whatever their names, with boilerplate lines gone from the text; nulls, repeated
-    rows and empty tables as in line_dedup.
+    rows and empty tables as in line_dedup. Columns of map type can't be grouped by and stop the query.
     """
     rest = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(pages.columns) if c != text_col])
     slim = pages.select(rest.alias("rest"), F.col(text_col).alias("text"), F.coalesce(site.cast("string"), F.lit("")).alias("site"))

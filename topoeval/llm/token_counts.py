@@ -5,7 +5,8 @@ stands for itself and is compatible with the last token of the prefix before it.
 are compatible if no merge can ever join a part on the left one's right edge to a part on the
 right one's left edge while both are there. So one pass over a word stores the exact count, and the
 last token, of every prefix; a text's prefix counts follow by adding the counts of the words before.
-Truncation and budget questions are then lookups: nothing is encoded again.
+Truncation and budget questions are then lookups: nothing is encoded again. (Not so for stretches with controls or white
+space beyond tab, line ends and the plain space, whose prefixes are cut into words one by one, at quadratic cost.)
 """
 
 from __future__ import annotations

@@ -149,3 +149,17 @@ def test_recall_of_sign_hashes(spark):
     got = {(r.src, r.dst) for r in similarity.cosine_candidates(spark.createDataFrame(rows, "graph_id string, id long, embedding array<double>")).collect()}
     assert sum((k, k + 300) in got for k in range(300)) >= 270
     assert len(got) < 0.05 * 600 * 599 / 2
+
+
+def test_trustworthiness_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ROWS", 16)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((70, 6))
+    rows = [("g", 3 * i, [float(x) for x in a], [float(x) for x in a[:2]]) for i, a in enumerate(v)]
+    points = spark.createDataFrame(rows, "graph_id string, id long, embedding array<double>, projection array<double>")
+    n, k = 70, 5
+    order = lambda x: np.argsort(((x[:, None] - x[None]) ** 2).sum(2) + np.diag([np.inf] * n), axis=1, kind="stable")
+    high, low = order(v), order(v[:, :2])
+    late = sum(max(0, int(np.flatnonzero(high[i] == j)[0]) + 1 - k) for i in range(n) for j in low[i, :k])
+    got = similarity.trustworthiness(points, k).first()
+    assert (got.n, got.k) == (n, k) and got.trustworthiness == pytest.approx(1 - 2 * late / (n * k * (2 * n - 3 * k - 1)))

@@ -308,20 +308,33 @@ def blend_edges(observed: DataFrame, learned: DataFrame, skip: float) -> DataFra
 
 def trustworthiness(points: DataFrame, k: int, high: str = "embedding", low: str = "projection", sample: int = 3000, seed: int = 0) -> DataFrame:
     """1 - 2 / (n k (2n - 3k - 1)) * sum of (rank - k) over the k low-dimensional neighbours that are no high-dimensional
-    ones, on a sample of each graph; k is at most n/2 - 1.
+    ones, on a sample of each graph; k is at most n/2 - 1. Ranks are counted block by block, for the k n pairs only; ids are below
+    2**53.
     """
     order = Window.partitionBy("graph_id").orderBy(stable_uniform(F.lit(seed), "id"), "id")
-    rows = points.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= sample).drop("__r")
-    a = rows.select("graph_id", F.col("id").alias("i"), F.col(high).alias("hi"), F.col(low).alias("li"))
-    b = rows.select("graph_id", F.col("id").alias("j"), F.col(high).alias("hj"), F.col(low).alias("lj"))
-    pairs = a.join(b, "graph_id").filter("i != j").select(
-        "graph_id", "i", "j", F.round(sqdist("hi", "hj"), 10).alias("dh"), F.round(sqdist("li", "lj"), 10).alias("dl")
-    )
-    w = lambda d: Window.partitionBy("graph_id", "i").orderBy(d, "j")
-    ranked = pairs.withColumn("rh", F.row_number().over(w("dh"))).withColumn("rl", F.row_number().over(w("dl")))
+    rows = cut(points.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= sample).select("graph_id", "id", high, low))
     n = rows.groupBy("graph_id").agg(F.count("*").alias("n")).withColumn("k", F.least(F.lit(k), F.floor(F.col("n") / 2) - 1))
-    late = ranked.join(F.broadcast(n), "graph_id").filter("rl <= k").groupBy("graph_id", "n", "k").agg(
-        F.sum(F.greatest(F.col("rh") - F.col("k"), F.lit(0))).alias("late")
-    )
+    near = knn(rows, k, low).join(n, "graph_id").filter("rank <= k").select("graph_id", "id", F.col("neighbor").alias("j"))
+    wide = rows.select("graph_id", "id", F.col(high).alias("h"))
+    ends = near.join(wide, ["graph_id", "id"]).join(wide.toDF("graph_id", "j", "hj"), ["graph_id", "j"])
+    far = ends.select("graph_id", "id", F.struct("j", F.round(sqdist("h", "hj"), 10).alias("d")).alias("s"))
+    far = far.groupBy("graph_id", "id").agg(F.collect_list("s").alias("s"))  # k of them
+    pad = lambda name: F.slice(F.concat(F.transform("s", lambda s: s[name].cast("double")), F.array_repeat(F.lit(-1.0), k)), 1, k)
+    v = wide.join(far, ["graph_id", "id"]).select("graph_id", "id", F.concat(pad("d"), pad("j"), F.transform("h", lambda x: x.cast("double"))).alias("v"))
+
+    def nearer(ia, va, ib, vb):
+        """For each row of a and each of its neighbours: how many rows of b come before that neighbour."""
+        d, j, x, y = va[:, :k], va[:, k : 2 * k], va[:, 2 * k :], vb[:, 2 * k :]
+        square = np.round((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 10)
+        square[ia[:, None] == ib[None, :]] = np.inf
+        first = [((square < d[:, [c]]) | ((square == d[:, [c]]) & (ib[None, :] < j[:, [c]]))).sum(1) for c in range(k)]
+        there = d.T >= 0
+        return np.tile(ia, (k, 1))[there], j.T[there].astype(np.int64), np.array(first, np.int64)[there]
+
+    def run(ia, va, ib, vb, same, _):
+        return list(nearer(ia, va, ia, va)) if same else [np.concatenate(x) for x in zip(nearer(ia, va, ib, vb), nearer(ib, vb, ia, va), strict=True)]
+
+    ranks = _meet(v, ROWS, run, "i bigint, j bigint, before bigint").groupBy("graph_id", "i", "j").agg((F.sum("before") + 1).alias("rh"))
+    late = ranks.join(n, "graph_id").groupBy("graph_id", "n", "k").agg(F.sum(F.greatest(F.col("rh") - F.col("k"), F.lit(0))).alias("late"))
     size = F.col("n") * F.col("k") * (2 * F.col("n") - 3 * F.col("k") - 1)
     return late.select("graph_id", "n", "k", (1 - 2 * F.col("late") / size).alias("trustworthiness"))

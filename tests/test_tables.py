@@ -224,3 +224,30 @@ def test_collect_tables(spark, tmp_path):
     assert [r.dataset for r in rows.filter("f1 is null").collect()] == ["z"]
     with pytest.raises(FileNotFoundError):
         collect_tables(spark, [str(tmp_path)], "none.csv")
+
+
+def test_rules_by_hand(spark):
+    """Every pair and triple counted row by row, NULLs holding for nothing."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, *map(float, range(6))]), rng.random(), rng.randint(0, 1)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int").repartition(5)
+    got = {r.rule: r for r in models.mine_rules(df, "id", ["a", "b"], "y", 4, 3, 2).collect()}
+    assert {r.complexity for r in got.values()} == {1, 2, 3}
+
+    def holds(rule, row):
+        if rule.startswith("("):
+            depth = 0
+            for k, c in enumerate(rule):
+                depth += (c == "(") - (c == ")")
+                for op in (" AND ", " OR "):
+                    if depth == 1 and rule.startswith(op, k):
+                        sides = holds(rule[1:k], row), holds(rule[k + len(op) : -1], row)
+                        return all(sides) if "AND" in op else any(sides)
+        metric, op, t = rule.split(" ")
+        x = row[1] if metric == "a" else row[2]
+        return x is not None and (x >= float(t) if op == ">=" else x < float(t))
+
+    for rule, r in got.items():
+        held = [x for x in rows if holds(rule, x)]
+        assert (r.tp, r.fp) == (sum(x[3] == 1 for x in held), sum(x[3] == 0 for x in held)), rule
+        assert r.support == pytest.approx(len(held) / 300)

@@ -6,8 +6,10 @@ Fits run on pyspark.ml; a frozen model is a JSON manifest that scores by a plain
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topoeval.functions.lineage import cut
-from topoeval.functions.ranges import ranked
+from topoeval.functions.ranges import quantiles, ranked
 from topoeval.functions.scalars import stable_uniform
 from topoeval.operators.evaluate import avoid_threshold, binary_metrics, cost_threshold, rank_auc, regression_metrics, youden_threshold
 from topoeval.operators.splits import group_folds, logo_folds
@@ -195,44 +197,88 @@ def single_metric_indicators(train: DataFrame, blind: DataFrame, metrics: Sequen
     return binary_metrics(scored, "y", "p", 0.0, ["metric"]).join(auc, "metric").join(t, "metric")
 
 
-def mine_rules(df: DataFrame, row: str, metrics: Sequence[str], y: str, top_atoms: int = 10, top_pairs: int = 10) -> DataFrame:
+#: Quantiles that are thresholds of atoms; least and largest share of rows that a rule may hold for.
+CUTS, SUPPORT = (0.1, 0.25, 0.5, 0.75, 0.9), (0.08, 0.80)
+
+
+def _rule_counts(df: DataFrame, y: str, metrics: Sequence[str], atoms: list[tuple], rules: list[tuple]) -> list[tuple[int, int, int]]:
+    """(rows, positives, negatives) that each rule holds for, by one scan. A rule is (op, left, right) over rules before it, or
+    (atom, k) for atoms (metric, op, threshold); what a batch's rows say to an atom is a bitmap, and rules are
+    combined and counted as bitmaps. Both lists have as many entries as the search's widths allow, whatever the data.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(rules), 3), np.int64)
+        for b in batches:
+            label = b.column(0).to_numpy(zero_copy_only=False).astype(float)
+            one, none = np.packbits(label == 1), np.packbits(label == 0)
+            columns = {m: b.column(k + 1).to_numpy(zero_copy_only=False).astype(float) for k, m in enumerate(metrics)}
+            with np.errstate(invalid="ignore"):
+                held = [np.packbits(columns[m] >= t if op == ">=" else columns[m] < t) for m, op, t in atoms]
+            made: list[np.ndarray] = []
+            for k, rule in enumerate(rules):
+                if rule[0] == "atom":
+                    bits = held[rule[1]]
+                else:
+                    bits = made[rule[1]] & made[rule[2]] if rule[0] == "AND" else made[rule[1]] | made[rule[2]]
+                made.append(bits)
+                total[k] += [int(np.bitwise_count(x).sum()) for x in (bits, bits & one, bits & none)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), *(pa.array(total[:, k]) for k in range(3))], ["rule", "k", "tp", "fp"])
+
+    wide = df.select(F.col(y).cast("double"), *[F.col(m).cast("double") for m in metrics])
+    parts = wide.mapInArrow(run, "rule int, k long, tp long, fp long").groupBy("rule").agg(F.sum("k"), F.sum("tp"), F.sum("fp"))
+    found = {r[0]: tuple(r[1:]) for r in parts.collect()}
+    return [found.get(k, (0, 0, 0)) for k in range(len(rules))]
+
+
+def mine_rules(df: DataFrame, row: str, metrics: Sequence[str], y: str, top_atoms: int = 35, top_pairs: int = 60, triple_atoms: int = 25) -> DataFrame:
     """rule, complexity, support, tp, fp, balanced_accuracy, score of threshold rules and their AND/OR pairs and triples.
 
-    Atoms: metric >= or < one of five quantiles, with support in [.08, .80]. The best atoms are joined by row into pairs, the best pairs
-    with the best atoms into triples; score = balanced accuracy - .01 (complexity - 1). Rows of a rule are those it holds for.
+    Atoms: metric >= or < one of five quantiles (to nine decimals), with support in [.08, .80]. The best atoms make pairs, the best pairs
+    with the best atoms triples; score = balanced accuracy - .01 (complexity - 1), ties go by name. A rule holds for no row
+    whose metric is NULL. Rows are those of df, scanned once for each complexity; ``row`` only names them.
     """
     from topoeval.operators.stats import long_metrics
 
     long = long_metrics(df, [row, y], metrics).filter("value is not null")
-    cuts = long.groupBy("metric").agg(F.array_distinct(F.expr("percentile(value, array(0.1, 0.25, 0.5, 0.75, 0.9))")).alias("cuts"))
-    at = long.join(F.broadcast(cuts), "metric").select("metric", F.col(row).alias("r"), F.col(y).alias("y"), "value", F.explode("cuts").alias("t"))
-    name = lambda op: F.concat("metric", F.lit(f" {op} "), F.format_number("t", 6))
-    atoms = at.filter("value >= t").select(name(">=").alias("rule"), "r", "y").union(at.filter("value < t").select(name("<"), "r", "y"))
-    total = df.agg(F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("n1"), F.count_if(F.col(y) == 0).alias("n0"))
-
-    def rated(held: DataFrame, complexity: int) -> DataFrame:
-        c = held.groupBy("rule").agg(F.count("*").alias("k"), F.count_if(F.col("y") == 1).alias("tp"), F.count_if(F.col("y") == 0).alias("fp")).crossJoin(F.broadcast(total))
-        ba = (F.col("tp") / F.greatest("n1", F.lit(1)) + 1 - F.col("fp") / F.greatest("n0", F.lit(1))) / 2
-        c = c.select("rule", F.lit(complexity).alias("complexity"), (F.col("k") / F.col("n")).alias("support"), "tp", "fp", ba.alias("balanced_accuracy"))
-        return c.filter("support between 0.08 and 0.80").withColumn("score", F.round(F.col("balanced_accuracy") - 0.01 * (complexity - 1), 9))
-
-    def best(table: DataFrame, held: DataFrame, k: int) -> DataFrame:
-        names = table.orderBy(F.col("score").desc(), "rule").limit(k).select("rule")
-        return cut(held.join(F.broadcast(names), "rule"))
-
-    def combined(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.toDF("other", "r", "y")
-        both = a.join(b.drop("y"), "r").filter("rule < other").select(F.concat(F.lit("("), "rule", F.lit(" AND "), "other", F.lit(")")).alias("rule"), "r", "y")
-        names = a.select("rule").distinct().crossJoin(b.select("other").distinct()).filter("rule < other")  # a few names each
-        either = names.join(a, "rule").select("rule", "other", "r", "y").union(names.join(b, "other").select("rule", "other", "r", "y")).distinct()
-        return both.union(either.select(F.concat(F.lit("("), "rule", F.lit(" OR "), "other", F.lit(")")), "r", "y"))
-
-    one = cut(rated(atoms, 1))
-    top = best(one, atoms, top_atoms)
-    held2 = cut(combined(top, top))
-    two = cut(rated(held2, 2))
-    held3 = combined(best(two, held2, top_pairs), top).union(combined(top, best(two, held2, top_pairs)))
-    return one.union(two).union(rated(held3, 3))
+    cuts = {r["metric"]: r["cuts"] for r in quantiles(long, "value", CUTS, ["metric"]).select("metric", F.transform("cuts", lambda t: F.round(t, 9)).alias("cuts")).collect()}
+    atoms = [(m, op, t) for m in metrics for t in dict.fromkeys(cuts.get(m, [])) for op in (">=", "<")]
+    n, n1, n0 = df.agg(F.count("*"), F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)).first()
+    out: list[tuple] = []
+
+    def rated(names: list[str], counts: list[tuple[int, int, int]], complexity: int) -> list[tuple]:
+        rows = []
+        for name, (k, tp, fp) in zip(names, counts, strict=True):
+            balanced = (tp / max(n1, 1) + 1 - fp / max(n0, 1)) / 2
+            if n and SUPPORT[0] <= k / n <= SUPPORT[1]:
+                rows.append((name, complexity, k / n, tp, fp, balanced, round(balanced - 0.01 * (complexity - 1), 9)))
+        out.extend(rows)
+        return sorted(rows, key=lambda r: (-r[6], r[0]))
+
+    single = [f"{m} {op} {t!r}" for m, op, t in atoms]
+    rules: list[tuple] = [("atom", k) for k in range(len(atoms))]
+    at = {name: k for k, name in enumerate(single)}
+    best = [r[0] for r in rated(single, _rule_counts(df, y, metrics, atoms, rules), 1)]
+
+    def combined(pairs: list[tuple[str, str]], complexity: int) -> list[str]:
+        """Counts all ANDs and ORs of the named rules, and their names, best first."""
+        names = []
+        for a, b in pairs:
+            low, high = sorted((a, b))
+            for op in ("AND", "OR"):
+                name = f"({low} {op} {high})"
+                if name not in at:
+                    at[name] = len(rules)
+                    rules.append((op, at[low], at[high]))
+                    names.append(name)
+        counts = _rule_counts(df, y, metrics, atoms, rules) if names else []
+        return [r[0] for r in rated(names, [counts[at[x]] for x in names], complexity)]
+
+    top = best[:top_atoms]
+    two = combined([(a, b) for k, a in enumerate(top) for b in top[k + 1 :]], 2)
+    combined([(a, b) for a in two[:top_pairs] for b in best[:triple_atoms]], 3)
+    schema = "rule string, complexity int, support double, tp long, fp long, balanced_accuracy double, score double"
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def tree_rules(df: DataFrame, features: Sequence[str], target: str, depth: int = 2) -> str:

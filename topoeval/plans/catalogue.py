@@ -674,7 +674,24 @@ def _(s, d):
 
 @query("mine_rules")
 def _(s, d):
-    return r6(models.mine_rules(V.scores(s, d), "id", ["p", "n_chars"], "y", 6, 6), "support", "balanced_accuracy")
+    return r6(models.mine_rules(V.scores(s, d), "id", ["p", "n_chars"], "y"), "support", "balanced_accuracy")
+
+
+@query("mine_rules_to_pairs", f"""WITH {SQL_SCORES}, lg AS (SELECT metric, id, y, CASE metric WHEN 'p' THEN p ELSE n_chars::DOUBLE END AS v FROM sc, (VALUES ('p'), ('n_chars')) t(metric)),
+ct AS (SELECT DISTINCT metric, round(unnest(quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9])), 9) AS t FROM lg GROUP BY metric),
+am AS (SELECT metric || ' ' || op || ' ' || t::VARCHAR AS rule, id, y FROM lg JOIN ct USING (metric), (VALUES ('>='), ('<')) o(op) WHERE CASE op WHEN '>=' THEN v >= t ELSE v < t END),
+tot AS (SELECT count(*) AS n, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM sc),
+c1 AS (SELECT rule, count(*) AS k, count(*) FILTER (y = 1) AS tp, count(*) FILTER (y = 0) AS fp FROM am GROUP BY 1),
+r1 AS (SELECT rule, 1 AS complexity, k / n AS support, tp, fp, (tp / greatest(n1, 1) + 1 - fp / greatest(n0, 1)) / 2 AS ba FROM c1, tot WHERE k / n BETWEEN 0.08 AND 0.8),
+tp AS (SELECT rule FROM (SELECT rule, row_number() OVER (ORDER BY round(ba, 9) DESC, rule) AS r FROM r1) WHERE r <= 35),
+ta AS (SELECT am.* FROM am JOIN tp USING (rule)),
+pr AS (SELECT '(' || a.rule || ' AND ' || b.rule || ')' AS rule, a.id, a.y FROM ta a JOIN ta b ON a.id = b.id AND a.rule < b.rule
+       UNION ALL SELECT DISTINCT '(' || x.rule || ' OR ' || z.rule || ')', h.id, h.y FROM tp x JOIN tp z ON x.rule < z.rule JOIN ta h ON h.rule IN (x.rule, z.rule)),
+c2 AS (SELECT rule, count(*) AS k, count(*) FILTER (y = 1) AS tp, count(*) FILTER (y = 0) AS fp FROM pr GROUP BY 1),
+r2 AS (SELECT rule, 2 AS complexity, k / n AS support, tp, fp, (tp / greatest(n1, 1) + 1 - fp / greatest(n0, 1)) / 2 AS ba FROM c2, tot WHERE k / n BETWEEN 0.08 AND 0.8)
+SELECT rule, complexity, round(support, 6) AS support, tp, fp, round(ba, 6) AS balanced_accuracy, round(ba - 0.01 * (complexity - 1), 9) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2)""")
+def _(s, d):
+    return r6(models.mine_rules(V.scores(s, d), "id", ["p", "n_chars"], "y").filter("complexity <= 2"), "support", "balanced_accuracy")
 
 
 def _descriptors(s, d) -> DataFrame:

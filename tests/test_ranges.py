@@ -163,3 +163,26 @@ def test_trustworthiness_over_blocks(spark, monkeypatch):
     late = sum(max(0, int(np.flatnonzero(high[i] == j)[0]) + 1 - k) for i in range(n) for j in low[i, :k])
     got = similarity.trustworthiness(points, k).first()
     assert (got.n, got.k) == (n, k) and got.trustworthiness == pytest.approx(1 - 2 * late / (n * k * (2 * n - 3 * k - 1)))
+
+
+def test_blocks_grow_with_a_graph(spark, monkeypatch):
+    """A large graph has larger blocks, made in tiles: what is sent grows with n, and neighbours, pairs and ranks stay exact."""
+    for name, value in (("ROWS", 16), ("MOST", 3), ("TILE", 64)):
+        monkeypatch.setattr(similarity, name, value)
+    rows, points = vectors(spark, {"g": 150}, 3)
+    sizes = similarity._block_pairs(similarity._vectors(points, "embedding", True), 16, None).groupBy("low", "high").count()
+    assert sizes.count() == 6 and sizes.agg(F.sum("count")).first()[0] == 3 * 150
+    ids, v = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    d = np.linalg.norm(v[:, None] - v[None], axis=2) + np.diag([np.inf] * len(v))
+    want = {(int(ids[i]), int(ids[j])) for i in range(len(v)) for j in np.lexsort((ids, np.round(d[i], 10)))[:4]}
+    assert {(r.id, r.neighbor) for r in similarity.knn(points, 4).collect()} == want
+    wanted = spark.createDataFrame([("g", 70)], "graph_id string, pool long")
+    best = np.sort(d[np.triu_indices(len(v), 1)])[:70]
+    assert sorted(r.distance for r in similarity.top_pairs(points, wanted, metric="euclidean", rows=16).collect()) == pytest.approx(best, abs=1e-9)
+
+
+def test_best_pairs_make_no_other_pairs(spark):
+    from topoeval.plans import catalogue
+
+    text = catalogue.queries()["top_candidate_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "pool" in text

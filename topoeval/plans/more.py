@@ -320,7 +320,8 @@ def _(s, d):
 
 @query("top_candidate_pairs", f"WITH {SQL_SIMS} SELECT 'all' AS graph_id, src, dst, round(sim, 6) AS sim FROM s ORDER BY s.sim DESC, src, dst LIMIT 100")
 def _(s, d):
-    return r6(similarity.top_candidate_pairs(similarity.pairwise_cosine(V.vectors(s, d)), 100), "sim").drop("rank")
+    v = V.vectors(s, d)
+    return r6(similarity.top_pairs(v, v.select("graph_id").distinct().withColumn("pool", F.lit(100))), "sim").drop("p")
 
 
 # --- sets ---------------------------------------------------------------------------------

@@ -257,3 +257,29 @@ def test_anchors_and_blends(spark, points):
     a = spark.createDataFrame([("g", 1, 2, 1.0)], "graph_id string, src long, dst long, weight double")
     b = spark.createDataFrame([("g", 1, 2, 0.5), ("g", 2, 3, 1.0)], a.schema)
     assert {(r.src, r.dst): r.weight for r in similarity.blend_edges(a, b, 0.8).collect()} == pytest.approx({(1, 2): 0.9, (2, 3): 0.2})
+
+
+def test_long_rings(spark):
+    """Rings of 500 nodes in closed form: gaps of some 1e-4 need more than steps with the matrix, and every edge is a pair."""
+    n = 500
+    e, v = edges_of(spark, ring=[(k, k + 1) for k in range(n - 1)] + [(0, n - 1)]), nodes_of(spark, ring=n)
+    assert as_dict(linalg.lambda2(e, v, max_rounds=60), "lambda2")["ring"] == pytest.approx(1 - math.cos(2 * math.pi / n), rel=1e-8)
+    assert as_dict(linalg.algebraic_connectivity(e, v), "algebraic_connectivity")["ring"] == pytest.approx(2 - 2 * math.cos(2 * math.pi / n), rel=1e-8)
+    assert as_dict(linalg.sweep_conductance(e, v), "conductance")["ring"] == pytest.approx(2 / n)
+    r = linalg.effective_resistance(e, v, e.select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v")))
+    assert [x.resistance for x in r.collect()] == pytest.approx([(n - 1) / n] * n, rel=1e-9)
+
+
+def test_spectra_of_pieces(spark):
+    """Components are told apart without a step; the sweep over their vector cuts nothing. Dense graphs go by gradients."""
+    pieces = [(0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (6, 7)]
+    e, v = edges_of(spark, pieces=pieces), nodes_of(spark, pieces=9)
+    x = {r.id: r.x for r in linalg.fiedler_vector(e, v, max_rounds=1).collect()}
+    degree = np.array([2, 2, 2, 1, 2, 1, 1, 1, 0])
+    at = np.array([x[k] for k in range(9)])
+    assert at @ at == pytest.approx(1.0) and at @ np.sqrt(degree) == pytest.approx(0.0, abs=1e-12) and x[8] == 0
+    assert as_dict(linalg.sweep_conductance(e, v, linalg.fiedler_vector(e, v, max_rounds=1)), "conductance")["pieces"] == 0.0
+    size = 40
+    e, v = edges_of(spark, clique=[(a, b) for a in range(size) for b in range(a)]), nodes_of(spark, clique=size)
+    r = linalg.effective_resistance(e, v, e.select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v")))
+    assert [x.resistance for x in r.collect()] == pytest.approx([2 / size] * (size * (size - 1) // 2), rel=1e-6)

@@ -86,7 +86,8 @@ def quantiles(df: DataFrame, x: str, probabilities: Sequence[float], keys: Seque
             places.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), place.alias("place"), weight.alias("weight")))
     mine = F.filter(F.array(*places), lambda s: (s["place"] < F.col("__c")) & (s["place"] >= F.col("__c") - F.col("__n")))
     held = both.select(*keys, "__x", F.explode(mine).alias("s"))
-    # a place that is whole is met from both sides, the upper one with weight 0
-    value = F.when(F.sum("s.weight") > 0, F.sum(F.col("s.weight") * F.col("__x")))
+    # between two equal values that value to the last bit, which a weighted sum may miss
+    low, high = (F.max(F.when(F.col("s.side") == side, F.col("__x"))) for side in (0, 1))
+    value = F.when(low == high, low).otherwise(low + (high - low) * F.max(F.when(F.col("s.side") == 1, F.col("s.weight"))))
     each = held.groupBy(*keys, "s.i").agg(value.alias("q"))
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias(name)).filter(F.size(name) > 0)

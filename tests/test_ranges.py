@@ -186,3 +186,31 @@ def test_best_pairs_make_no_other_pairs(spark):
 
     text = catalogue.queries()["top_candidate_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "pool" in text
+
+
+def test_quantiles_between_equal_values(spark):
+    """A cut between two equal values is that value: a weighted sum misses some by a bit, and rows change their bin."""
+    held = [round(0.01 + 0.0137 * k, 6) for k in range(60)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(held) for _ in range(7)], "key long, x double")
+    cuts = {r.key: r.q for r in ranges.quantiles(df, "x", [0.1, 0.3, 0.7, 0.9], ["key"], "q").collect()}
+    assert all(cuts[k] == [x] * 4 for k, x in enumerate(held))
+
+
+def test_bootstrap_auc_over_ranges(spark, monkeypatch):
+    """Over several ranges of scores and blocks, no draw becomes a row; intervals are those of all draws by hand."""
+    from topoeval.operators import resample
+
+    for name, value in (("SCORES", 8), ("PIECE", 5), ("BLOCKS", 3)):
+        monkeypatch.setattr(resample, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(k, int(rng.integers(0, 2)), round(float(rng.random()), 1)) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, y int, p double")
+    sides = [np.array([p for _, y, p in rows if y == s]) for s in (0, 1)]
+    auc = []
+    for rep in range(1, 21):
+        neg, pos = (v[resample.mixed(2 + s, rep, np.arange(len(v))) % len(v)] for s, v in enumerate(sides))
+        auc.append(((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg)))
+    got = resample.bootstrap_auc(df, "y", "p", "id", 20, 2).first()
+    assert got.boot_mean == pytest.approx(np.mean(auc)) and got.replicates == 20
+    assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.quantile(auc, [0.025, 0.975])))
+    assert resample.bootstrap_auc(df.filter("y = 1"), "y", "p", "id", 20, 2).first().boot_mean is None

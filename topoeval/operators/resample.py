@@ -12,16 +12,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topoeval.functions.lineage import cut
-from topoeval.functions.ranges import numbers, quantiles, ranked, with_count
+from topoeval.functions.ranges import numbers, quantiles, ranked, running_sum, with_count
 
 REPLICATES = 10_000
 CHUNK = 4096
 #: Draws of a task, replicates of a block at most.
 DRAWS, BLOCK = 1 << 24, 1000
+#: For the AUC: rows of a range of scores, draws made at a time, blocks of replicates at most.
+SCORES, PIECE, BLOCKS = 1 << 20, 1 << 16, 64
 PRIME = 2**31 - 1
 
 
@@ -195,16 +197,44 @@ def direction_stability(df: DataFrame, cluster: str, metrics: Sequence[str], tar
 
 def bootstrap_auc(df: DataFrame, y: str, p: str, order: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """AUC replicates with positives and negatives drawn separately (seed and seed + 1). Rows are numbered within their class by
-    ``order``; what a replicate draws is counted by score before it is ranked.
+    ``order`` and dealt by ranges of score of some SCORES rows (those of one score stay together). A task draws a block
+    of replicates again and counts what falls into its range, so no draw is ever a row; a range sends a replicate's
+    numbers of both classes and its pairs in order.
     """
-    from topoeval.operators.evaluate import rank_auc
-
-    out = None
-    for side in (0, 1):
-        rows = cut(ranked(df.filter(F.col(y) == side).select(order, F.col(p).alias("p")), [], [order], "__i").select("__i", "p"))
-        drawn = _draws(rows.agg(F.count("*").alias("n")), replicates, seed + side).join(rows, "__i").select("rep", "p", F.lit(side).alias("y"))
-        out = drawn if out is None else out.union(drawn)
-    return _interval(cut(rank_auc(out, "y", "p", ["rep"]).select(F.col("auc").alias("m"))), "m")
+    rows = df.filter(F.col(y).isin(0, 1)).select(F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p"), order)
+    rows = cut(ranked(rows, ["y"], [order], "i").select("y", "p", (F.col("i") - 1).alias("i")))
+    sizes = cut(rows.groupBy().agg(*[F.count_if(F.col("y") == side).alias(f"n{side}") for side in (0, 1)]))
+    upto = running_sum(rows.groupBy("p").agg(F.count("*").alias("k")), [], ["p"], upto="k")
+    dealt = rows.join(upto.select(F.col("p").alias("at"), F.floor((F.col("upto") - 1) / SCORES).alias("part")), F.col("p").eqNullSafe(F.col("at"))).drop("at")
+    per = max(1, -(-replicates // BLOCKS))
+    blocks = F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(per))).alias("first")
+    met = dealt.crossJoin(F.broadcast(sizes)).select("*", blocks)  # one row of sizes
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        side, score, i = (table.column(c).to_numpy() for c in ("y", "p", "i"))
+        level, at = np.unique(score, return_inverse=True)
+        reps = np.arange(key[1].as_py(), min(replicates, key[1].as_py() + per - 1) + 1)
+        found = np.zeros((2, len(reps), len(level)), np.int64)
+        for s in (0, 1):
+            n = table.column(f"n{s}")[0].as_py()
+            mine = side == s
+            place = np.full(n, -1, np.int32)
+            place[i[mine]] = at[mine]
+            for k, rep in enumerate(reps if mine.any() else []):
+                for low in range(0, n, PIECE):
+                    hit = place[mixed(seed + s, rep, np.arange(low, min(n, low + PIECE))) % n]
+                    found[s, k] += np.bincount(hit[hit >= 0], minlength=len(level))
+        b, a = found
+        below = (a * (np.cumsum(b, axis=1) - b / 2)).sum(axis=1)
+        cols = [pa.array([key[0].as_py()] * len(reps), pa.int64()), *map(pa.array, (reps, a.sum(axis=1), b.sum(axis=1), below))]
+        return pa.table(cols, names=["part", "rep", "a", "b", "below"])
+
+    parts = cut(met.groupBy("part", "first").applyInArrow(run, "part long, rep long, a long, b long, below double"))
+    before = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.sum(F.col("below") + F.col("a") * F.coalesce(F.col("before"), F.lit(0))).alias("wins")
+    won = parts.withColumn("before", F.sum("b").over(before)).groupBy("rep").agg(wins).crossJoin(F.broadcast(sizes))
+    both = F.col("n0") * F.col("n1")
+    return _interval(cut(won.select(F.when(both > 0, F.col("wins") / both).alias("m"))), "m")
 
 
 def binned_bootstrap(df: DataFrame, x: str, value: str, order: str, bins: int = 4, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:

@@ -283,3 +283,13 @@ def test_spectra_of_pieces(spark):
     e, v = edges_of(spark, clique=[(a, b) for a in range(size) for b in range(a)]), nodes_of(spark, clique=size)
     r = linalg.effective_resistance(e, v, e.select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v")))
     assert [x.resistance for x in r.collect()] == pytest.approx([2 / size] * (size * (size - 1) // 2), rel=1e-6)
+
+
+def test_squares_of_all_edges(spark):
+    """Counted from pairs with common neighbours, no path of three edges is made; the same ends as edge by edge."""
+    rng = np.random.default_rng(3)
+    edges = sorted({tuple(sorted(map(int, rng.choice(14, 2, replace=False)))) for _ in range(40)})
+    e, v = edges_of(spark, g=edges, cycle=CYCLE, clique=CLIQUE), nodes_of(spark, g=14, cycle=8, clique=5)
+    pairs = e.union(e.select("graph_id", "dst", "src"))
+    want = motifs.four_cycles(pairs.toDF("graph_id", "u", "v"), pairs).select("graph_id", "u", "v", "a", "through")
+    assert sorted(map(tuple, motifs.all_four_cycles(e, v).collect())) == sorted(map(tuple, want.collect()))

@@ -293,3 +293,16 @@ def test_squares_of_all_edges(spark):
     pairs = e.union(e.select("graph_id", "dst", "src"))
     want = motifs.four_cycles(pairs.toDF("graph_id", "u", "v"), pairs).select("graph_id", "u", "v", "a", "through")
     assert sorted(map(tuple, motifs.all_four_cycles(e, v).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_components_contract(spark, monkeypatch):
+    """Edges within a component are not met again: a long chain and a star are done in one round, numbers falling or not."""
+    made = []
+    real = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: made.append(df) or real(df))
+    chain = [(k, k + 1) for k in range(40)]
+    e, v = edges_of(spark, chain=chain, star=[(0, k) for k in range(1, 30)], two=[(0, 5), (1, 3), (3, 5), (2, 4)]), nodes_of(spark, chain=41, star=30, two=7)
+    got = {(r.graph_id, r.id): r.component for r in components.connected_components(e, v).collect()}
+    assert all(got["chain", k] == 0 for k in range(41)) and all(got["star", k] == 0 for k in range(30))
+    assert [got["two", k] for k in range(7)] == [0, 0, 2, 0, 2, 0, 6]
+    assert sum({"src", "dst"} <= set(df.columns) for df in made) <= 3

@@ -214,3 +214,9 @@ def test_bootstrap_auc_over_ranges(spark, monkeypatch):
     assert got.boot_mean == pytest.approx(np.mean(auc)) and got.replicates == 20
     assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.quantile(auc, [0.025, 0.975])))
     assert resample.bootstrap_auc(df.filter("y = 1"), "y", "p", "id", 20, 2).first().boot_mean is None
+
+
+def test_average_ranks_of_values_that_differ_when_computed_again(spark):
+    drawn = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    ranked = summaries.avg_rank(spark.range(200).withColumn("v", drawn()), "v").collect()
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 201))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topoeval.functions.lineage import cut
 from topoeval.functions.ranges import running_sum
 from topoeval.functions.scalars import fixed_bin, quantile_bin
 
@@ -263,7 +264,11 @@ def best_per_key(df: DataFrame, keys: Sequence[str], *order: Column | str) -> Da
 
 
 def avg_rank(df: DataFrame, x: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Average ranks: values are counted first, and only distinct values are ordered, by ranges within a key."""
+    """Average ranks: values are counted first, and only distinct values are ordered, by ranges within a key.
+
+    Rows are written first: ranks find their rows by value, and a sum that is computed twice may differ in its last digits.
+    """
+    df = cut(df)
     counts = df.groupBy(*keys, x).agg(F.count("*").alias("__n"))
     upto = running_sum(counts, keys, [x], __c="__n")
     ranks = upto.withColumn(name, F.col("__c") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__n", "__c")

@@ -220,3 +220,31 @@ def test_average_ranks_of_values_that_differ_when_computed_again(spark):
     drawn = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
     ranked = summaries.avg_rank(spark.range(200).withColumn("v", drawn()), "v").collect()
     assert sorted(r["rank"] for r in ranked) == list(range(1, 201))
+
+
+def test_radius_graph_meets_only_crowded_points_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    at = np.concatenate([rng.normal(size=(150, 3)), 9 + 1e-3 * rng.normal(size=(30, 3)), np.zeros((12, 3))])
+    points = spark.createDataFrame([("g", k, v.tolist()) for k, v in enumerate(at)], "graph_id string, id long, embedding array<double>")
+    near, met, meet = (8, similarity.knn(points, 8)), [], similarity.top_pairs
+    monkeypatch.setattr(similarity, "top_pairs", lambda points, *rest: met.append(points.count()) or meet(points, *rest))
+    order = sorted((round(float(np.sqrt(((at[i] - at[j]) ** 2).sum())), 10), i, j) for i in range(len(at)) for j in range(i + 1, len(at)))
+    for budget in (40, 700):
+        edges, cutoff = similarity.radius_graph(points, budget, near=near)
+        assert {(r.src, r.dst) for r in edges.collect()} == {(i, j) for _, i, j in order[:budget]}
+        assert cutoff.first()["cutoff"] == pytest.approx(order[budget - 1][0], abs=1e-9)
+    assert len(met) == 2 and met[0] == 12 and met[1] < 150
+
+
+def test_constructor_controls_find_neighbours_once(spark, monkeypatch):
+    from topoeval.operators import bundles
+
+    rng = np.random.default_rng(3)
+    rows = [("g", k, v.tolist(), float(v[0]), float(v[1])) for k, v in enumerate(rng.normal(size=(60, 4)))]
+    points = spark.createDataFrame(rows, "graph_id string, id long, embedding array<double>, x double, y double")
+    base = spark.createDataFrame([("g", k, k + j) for k in range(60) for j in (1, 2) if k + j < 60], "graph_id string, src long, dst long")
+    calls, knn = [], similarity.knn
+    monkeypatch.setattr(similarity, "knn", lambda *a, **b: calls.append(a[1]) or knn(*a, **b))
+    made = {r["constructor"]: r["count"] for r in bundles.constructor_controls(points, base).groupBy("constructor").count().collect()}
+    assert set(made.values()) == {base.count()} and len(made) == 6
+    assert len(calls) == 1

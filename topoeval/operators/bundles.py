@@ -74,15 +74,17 @@ def mechanism_rows(conditions: dict[str, DataFrame], nodes: DataFrame) -> DataFr
 
 def constructor_controls(points: DataFrame, base: DataFrame, column: str = "embedding", seed: int = 0) -> DataFrame:
     """constructor, src, dst of one graph: mutual and plain kNN, radius, MST + kNN, random, degree-preserving, each with exactly
-    the base's number of edges (checked).
+    the base's number of edges (checked). Neighbours are found once for all of them.
     """
-    budget = base.count()
-    near = S.knn(points, max(8, -(-4 * budget // points.count())), column)
+    budget, n = base.count(), points.count()
+    few = max(8, -(-4 * budget // n))
+    k = max(few, *S.budget_steps(n, budget)[:3])
+    near = (k, cut(S.knn(points, k, column)))
     made = {
-        "mutual_knn": S.budgeted_knn(points, budget, True, column),
-        "knn": S.budgeted_knn(points, budget, False, column),
-        "radius": S.radius_graph(points, budget, column)[0],
-        "mst_knn": P.mst_knn(points, budget, near),
+        "mutual_knn": S.budgeted_knn(points, budget, True, column, near),
+        "knn": S.budgeted_knn(points, budget, False, column, near),
+        "radius": S.radius_graph(points, budget, column, near)[0],
+        "mst_knn": P.mst_knn(points, budget, near[1].filter(F.col("rank") <= few)),
         "random": random_edges(points, budget, seed),
         "degree_preserving": degree_preserving_swap(base, 0.9, seed),
     }

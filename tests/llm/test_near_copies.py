@@ -55,6 +55,27 @@ def test_by_hand(docs, case, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_hand(rows) and kept.columns == docs(rows).columns
 
 
+def test_pairs_of_a_large_group_grow_with_its_size(docs, monkeypatch):
+    r = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 161):  # half of them link with the base alone, the others with nothing
+        w = list(base)
+        for k in r.sample(range(4, 146, 6), 3 if i % 2 else 6):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w)))
+    made, confirmed = [], N._confirmed
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(N, "_confirmed", counted)
+    kept = N.drop_near_copies(docs(rows))
+    assert sorted(x.doc_id for x in kept.collect()) == kept_by_hand(rows) and len(kept_by_hand(rows)) == 81
+    assert sum(made) < 4 * len(rows), made
+
+
 def test_counts_and_prefixes(docs):
     texts = ["a b c d e f", "a b c d e f", "a b c d e g h", None, ""]
     counts = N.shingle_counts(docs([*enumerate(texts)]), "text")

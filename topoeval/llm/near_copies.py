@@ -8,10 +8,12 @@ the text); what shares a cell changes the cost only, never the result. Where two
 can have no more in common than what is left of the shorter rest (positional filter). Every candidate pair that counts is
 confirmed on the whole sets.
 
-Only components are wanted, so groups of more than SMALL sets with a shingle in common are first compared with one of
-their members (up to STARS times, another member each time, while that spares a tenth of the comparisons left or these are
-many); then all pairs of such a group that are not yet connected are compared. A group that shares most of its shingles
-without linking is compared at a cost that grows with its square.
+Members of a group with a shingle in common that can link with none of the sizes there by the positional filter leave it.
+Only components are wanted, so groups of more than SMALL sets are then compared with one of their members: first with
+the one that has the least share of rarer shingles before the common one (the text that near copies were made of, where it is
+there), then with others (up to STARS times, while that spares a tenth of the comparisons left or these are many);
+then all pairs of such a group that are not yet connected are compared. A group whose members could all link by the positional
+filter and do not is compared at a cost that grows with its square.
 """
 
 from __future__ import annotations
@@ -151,6 +153,16 @@ def _can_link(n: str, at: str, m: str, to: str, similar: Fraction) -> Column:
     return sizes & (left * (similar.numerator + similar.denominator) >= (F.col(n) + F.col(m)) * similar.numerator)
 
 
+def _reach(n: str, at: str, similar: Fraction) -> Column:
+    """Sets of m shingles can link with one of n that meets them at this place only if m * numerator is not more."""
+    return F.col(n) * similar.denominator - F.col(at) * (similar.numerator + similar.denominator)
+
+
+def _live(n: str, at: str, similar: Fraction) -> Column:
+    """Whether a set can link with any in a group of which ``low`` is the least size and ``high`` the greatest reach."""
+    return (_reach(n, at, similar) >= F.col("low") * similar.numerator) & (F.col("high") >= F.col(n) * similar.numerator)
+
+
 def sketch(own: np.ndarray) -> bytes:
     """How many shingles of a set fall into each of CELLS cells; all 255 if a cell has that many."""
     n = np.bincount((own.view(np.uint64) % CELLS).astype(np.int64), minlength=CELLS)
@@ -231,8 +243,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
 def _edges(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: Fraction) -> DataFrame:
     """Edges (a, b) on distinct sets with the same components as all links."""
     keyed = classes.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
-    sizes = written(keyed.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "shared-sizes")
-    shared = written(keyed.join(sizes, "token"), "shared-shingles")
+    bounds = [F.min("n").alias("low"), F.max(_reach("n", "at", similar)).alias("high")]
+    sizes = written(keyed.groupBy("token").agg(F.count("*").alias("size"), *bounds).filter("size > 1"), "shared-sizes")
+    live = keyed.join(sizes, "token").filter(_live("n", "at", similar)).drop("low", "high")
+    shared = written(live, "shared-shingles")
     discard(sizes)
     made = (classes, docs, id_col, text_col, width, similar)
 
@@ -249,16 +263,19 @@ def _edges(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     for k in range(STARS + 1):
         roots = components(edges).toDF("sid", "root")
         known = crowd.join(roots, "sid", "left").select("token", "sid", "n", "at", F.coalesce("root", "sid").alias("root"))
-        least = F.struct(F.xxhash64("sid", F.lit(k)).alias("hash"), "sid", "n", "at", "root")
-        parts = known.groupBy("token", "root").agg(F.count("*").cast("double").alias("size"), F.min(least).alias("star"))
+        rarer = F.col("at") / F.col("n") if k == 0 else F.lit(0.0)
+        least = F.struct(rarer.alias("rarer"), F.xxhash64("sid", F.lit(k)).alias("hash"), "sid", "n", "at", "root")
+        parts = known.groupBy("token", "root").agg(F.count("*").cast("double").alias("size"), F.min(least).alias("star"), *bounds)
         open_ = parts.groupBy("token").agg(
-            F.count("*").alias("roots"), F.sum("size").alias("size"), (F.pow(F.sum("size"), 2) - F.sum(F.pow("size", 2))).alias("pairs"), F.min("star").alias("star")
-        )
-        open_ = written(open_.filter("roots > 1").select("token", "size", "pairs", "star"), "near-open")
+            F.count("*").alias("roots"), F.sum("size").alias("size"), (F.pow(F.sum("size"), 2) - F.sum(F.pow("size", 2))).alias("pairs"),
+            F.min("star").alias("star"), F.min("low").alias("low"), F.max("high").alias("high"),
+        )
+        open_ = written(open_.filter("roots > 1").select("token", "size", "pairs", "star", "low", "high"), "near-open")
         members, pairs_left = open_.agg(F.sum("size"), F.sum("pairs") / 2).first()
         if members is None:
             break
-        known = written(known.join(open_.select("token", "star"), "token"), "near-known")
+        known = known.join(open_.select("token", "star", "low", "high"), "token").filter(_live("n", "at", similar))
+        known = written(known.drop("low", "high"), "near-known")
         discard(*before, open_)
         before = [known]
         crowd = known.select("token", "sid", "n", "at")

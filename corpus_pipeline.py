@@ -6,7 +6,8 @@ next one, so a lost executor costs a stage's tasks and no more.
 
 1. toxicity: documents that the classifier rejects go;
 2. line_dedup: lines that more than a ratio of their source's documents have go; documents stay;
-3. near_dedup: of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the least id stays;
+3. near_dedup: of each group of near copies (five-word shingles, Jaccard 0.8 or more; found by SimHash fingerprints, the rest by
+   prefixes) the document with the least id stays;
 4. decontaminate: documents with a passage of the benchmark go;
 5. bpe: token counts and digests of the encoded and decoded texts that are left.
 """

@@ -76,6 +76,22 @@ def test_pairs_of_a_large_group_grow_with_its_size(docs, monkeypatch):
     assert sum(made) < 4 * len(rows), made
 
 
+def test_stage_takes_its_first_pairs_from_fingerprints(spark, docs, monkeypatch):
+    w = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-1], "end"])), (3, " ".join([*w[:200], *w[:100]])), (4, " ".join(f"v{k}" for k in range(90)))]
+    found, confirmed = [], N._confirmed
+
+    def seen(pairs, *rest):
+        out = confirmed(pairs, *rest)
+        found.append((pairs.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(N, "_confirmed", seen)
+    kept = corpus_pipeline.dedup_near(spark, docs(rows), "")
+    assert sorted(x.doc_id for x in kept.collect()) == kept_by_hand(rows) == [1, 3, 4]
+    assert found[0] == (1, 1) and found[1][0] == 0  # prefixes bring nobody together again
+
+
 def test_counts_and_prefixes(docs):
     texts = ["a b c d e f", "a b c d e f", "a b c d e g h", None, ""]
     counts = N.shingle_counts(docs([*enumerate(texts)]), "text")

@@ -1,6 +1,8 @@
 """Near copies by exact similarity: texts link if their sets of five-word shingles have Jaccard 0.8 or more.
 
-Candidates come from prefix filtering, which loses no pair: in any one order of all shingles, two sets of n and m
+The first candidates are what SimHash fingerprints of these shingles link by pigeonring filtering (see simhash.py), confirmed
+on the whole sets. Fingerprints miss most sets of Jaccard 0.8, so what they have not connected goes by
+prefix filtering, which loses no pair: in any one order of all shingles, two sets of n and m
 shingles with Jaccard of at least t have a shingle in common among the first n - ceil(t n) + 1 of the one
 and the first m - ceil(t m) + 1 of the other. The order is by how many texts have a shingle, as counted over all texts in
 TALLY cells by hash, then by hash (so a passage that several texts share brings nobody together unless it is most of
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topoeval.llm.common import discard, slices, texts, written
-from topoeval.llm.simhash import SALTS, components, labelled, keep_least, shingle_hashes
+from topoeval.llm.simhash import SALTS, components, labelled, keep_least, links, majority, shingle_hashes
 
 SHINGLE = 5
 SIMILAR = Fraction(4, 5)
@@ -50,7 +52,10 @@ TALLY, PIECE = 1 << 22, 1 << 16
 
 def shingle_set(text: str, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words none."""
-    parts = list(shingle_hashes(text, width))
+    return _distinct(list(shingle_hashes(text, width)))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
@@ -100,23 +105,26 @@ def shingle_counts(docs: DataFrame, text_col: str, width: int = SHINGLE) -> np.n
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int, similar: Fraction) -> DataFrame:
-    """doc_id, sid (64-bit hash of the shingle set), n (its size), prefix and sketch of every row."""
+    """doc_id, sid (64-bit hash of the shingle set), n (its size), fp (SimHash), prefix and sketch of every row."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sids, sizes, prefixes, sketches = [], [], [], []
+            sids, sizes, fps, prefixes, sketches = [], [], [], [], []
             for x in texts(b):
-                own = shingle_set(x, width)
+                hashes = list(shingle_hashes(x, width))
+                own = _distinct(hashes)
+                fps.append(majority(hashes))
                 sids.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True))
                 sizes.append(len(own))
                 prefixes.append(prefix(own, counts.value, similar).view(np.int64))
                 sketches.append(sketch(own))
-            cols = [b.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sid", "n", "prefix", "sketch"])
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            cols = [b.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), fp, pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sid", "n", "fp", "prefix", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, sid long, n long, prefix array<long>, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, sid long, n long, fp long, prefix array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -240,6 +248,18 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     return found
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that the fingerprints bring together: sets of one fingerprint with the least of them, and the least
+    sets of two fingerprints that simhash.links joins.
+    """
+    sets = classes.select("sid", "fp", "n")
+    least = F.min(F.struct("sid", "n"))
+    first = written(sets.groupBy("fp").agg(least.alias("s")).select("fp", F.col("s.sid").alias("a"), F.col("s.n").alias("n")), "near-fingerprints")
+    same = sets.select("fp", F.col("sid").alias("b"), F.col("n").alias("m")).join(first, "fp").filter("a < b")
+    near = links(first.select("fp")).toDF("fp", "to").join(first, "fp").join(first.toDF("to", "b", "m"), "to")
+    return same.select("a", "n", "b", "m").unionByName(near.select(F.least("a", "b").alias("a"), "n", F.greatest("a", "b").alias("b"), "m"))
+
+
 def _edges(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: Fraction) -> DataFrame:
     """Edges (a, b) on distinct sets with the same components as all links."""
     keyed = classes.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
@@ -250,10 +270,13 @@ def _edges(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     discard(sizes)
     made = (classes, docs, id_col, text_col, width, similar)
 
+    near = _by_fingerprint(classes).filter(F.least("n", "m") * similar.denominator >= F.greatest("n", "m") * similar.numerator)
+    alike = _confirmed(near.select("a", "b"), *made)
+
     few = shared.filter(F.col("size") <= SMALL).select("token", F.col("sid").alias("a"), "n", "at")
     more = few.toDF("token", "b", "m", "to")
     pairs = few.join(more, "token").filter((F.col("a") < F.col("b")) & _can_link("n", "at", "m", "to", similar))
-    edges = _confirmed(pairs.select("a", "b"), *made)
+    edges = written(alike.union(_confirmed(pairs.select("a", "b").join(alike, ["a", "b"], "left_anti"), *made)), "near-edges")
 
     # tables are written, not checkpointed: a checkpoint keeps its plan's constraints, which grow from round to round
     crowd = shared.filter(F.col("size") > SMALL).select("token", "sid", "n", "at")
@@ -311,6 +334,7 @@ def near_copies(
         F.min("doc_id").alias("least"),
         F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"),
         F.first("n").alias("n"),
+        F.min("fp").alias("fp"),  # texts that repeat other shingles of a set have others
         F.first("prefix").alias("prefix"),
         F.first("sketch").alias("sketch"),
     )

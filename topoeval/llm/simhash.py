@@ -22,7 +22,7 @@ Nothing is capped: every pair of the bucket that is not yet connected is still c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,13 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str, width: int = SHINGLE) -> int:
     """64-bit SimHash; 0 for a text without words."""
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have, 0 if there are none."""
     ones, n = np.zeros(64, dtype=np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])

@@ -235,6 +235,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = written(_met(pairs.distinct(), classes, "sketch").mapInArrow(run, "a long, b long"), "near-pairs")
+    if left.isEmpty():
+        return left
     ends = left.select(F.col("a").alias("sid")).union(left.select("b")).distinct()
     wanted = ends.join(classes.select("sid", F.col("least").alias("doc_id")), "sid")
     sets = written(_sets(docs, id_col, text_col, wanted, width), "shingle-sets")
@@ -260,8 +262,8 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return same.select("a", "n", "b", "m").unionByName(near.select(F.least("a", "b").alias("a"), "n", F.greatest("a", "b").alias("b"), "m"))
 
 
-def _edges(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: Fraction) -> DataFrame:
-    """Edges (a, b) on distinct sets with the same components as all links."""
+def _roots(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similar: Fraction) -> DataFrame:
+    """(node, root) of the distinct sets with links: the components of all links. They are found anew only if a round has links."""
     keyed = classes.select("sid", "n", F.posexplode("prefix").alias("at", "token"))
     bounds = [F.min("n").alias("low"), F.max(_reach("n", "at", similar)).alias("high")]
     sizes = written(keyed.groupBy("token").agg(F.count("*").alias("size"), *bounds).filter("size > 1"), "shared-sizes")
@@ -280,12 +282,12 @@ def _edges(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
 
     # tables are written, not checkpointed: a checkpoint keeps its plan's constraints, which grow from round to round
     crowd = shared.filter(F.col("size") > SMALL).select("token", "sid", "n", "at")
+    roots = components(edges)
     if crowd.isEmpty():
-        return edges
+        return roots
     left, before = None, [shared]
     for k in range(STARS + 1):
-        roots = components(edges).toDF("sid", "root")
-        known = crowd.join(roots, "sid", "left").select("token", "sid", "n", "at", F.coalesce("root", "sid").alias("root"))
+        known = crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "at", F.coalesce("root", "sid").alias("root"))
         rarer = F.col("at") / F.col("n") if k == 0 else F.lit(0.0)
         least = F.struct(rarer.alias("rarer"), F.xxhash64("sid", F.lit(k)).alias("hash"), "sid", "n", "at", "root")
         parts = known.groupBy("token", "root").agg(F.count("*").cast("double").alias("size"), F.min(least).alias("star"), *bounds)
@@ -313,12 +315,14 @@ def _edges(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
             one = known.select("token", F.col("sid").alias("a"), "n", "at", F.col("root").alias("r"))
             two = known.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), "root")
             pairs = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.col("r") != F.col("root")) & _can_link("n", "at", "m", "to", similar))
-        links = _confirmed(pairs.select("a", "b"), *made)
-        edges, old = written(edges.union(links), "near-edges"), [edges, links]
-        discard(*old)
+        found = _confirmed(pairs.select("a", "b"), *made)
+        if not found.isEmpty():
+            edges, old = written(edges.union(found), "near-edges"), [edges, found]
+            roots = components(edges)
+            discard(*old)
         if not stars:
             break
-    return edges
+    return roots
 
 
 def near_copies(
@@ -339,7 +343,7 @@ def near_copies(
         F.first("sketch").alias("sketch"),
     )
     classes = written(classes, "shingle-classes")
-    roots = components(_edges(classes, docs, id_col, text_col, width, similar))
+    roots = _roots(classes, docs, id_col, text_col, width, similar)
     return labelled(rows.select("doc_id", "sid"), classes.select("sid", "least", "salts"), roots, "sid").select("doc_id", "component_id")
 
 

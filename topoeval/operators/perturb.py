@@ -81,30 +81,30 @@ def degree_preserving_swap(canonical: DataFrame, fraction: float, seed: int = 0,
             return edges.select(KEY)
         k += 1
         draw = lambda *parts: stable_uniform(F.lit(seed), F.lit(k), *parts)
-        dealt = edges.join(need, "graph_id").withColumn("u", draw("src", "dst"))
+        dealt = edges.join(need, "graph_id").withColumns({"u": draw("src", "dst"), "turn": draw(F.lit("turn"), "src", "dst") < 0.5})
         dealt = dealt.withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("m") / BUCKET)))
         order = Window.partitionBy("graph_id", "bucket").orderBy("u", "src", "dst")
         nxt = {n: F.lead(c).over(order) for n, c in (("c", "src"), ("d", "dst"), ("old2", "old"))}
         two = dealt.withColumns({"r": F.row_number().over(order), **nxt}).filter("r % 2 = 1 and c is not null and (old or old2)")
-        turn = draw(F.lit("turn"), "src", "dst") < 0.5
-        two = two.withColumns({"a": F.when(turn, F.col("dst")).otherwise(F.col("src")), "b": F.when(turn, F.col("src")).otherwise(F.col("dst"))})
+        two = two.withColumns({"a": F.when(F.col("turn"), F.col("dst")).otherwise(F.col("src")), "b": F.when(F.col("turn"), F.col("src")).otherwise(F.col("dst"))})
         two = two.filter("a != d and c != b").withColumn("gain", F.col("old").cast("int") + F.col("old2").cast("int"))
-        pair = F.struct("bucket", "r").alias("pair")
-        new = lambda x, y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
-        made = two.select("graph_id", pair, F.explode(F.array(new("a", "d"), new("c", "b"))).alias("e")).select("pair", "graph_id", "e.src", "e.dst")
+        # a swap goes with its new edges as plain numbers, so that it need not be joined to them again
+        swap = ["bucket", "r", "gain", "a", "b", "c", "d"]
+        ordered = lambda x, y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
+        new = F.explode(F.array(ordered("a", "d"), ordered("c", "b"))).alias("e")
+        made = two.select("graph_id", *swap, new).select("graph_id", *swap, "e.src", "e.dst")
         # an edge that stands alone is neither there already nor made twice
-        alone = made.unionByName(edges.select(F.lit(None).cast(made.schema["pair"].dataType).alias("pair"), *KEY))
-        alone = alone.groupBy(KEY).agg(F.count("*").alias("n"), F.max("pair").alias("pair")).filter("n = 1 and pair is not null")
-        good = alone.groupBy("graph_id", "pair").agg(F.count("*").alias("n"), F.collect_list(F.struct("src", "dst")).alias("made")).filter("n = 2")
-        good = cut(good.select("graph_id", "pair", "made").join(two.select("graph_id", pair, "u", "gain", F.array(F.struct("src", "dst"), F.struct(F.col("c").alias("src"), F.col("d").alias("dst"))).alias("used")), ["graph_id", "pair"]))
+        alone = made.unionByName(edges.join(need.select("graph_id"), "graph_id").select(KEY), allowMissingColumns=True)
+        alone = alone.groupBy(KEY).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in swap]).filter("n = 1 and r is not null")
+        good = cut(alone.groupBy("graph_id", *swap).agg(F.count("*").alias("n")).filter("n = 2").drop("n"))
         total = good.groupBy("graph_id").agg(F.sum("gain").alias("total"))
-        taken = good.join(total.join(need, "graph_id"), "graph_id").filter(draw(F.lit("take"), "graph_id", "pair.bucket", "pair.r") * F.col("total") < F.col("left"))
-        taken = cut(taken.select("graph_id", "made", "used"))
+        taken = good.join(total.join(need, "graph_id"), "graph_id").filter(draw(F.lit("take"), "graph_id", "bucket", "r") * F.col("total") < F.col("left"))
+        taken = cut(taken.select("graph_id", "a", "b", "c", "d"))
         idle = idle + 1 if taken.isEmpty() else 0
         if idle >= max_idle:
             raise ValueError("no more swaps are found")
-        used = taken.select("graph_id", F.explode("used").alias("e")).select("graph_id", "e.src", "e.dst")
-        put = taken.select("graph_id", F.explode("made").alias("e")).select("graph_id", "e.src", "e.dst")
+        used = taken.select("graph_id", F.explode(F.array(ordered("a", "b"), ordered("c", "d"))).alias("e")).select("graph_id", "e.src", "e.dst")
+        put = taken.select("graph_id", new).select("graph_id", "e.src", "e.dst")
         put = put.join(start.withColumn("old", F.lit(True)), KEY, "left").na.fill(False, ["old"])
         edges = cut(edges.join(used, KEY, "left_anti").unionByName(put))
 

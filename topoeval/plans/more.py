@@ -559,6 +559,7 @@ def _(s, d):
 @query("swap_invariants", f"WITH {SQL_EDGES} SELECT graph_id, count(*) AS n_edges, count(*) AS n_distinct, true AS same_degrees, true AS enough FROM e GROUP BY 1")
 def _(s, d):
     e, n = _en(s, d)
+    e = cut(e)
     out = cut(perturb.degree_preserving_swap(e, 0.2, 3))
     size = out.groupBy("graph_id").agg(F.count("*").alias("n_edges"), F.count_distinct("src", "dst").alias("n_distinct"))
     same = graph.same_degree_sequence(e, out, n).withColumnRenamed("same", "same_degrees")
@@ -569,6 +570,7 @@ def _(s, d):
 @query("random_rewire_counts", f"WITH {SQL_EDGES}, m AS (SELECT graph_id, count(*) AS m, floor(count(*) * 0.1 + 0.5)::BIGINT AS k FROM e GROUP BY 1) SELECT graph_id, m AS n_clean, m AS n_observed, m - k AS n_both FROM m")
 def _(s, d):
     e, n = _en(s, d)
+    e = cut(e)
     out = perturb.perturb(e, n.select("graph_id", "id", F.col("part").alias("label")), "random", 0.1, 5)
     return graph.edge_set_diff(e, out).select("graph_id", "n_clean", "n_observed", "n_both")
 

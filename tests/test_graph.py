@@ -315,3 +315,12 @@ def test_swaps_start_from_written_edges(spark):
     for name in ("degree_preserving_swap", "swap_invariants", "random_rewire_counts"):
         out = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
         assert out.inputFiles() and not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_no_node_or_edge_table_goes_through_the_driver(spark, three):
+    """Joins by node or edge are shuffled even where both sides look small: a round of them would send each through the driver."""
+    edges, nodes = three
+    weighted = graph.both_ways(edges).withColumn("weight", F.lit(1.0))
+    for out in (motifs.balanced_forman(edges, nodes), linalg.spmv(weighted, nodes.select("graph_id", "id", F.lit(1.0).alias("x"))), graph.degrees(edges, nodes)):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Broadcast" not in text

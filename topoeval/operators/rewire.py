@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoeval.functions.joins import shuffled
 from topoeval.functions.lineage import cut
 from topoeval.functions.ranges import ranked
 from topoeval.functions.scalars import cosine, gumbel_key, minmax_scaled
@@ -102,14 +103,14 @@ def _curvature_gains(worst: DataFrame, pairs: DataFrame, deg: DataFrame) -> Data
     key = ["graph_id", "u", "v"]
     turned = worst.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"))
     ends = cut(four_cycles(worst.select(*key).union(turned), pairs))
-    sides = worst.join(square_sides(ends), key, "left").na.fill(0, ["su", "sv", "gamma"])
-    sides = sides.join(deg.toDF("graph_id", "u", "du"), ["graph_id", "u"]).join(deg.toDF("graph_id", "v", "dv"), ["graph_id", "v"])
-    out = sides.join(pairs.toDF("graph_id", "u", "a"), ["graph_id", "u"]).join(pairs.toDF("graph_id", "v", "b"), ["graph_id", "v"])
+    sides = worst.join(shuffled(square_sides(ends)), key, "left").na.fill(0, ["su", "sv", "gamma"])
+    sides = sides.join(shuffled(deg.toDF("graph_id", "u", "du")), ["graph_id", "u"]).join(shuffled(deg.toDF("graph_id", "v", "dv")), ["graph_id", "v"])
+    out = sides.join(shuffled(pairs.toDF("graph_id", "u", "a")), ["graph_id", "u"]).join(shuffled(pairs.toDF("graph_id", "v", "b")), ["graph_id", "v"])
     out = out.filter("a != b and a != v and b != u").withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")})
-    out = out.join(pairs, KEY, "left_anti")
-    beside = lambda x, y, name: pairs.select("graph_id", F.col("src").alias(x), F.col("dst").alias(y), F.lit(True).alias(name))
+    out = out.join(shuffled(pairs), KEY, "left_anti")
+    beside = lambda x, y, name: shuffled(pairs.select("graph_id", F.col("src").alias(x), F.col("dst").alias(y), F.lit(True).alias(name)))
     out = out.join(beside("v", "a", "av"), ["graph_id", "v", "a"], "left").join(beside("u", "b", "bu"), ["graph_id", "u", "b"], "left")
-    out = out.join(ends.toDF(*key, "a", "ta"), [*key, "a"], "left").join(ends.toDF("graph_id", "v", "u", "b", "tb"), [*key, "b"], "left")
+    out = out.join(shuffled(ends.toDF(*key, "a", "ta")), [*key, "a"], "left").join(shuffled(ends.toDF("graph_id", "v", "u", "b", "tb")), [*key, "b"], "left")
     out = out.na.fill(False, ["av", "bu"]).na.fill(0, ["ta", "tb"])
     gamma = F.greatest("gamma", F.col("ta") + 1, F.col("tb") + 1)
     s = F.col("su") + F.col("sv")
@@ -140,11 +141,10 @@ def curvature_rewire(
     while not done.filter("done < target").isEmpty():
         k += 1
         curved = cut(balanced_forman(edges, nodes).join(done.filter("done < target"), "graph_id"))
-        order = Window.partitionBy("graph_id").orderBy(F.round("curvature", 10), "src", "dst")
-        worst = curved.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.least("batch", F.col("target") - F.col("done")))
+        worst = ranked(curved, ["graph_id"], [F.round("curvature", 10), F.col("src"), F.col("dst")], "r").filter(F.col("r") <= F.least("batch", F.col("target") - F.col("done")))
         ends = worst.select("graph_id", "r", F.explode(F.array("src", "dst")).alias("id"))
         clash = ends.withColumn("first", F.min("r").over(Window.partitionBy("graph_id", "id"))).filter("r != first").select("graph_id", "r").distinct()
-        worst = cut(worst.join(clash, ["graph_id", "r"], "left_anti").select("graph_id", "r", F.col("src").alias("u"), F.col("dst").alias("v")))
+        worst = cut(worst.join(shuffled(clash), ["graph_id", "r"], "left_anti").select("graph_id", "r", F.col("src").alias("u"), F.col("dst").alias("v")))
         near = cut(both_ways(edges))
         deg = near.groupBy("graph_id", F.col("src").alias("id")).agg(F.count("*").alias("d"))
         pairs = _curvature_gains(worst, near, deg)
@@ -158,7 +158,7 @@ def curvature_rewire(
         if remove_above is not None:
             top = Window.partitionBy("graph_id").orderBy(F.round("curvature", 10).desc(), "src", "dst")
             gone = curved.filter(F.col("curvature") > remove_above).withColumn("r", F.row_number().over(top)).join(added, "graph_id").filter("r <= more")
-            edges_next = edges_next.join(gone.select(KEY), KEY, "left_anti")
+            edges_next = edges_next.join(shuffled(gone.select(KEY)), KEY, "left_anti")
         edges = cut(edges_next)
         now = F.when(F.col("more").isNull(), F.col("target")).otherwise(F.col("done") + F.col("more")).alias("done")
         done = cut(done.join(added, "graph_id", "left").select("graph_id", "target", "batch", now))

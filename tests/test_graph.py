@@ -324,3 +324,16 @@ def test_no_node_or_edge_table_goes_through_the_driver(spark, three):
     for out in (motifs.balanced_forman(edges, nodes), linalg.spmv(weighted, nodes.select("graph_id", "id", F.lit(1.0).alias("x"))), graph.degrees(edges, nodes)):
         text = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_knn_of_the_plane(spark):
+    """Every neighbour is that of all pairs, in skewed sets over several tiles, with copies and outliers, and few pairs are looked at."""
+    rng = np.random.default_rng(5)
+    sets = {"even": rng.uniform(0, 1, (900, 2)), "skewed": np.exp(rng.normal(0, 2, (700, 2))), "copies": np.repeat(rng.normal(0, 1, (110, 2)), 5, axis=0), "two": np.array([[0.0, 0.0], [3.0, 4.0]])}
+    rows = [(g, 10 * i, float(x), float(y)) for g, v in sets.items() for i, (x, y) in enumerate(v)]
+    got = similarity.knn_plane(spark.createDataFrame(rows, "graph_id string, id long, x double, y double"), 3).collect()
+    for g, v in sets.items():
+        d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 10)
+        np.fill_diagonal(d, np.inf)
+        want = {(10 * i, r + 1): (10 * int(j), d[i, j]) for i in range(len(v)) for r, j in enumerate(np.lexsort((np.arange(len(v)), d[i]))[: min(3, len(v) - 1)])}
+        assert {(r.id, r["rank"]): (r.neighbor, r.distance) for r in got if r.graph_id == g} == want

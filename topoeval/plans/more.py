@@ -477,7 +477,7 @@ def _(s, d):
 @query("knn_of_projection", f"""WITH {SQL_SIMS}, dd AS (SELECT x.id AS id, y.id AS neighbor, round(list_distance(x.a[1:2], y.a[1:2]), 10) AS distance FROM v x JOIN v y ON x.id != y.id)
 SELECT 'all' AS graph_id, id, neighbor, round(distance, 6) AS distance, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS r FROM dd) WHERE r <= 3""")
 def _(s, d):
-    return r6(similarity.knn(V.vectors(s, d).withColumn("two", F.slice("embedding", 1, 2)), 3, "two"), "distance")
+    return r6(similarity.knn_plane(V.plane(s, d).withColumn("graph_id", F.lit("all")), 3), "distance")
 
 
 @query("blend_edges", f"""WITH {SQL_EDGES}, a AS (SELECT src, dst, 1.0 AS w FROM e WHERE graph_id = 'A'), r AS (SELECT src, dst, 0.5 AS w FROM e WHERE graph_id = 'R')

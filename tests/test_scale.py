@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from topoeval.operators import components
+from topoeval.operators import components, rewire
 
 
 def ring(spark, n, graph="ring"):
@@ -27,3 +27,12 @@ def test_distances_of_long_rings(spark, monkeypatch, small):
     assert small == 0 or len(tables) < 10  # no round for every hop
     near = components.bfs_distances(e, v.filter("id = 3"), 2)
     assert sorted((r.id, r.hops) for r in near.collect()) == [(1, 2), (2, 1), (3, 0), (4, 1), (5, 2)]
+
+
+def test_ties_of_curvature_leave_many_edges_a_round(spark):
+    n = 200
+    e = spark.range(n).select(F.lit("all").alias("graph_id"), F.col("id").alias("src"), F.explode(F.array(*[F.col("id") + k for k in (1, 2, 3, 4)])).alias("dst")).filter(F.col("dst") < n)
+    shots = rewire.curvature_rewire(e, spark.range(n).select(F.lit("all").alias("graph_id"), "id"), 0.04, batch=16, remove_above=0.5)
+    sizes = {r["round"]: r["count"] for r in shots.groupBy("round").count().collect()}
+    assert max(sizes) <= 3  # 8 edges come; one a round where edges in a row win
+    assert set(sizes.values()) == {e.count()} and shots.filter("src >= dst").isEmpty()

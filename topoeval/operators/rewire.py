@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topoeval.functions.joins import shuffled
 from topoeval.functions.lineage import cut
 from topoeval.functions.ranges import ranked
-from topoeval.functions.scalars import cosine, gumbel_key, minmax_scaled
+from topoeval.functions.scalars import cosine, gumbel_key, minmax_scaled, stable_uniform
 from topoeval.operators.graph import both_ways
 from topoeval.operators.similarity import top_pairs
 
@@ -17,7 +17,7 @@ KEY = ["graph_id", "src", "dst"]
 
 def _with_vectors(edges: DataFrame, points: DataFrame, column: str) -> DataFrame:
     v = points.select("graph_id", "id", column)
-    out = edges.join(v.toDF("graph_id", "src", "va"), ["graph_id", "src"]).join(v.toDF("graph_id", "dst", "vb"), ["graph_id", "dst"])
+    out = edges.join(shuffled(v.toDF("graph_id", "src", "va")), ["graph_id", "src"]).join(shuffled(v.toDF("graph_id", "dst", "vb")), ["graph_id", "dst"])
     return out.withColumn("sim", F.round(cosine("va", "vb"), 10)).drop("va", "vb")
 
 
@@ -125,8 +125,8 @@ def curvature_rewire(
     canonical: DataFrame, nodes: DataFrame, ratio: float, batch: int | None = None, temperature: float = 5.0, remove_above: float | None = None, seed: int = 0
 ) -> DataFrame:
     """graph_id, round, src, dst: snapshots after each round. A round takes each graph's ``batch`` (a hundredth of its edges,
-    8 at least, if not given) most negative edges, no two of which share a node, and for each draws one new edge between the
-    neighbours of its ends by a softmax of temperature * the change in that edge's curvature; edges above ``remove_above``
+    8 at least, if not given) most negative edges (ties: by hash, for edges in a row would share nodes), no two of which share
+    a node, and for each draws one new edge between the neighbours of its ends by a softmax of temperature * the change in that edge's curvature; edges above ``remove_above``
     go, one per added edge. Stops at round(ratio * nodes) additions, or where no edge of a batch has a free pair. Batched
     rounds follow the sequential rule's choice for each edge, but not its sequence.
     """
@@ -141,7 +141,8 @@ def curvature_rewire(
     while not done.filter("done < target").isEmpty():
         k += 1
         curved = cut(balanced_forman(edges, nodes).join(done.filter("done < target"), "graph_id"))
-        worst = ranked(curved, ["graph_id"], [F.round("curvature", 10), F.col("src"), F.col("dst")], "r").filter(F.col("r") <= F.least("batch", F.col("target") - F.col("done")))
+        by = [F.round("curvature", 10), stable_uniform(F.lit(seed), F.lit(k), "src", "dst"), F.col("src"), F.col("dst")]
+        worst = ranked(curved, ["graph_id"], by, "r").filter(F.col("r") <= F.least("batch", F.col("target") - F.col("done")))
         ends = worst.select("graph_id", "r", F.explode(F.array("src", "dst")).alias("id"))
         clash = ends.withColumn("first", F.min("r").over(Window.partitionBy("graph_id", "id"))).filter("r != first").select("graph_id", "r").distinct()
         worst = cut(worst.join(shuffled(clash), ["graph_id", "r"], "left_anti").select("graph_id", "r", F.col("src").alias("u"), F.col("dst").alias("v")))
@@ -156,8 +157,8 @@ def curvature_rewire(
             break
         edges_next = edges.union(new)
         if remove_above is not None:
-            top = Window.partitionBy("graph_id").orderBy(F.round("curvature", 10).desc(), "src", "dst")
-            gone = curved.filter(F.col("curvature") > remove_above).withColumn("r", F.row_number().over(top)).join(added, "graph_id").filter("r <= more")
+            top = [F.round("curvature", 10).desc(), F.col("src"), F.col("dst")]
+            gone = ranked(curved.filter(F.col("curvature") > remove_above), ["graph_id"], top, "r").join(added, "graph_id").filter("r <= more")
             edges_next = edges_next.join(shuffled(gone.select(KEY)), KEY, "left_anti")
         edges = cut(edges_next)
         now = F.when(F.col("more").isNull(), F.col("target")).otherwise(F.col("done") + F.col("more")).alias("done")

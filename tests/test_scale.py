@@ -36,3 +36,20 @@ def test_ties_of_curvature_leave_many_edges_a_round(spark):
     sizes = {r["round"]: r["count"] for r in shots.groupBy("round").count().collect()}
     assert max(sizes) <= 3  # 8 edges come; one a round where edges in a row win
     assert set(sizes.values()) == {e.count()} and shots.filter("src >= dst").isEmpty()
+
+
+def test_the_choice_of_a_regularisation_is_one(spark, monkeypatch):
+    from topoeval.operators import evaluate
+    from topoeval.plans import catalogue
+
+    asked = []
+    monkeypatch.setattr(evaluate, "evaluate_topology", lambda *args, **options: asked.append((args, options)) or spark.range(1).select(F.lit(0.5).alias("accuracy"), F.lit(0.5).alias("macro_f1")))
+    points = spark.range(12).select(F.lit("all").alias("graph_id"), "id", F.array(*[F.rand(k) for k in range(3)]).alias("embedding"), F.lit(0).alias("label"))
+    monkeypatch.setattr(catalogue.V, "vectors", lambda s, d: points)
+    catalogue.queries()["evaluate_topology"](spark, "")
+    (args, options), = asked
+    assert len(args) < 5 and "regs" not in options  # the default grid
+    monkeypatch.undo()
+    assert len(set(evaluate.evaluate_topology.__defaults__[1])) > 1
+    with pytest.raises(ValueError, match="two"):
+        evaluate.evaluate_topology(points, points, 3, regs=(0.1,))

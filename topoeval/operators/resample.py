@@ -188,7 +188,10 @@ def direction_stability(df: DataFrame, cluster: str, metrics: Sequence[str], tar
     long = cut(long_metrics(df.filter(F.col(cluster).isNotNull()), [cluster, target], metrics))
     names = cut(ranked(long.select(cluster).distinct(), [], [cluster], "__i"))
     drawn = _draws(names.agg(F.max("__i").alias("n")), replicates, seed).join(names, "__i").select("rep", cluster)
-    reps = cut(safe_correlation(drawn.join(long, cluster), ["metric", "rep"], "value", target).select("metric", "rep", F.col("spearman").alias("rho")))
+    # a row for each cluster: whichever side is sent round, it is not a replicate of the rows
+    held = drawn.groupBy(cluster).agg(F.collect_list("rep").alias("reps"))
+    met = long.join(held, cluster).withColumn("rep", F.explode("reps")).drop("reps")
+    reps = cut(safe_correlation(met, ["metric", "rep"], "value", target).select("metric", "rep", F.col("spearman").alias("rho")))
     full = safe_correlation(long, ["metric"], "value", target).select("metric", "spearman")
     cuts = quantiles(reps, "rho", [0.025, 0.975], ["metric"])
     share = reps.join(full, "metric").groupBy("metric", "spearman").agg(F.avg((F.signum("rho") == F.signum("spearman")).cast("double")).alias("sign_stability"))

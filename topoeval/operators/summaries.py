@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topoeval.functions.joins import shuffled
 from topoeval.functions.lineage import cut
 from topoeval.functions.ranges import running_sum
 from topoeval.functions.scalars import fixed_bin, quantile_bin
@@ -272,7 +273,7 @@ def avg_rank(df: DataFrame, x: str, keys: Sequence[str] = (), name: str = "rank"
     counts = df.groupBy(*keys, x).agg(F.count("*").alias("__n"))
     upto = running_sum(counts, keys, [x], __c="__n")
     ranks = upto.withColumn(name, F.col("__c") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__n", "__c")
-    return df.join(ranks, [*keys, x])
+    return df.join(shuffled(ranks), [*keys, x])
 
 
 def holm_adjust(df: DataFrame, p: str = "p", keys: Sequence[str] = (), name: str = "p_holm") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from topoeval.operators import components, rewire
+from topoeval.operators import components, graph, rewire, summaries
 
 
 def ring(spark, n, graph="ring"):
@@ -53,3 +55,20 @@ def test_the_choice_of_a_regularisation_is_one(spark, monkeypatch):
     assert len(set(evaluate.evaluate_topology.__defaults__[1])) > 1
     with pytest.raises(ValueError, match="two"):
         evaluate.evaluate_topology(points, points, 3, regs=(0.1,))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_node_tables_are_shuffled(spark):
+    e, v = ring(spark, 40)
+    v = v.withColumns({"label": F.lit(1), "part": F.col("id") % 3})
+    for df in (graph.normalize_graph(e, v)[1], graph.cut_metrics(e, v), graph.modularity(e, v), graph.edge_homophily(e, v), graph.normalized_edges(e, v)):
+        assert not re.search(r"BroadcastHashJoin \[[^\]]*\b(id|src|dst)#", plan(df)), plan(df)
+
+
+def test_replicates_are_not_broadcast(spark):
+    rows = spark.range(60).select((F.col("id") % 5).alias("c"), (F.col("id") * 7 % 60).cast("double").alias("m"), (F.col("id") % 2).cast("double").alias("y"))
+    df = summaries.avg_rank(rows, "m", ["c"])
+    assert re.search(r"SortMergeJoin \[c#\w+, [^\]]*m#", plan(df)) and df.count() == 60

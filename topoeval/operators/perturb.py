@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topoeval.functions.joins import shuffled
 from topoeval.functions.lineage import cut
 from topoeval.functions.ranges import numbers, ranked, with_count
 from topoeval.functions.scalars import stable_seed, stable_uniform
@@ -43,9 +44,9 @@ def _random_pairs(nodes: DataFrame, wanted: DataFrame, avoid: DataFrame, seed: i
         pick = lambda side: F.pmod(stable_seed(F.lit(seed), F.lit(k), F.lit(side), "graph_id", "i"), F.col("n")) + 1
         draws = draws.withColumns({"ka": pick(0), "kb": pick(1)}).filter("ka != kb")
         a, b = ids.select("graph_id", F.col("k").alias("ka"), F.col("id").alias("a")), ids.select("graph_id", F.col("k").alias("kb"), F.col("id").alias("b"))
-        pairs = draws.join(a, ["graph_id", "ka"]).join(b, ["graph_id", "kb"])
+        pairs = draws.join(shuffled(a), ["graph_id", "ka"]).join(shuffled(b), ["graph_id", "kb"])
         pairs = pairs.groupBy("graph_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "need").agg(F.min("i").alias("i"))
-        pairs = pairs.join(avoid.select(KEY), KEY, "left_anti").join(got, KEY, "left_anti")
+        pairs = pairs.join(shuffled(avoid.select(KEY)), KEY, "left_anti").join(shuffled(got), KEY, "left_anti")
         if keep is not None:
             pairs = keep(pairs)
         got = cut(got.union(ranked(pairs, ["graph_id"], ["i"], "r").filter("r <= need").select(KEY)))
@@ -121,11 +122,11 @@ def homophily_attack(canonical: DataFrame, nodes: DataFrame, fraction: float, se
     names = nodes.select("graph_id", "id", "label")
 
     def across(pairs: DataFrame) -> DataFrame:
-        out = pairs.join(names.toDF("graph_id", "src", "la"), ["graph_id", "src"]).join(names.toDF("graph_id", "dst", "lb"), ["graph_id", "dst"])
+        out = pairs.join(shuffled(names.toDF("graph_id", "src", "la")), ["graph_id", "src"]).join(shuffled(names.toDF("graph_id", "dst", "lb")), ["graph_id", "dst"])
         return out.filter("la != lb")
 
     new = _random_pairs(nodes, wanted, canonical, seed + 1, across)
-    return canonical.select(KEY).join(gone, KEY, "left_anti").withColumn("added", F.lit(False)).union(new.withColumn("added", F.lit(True)))
+    return canonical.select(KEY).join(shuffled(gone), KEY, "left_anti").withColumn("added", F.lit(False)).union(new.withColumn("added", F.lit(True)))
 
 
 def homophily_attack_removed(canonical: DataFrame, nodes: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

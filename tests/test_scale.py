@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,35 @@ def test_replicates_are_not_broadcast(spark):
     rows = spark.range(60).select((F.col("id") % 5).alias("c"), (F.col("id") * 7 % 60).cast("double").alias("m"), (F.col("id") % 2).cast("double").alias("y"))
     df = summaries.avg_rank(rows, "m", ["c"])
     assert re.search(r"SortMergeJoin \[c#\w+, [^\]]*m#", plan(df)) and df.count() == 60
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_products_are_made_once_for_both_blocks(spark, monkeypatch, metric):
+    from topoeval.operators import similarity
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 5))
+    v[60:75] = v[3]  # copies: ties go by id
+    points = spark.createDataFrame([("g", k, x.tolist()) for k, x in enumerate(v)], "graph_id string, id long, embedding array<double>")
+    if metric == "cosine":
+        v = v / np.linalg.norm(v, axis=1)[:, None]
+    d = np.round(1 - v @ v.T if metric == "cosine" else np.sqrt(((v[:, None] - v) ** 2).sum(-1)), 6)
+    for k in (4, 40):  # 40: more than a block holds
+        got = {}
+        for r in similarity.knn(points, k, metric=metric, rows=20).collect():
+            got.setdefault(r.id, {})[r["rank"]] = (abs(round(r.distance, 6)), r.neighbor)
+        for i in range(90):
+            want = sorted((abs(d[i, j]), j) for j in range(90) if j != i)[:k]
+            assert [got[i][n + 1][0] for n in range(k)] == pytest.approx([w for w, _ in want], abs=2e-6)
+    made = []
+    monkeypatch.setattr(similarity, "_meet", lambda *a, meet=similarity._meet, **o: made.append(o) or meet(*a, **o))
+    similarity.knn(points, 4, rows=20)
+    assert made and not made[0].get("both")
+
+
+def test_neighbours_in_the_plane_take_no_pairs(spark, monkeypatch):
+    from topoeval.operators import similarity
+
+    monkeypatch.setattr(similarity, "knn", None)
+    points = spark.range(40).select(F.lit("g").alias("graph_id"), "id", F.array(*[F.rand(s) for s in range(4)]).alias("embedding"), F.array(F.rand(8), F.rand(9)).alias("projection"))
+    assert similarity.trustworthiness(points, 3).count() == 1

@@ -105,3 +105,17 @@ def test_neighbours_in_the_plane_take_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(similarity, "knn", None)
     points = spark.range(40).select(F.lit("g").alias("graph_id"), "id", F.array(*[F.rand(s) for s in range(4)]).alias("embedding"), F.array(F.rand(8), F.rand(9)).alias("projection"))
     assert similarity.trustworthiness(points, 3).count() == 1
+
+
+def test_swaps_draw_what_they_need(spark, monkeypatch):
+    from topoeval.functions.scalars import stable_uniform
+    from topoeval.operators import perturb
+
+    monkeypatch.setattr(perturb, "FEW", 8, raising=False)
+    e, v = ring(spark, 300)
+    e = e.cache()
+    out = perturb.degree_preserving_swap(e, 0.05, 3)
+    assert out.distinct().count() == 300 and graph.same_degree_sequence(e, out, v).first().same
+    gone = e.join(out, ["graph_id", "src", "dst"], "left_anti").withColumn("u", stable_uniform(F.lit(3), F.lit(1), "src", "dst"))
+    n, drawn = gone.agg(F.count("*"), F.count_if(F.col("u") < 0.075)).first()
+    assert n >= 15 and drawn >= n / 2  # of the edges that the first round draws; of all edges it would be one in thirteen

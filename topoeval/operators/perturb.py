@@ -12,8 +12,8 @@ from topoeval.functions.scalars import stable_seed, stable_uniform
 from topoeval.operators import graph as G
 
 KEY = ["graph_id", "src", "dst"]
-#: Edges that meet in one group of a round of swaps.
-BUCKET = 64
+#: Edges that meet in one group of a round of swaps; edges drawn for each one that is missing, and of a graph at least.
+BUCKET, MORE, FEW = 64, 1.5, 1024
 
 
 def _numbered(nodes: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ def random_edges(nodes: DataFrame, budget: int, seed: int = 0) -> DataFrame:
 def degree_preserving_swap(canonical: DataFrame, fraction: float, seed: int = 0, max_idle: int = 8) -> DataFrame:
     """Double edge swaps until at least round(fraction * m) of a graph's edges have changed.
 
-    A round deals all edges by hash into groups of about BUCKET, pairs neighbours in a group, and turns a-b, c-d
-    into a-d, c-b unless that makes a loop, an edge that exists, or one that another swap of the round makes. Of the
+    A round draws edges by hash, MORE times as many as are missing and at least FEW, or all, deals them into groups of about
+    BUCKET, pairs neighbours in a group, and turns a-b, c-d into a-d, c-b unless that makes a loop, an edge that exists, or one that another swap of the round makes. Of the
     swaps that are possible and change an edge that has not changed yet, as large a share is taken as is missing (by
     hash, so the last round may go past the fraction by about its square root). An error if ``max_idle`` rounds
     in a row find no swap: the graph has too few of them.
@@ -82,8 +82,9 @@ def degree_preserving_swap(canonical: DataFrame, fraction: float, seed: int = 0,
             return edges.select(KEY)
         k += 1
         draw = lambda *parts: stable_uniform(F.lit(seed), F.lit(k), *parts)
-        dealt = edges.join(need, "graph_id").withColumns({"u": draw("src", "dst"), "turn": draw(F.lit("turn"), "src", "dst") < 0.5})
-        dealt = dealt.withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("m") / BUCKET)))
+        share = F.least(F.lit(1.0), F.greatest(MORE * F.col("left"), F.lit(float(FEW))) / F.col("m")) if idle == 0 else F.lit(1.0)
+        dealt = edges.join(need, "graph_id").withColumns({"u": draw("src", "dst"), "share": share}).filter("u < share")
+        dealt = dealt.withColumn("turn", draw(F.lit("turn"), "src", "dst") < 0.5).withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col("m") / BUCKET)))
         order = Window.partitionBy("graph_id", "bucket").orderBy("u", "src", "dst")
         nxt = {n: F.lead(c).over(order) for n, c in (("c", "src"), ("d", "dst"), ("old2", "old"))}
         two = dealt.withColumns({"r": F.row_number().over(order), **nxt}).filter("r % 2 = 1 and c is not null and (old or old2)")
@@ -95,8 +96,8 @@ def degree_preserving_swap(canonical: DataFrame, fraction: float, seed: int = 0,
         new = F.explode(F.array(ordered("a", "d"), ordered("c", "b"))).alias("e")
         made = two.select("graph_id", *swap, new).select("graph_id", *swap, "e.src", "e.dst")
         # an edge that stands alone is neither there already nor made twice
-        alone = made.unionByName(edges.join(need.select("graph_id"), "graph_id").select(KEY), allowMissingColumns=True)
-        alone = alone.groupBy(KEY).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in swap]).filter("n = 1 and r is not null")
+        alone = made.groupBy(KEY).agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in swap]).filter("n = 1")
+        alone = alone.join(shuffled(edges.select(KEY)), KEY, "left_anti")
         good = cut(alone.groupBy("graph_id", *swap).agg(F.count("*").alias("n")).filter("n = 2").drop("n"))
         total = good.groupBy("graph_id").agg(F.sum("gain").alias("total"))
         taken = good.join(total.join(need, "graph_id"), "graph_id").filter(draw(F.lit("take"), "graph_id", "bucket", "r") * F.col("total") < F.col("left"))
@@ -106,8 +107,8 @@ def degree_preserving_swap(canonical: DataFrame, fraction: float, seed: int = 0,
             raise ValueError("no more swaps are found")
         used = taken.select("graph_id", F.explode(F.array(ordered("a", "b"), ordered("c", "d"))).alias("e")).select("graph_id", "e.src", "e.dst")
         put = taken.select("graph_id", new).select("graph_id", "e.src", "e.dst")
-        put = put.join(start.withColumn("old", F.lit(True)), KEY, "left").na.fill(False, ["old"])
-        edges = cut(edges.join(used, KEY, "left_anti").unionByName(put))
+        put = put.join(shuffled(start.withColumn("old", F.lit(True))), KEY, "left").na.fill(False, ["old"])
+        edges = cut(edges.join(shuffled(used), KEY, "left_anti").unionByName(put))
 
 
 def homophily_attack(canonical: DataFrame, nodes: DataFrame, fraction: float, seed: int = 0) -> DataFrame:

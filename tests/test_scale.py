@@ -119,3 +119,11 @@ def test_swaps_draw_what_they_need(spark, monkeypatch):
     gone = e.join(out, ["graph_id", "src", "dst"], "left_anti").withColumn("u", stable_uniform(F.lit(3), F.lit(1), "src", "dst"))
     n, drawn = gone.agg(F.count("*"), F.count_if(F.col("u") < 0.075)).first()
     assert n >= 15 and drawn >= n / 2  # of the edges that the first round draws; of all edges it would be one in thirteen
+
+
+def test_wedges_are_shuffled_as_arrays(spark):
+    from topoeval.operators import motifs
+
+    text = plan(motifs.all_four_cycles(*ring(spark, 12)))
+    assert re.search(r"slice\(near", text) and "REPARTITION_BY_COL" in text
+    assert not re.search(r"SortMergeJoin \[graph_id#\d+, u#\w+\], \[graph_id#\d+, u#\w+\]", text)  # no wedge is made before it is dealt
